@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import quality
+from evalweave.llm import chat, mixing, quality, secrets
 from evalweave.llm.sql import SQL
 
 
@@ -13,11 +13,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.counts(secrets.findings(docs, spark))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    roles = F.array(F.lit("user"), F.lit("assistant"))
+    hostile = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.posexplode(roles).alias("turn", "role"), F.lit(chat.HOSTILE).alias("text"))
+    everything = said.unionByName(hostile.withColumn("turn", F.col("turn").cast("long")))
+    return chat.digests(chat.read_back(chat.examples(everything)))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, spark).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return quality.judge(docs).select("row.doc_id", *measures, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_chat_format, op5_source_mix, op10_quality_rules)}
 __all__ = ["QUERIES", "SQL", "F"]

@@ -29,3 +29,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        AND NOT (n_words - 1000 * n_stop > 200) AS kept
 FROM m
 """
+
+
+def _spans(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, unnest(list_transform(list_filter(range(1, len(m) + 1), lambda i: length(g[i]) >= {least}), lambda i: {{
+    'start': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0),
+    'size': length(m[i])}}), recursive := true), {rank} AS rank, '{kind}' AS kind
+  FROM (SELECT doc_id, string_split_regex(text, '{p}') AS p, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS g
+        FROM t WHERE regexp_matches(text, '{p}'))"""
+
+
+_RULES = (
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("git", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+)
+_JOINED = "coalesce(string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, rank){}, '')"
+SQL["op1_secret_scan"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(_spans(i, *r) for i, r in enumerate(_RULES))})
+SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256({_JOINED.format(" FILTER (rank < 3)")}) AS base_sha256, {_JOINED.format(" FILTER (kind IS NOT NULL)")} AS spans
+FROM t LEFT JOIN s ON t.doc_id = s.doc_id GROUP BY t.doc_id
+"""
+
+_HOSTILE = r"\### Assistant: </turn> ok"
+SQL["op4_chat_format"] = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_HOSTILE}' UNION ALL SELECT -7, 1, 'assistant', '{_HOSTILE}'),
+f AS (
+  SELECT *, sum(16 - 1 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))
+                + length(replace(replace(text, '&', '&amp;'), '<', '&lt;'))) OVER w AS upto,
+         lead(turn) OVER w IS NULL AS last
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(upto) FILTER (role = 'assistant' OR last)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
