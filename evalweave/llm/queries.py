@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import chat, mixing, quality, secrets
+from evalweave.llm import chat, jaccard, minhash, mixing, quality, secrets, tokens
 from evalweave.llm.sql import SQL
 
 
@@ -18,6 +19,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.counts(secrets.findings(docs, spark))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"), spark)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, spark, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     roles = F.array(F.lit("user"), F.lit("assistant"))
@@ -31,11 +41,15 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, spark).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_table(spark, sf_dir, "documents").select("doc_id", "text"), spark)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return quality.judge(docs).select("row.doc_id", *measures, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_chat_format, op5_source_mix, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_token_counts, op4_chat_format, op5_source_mix, op6_ngram_jaccard, op10_quality_rules)}
 __all__ = ["QUERIES", "SQL", "F"]
