@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -86,3 +87,47 @@ def blocks(off: np.ndarray, most: int = 1 << 20):
         b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
+
+
+def range_of(cuts: list[int], key: str) -> Column:
+    """Number of cuts at or below the key (0 for null), found in two steps of about sqrt(cuts) comparisons."""
+    if not cuts:
+        return F.lit(0)
+    wide = math.isqrt(len(cuts) - 1) + 1
+    rows = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    numbers = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    coarse = F.size(F.filter(numbers([r[0] for r in rows]), lambda c: c <= F.col(key)))
+    fine = F.size(F.filter(F.get(F.array(*map(numbers, rows)), coarse - 1), lambda c: c <= F.col(key)))
+    return F.when(coarse > 0, (coarse - 1) * wide + fine).otherwise(F.lit(0))
+
+
+def even_ranges(rows: DataFrame, key: str, weight: Column, parts: int, fan: int = 64) -> list[int]:
+    """Starts of about `parts` ranges of the whole-number key that weigh alike, all but the first.
+
+    Exact sums, so equal tables give equal ranges. Ranges that weigh too much are split by `fan`, until
+    none does or one key is left; the driver sees at most about parts * fan sums at a time.
+    """
+    few = rows.select(F.col(key).alias("k"), weight.cast("long").alias("w"))
+    low, high, total = few.agg(F.min("k"), F.max("k"), F.sum("w")).first()
+    if low is None or parts < 2:
+        return []
+    most = max(1, total // parts)
+    leaves = [(low, high, total)]
+    while heavy := [x for x in leaves if x[2] > most and x[1] > x[0]]:
+        kept = [x for x in leaves if not (x[2] > most and x[1] > x[0])]
+        plan = [(i, a, -(-(b - a + 1) // fan)) for i, (a, b, _) in enumerate(heavy)]
+        edges = sorted({e for a, b, _ in heavy for e in (a, b + 1)})
+        at = {e: i + 1 for i, e in enumerate(edges)}
+        dealt = F.broadcast(few.sparkSession.createDataFrame([(at[a], a, step) for _, a, step in plan], "at int, a long, step long"))
+        bins = few.withColumn("at", range_of(edges, "k")).join(dealt, "at").groupBy("a", "step", F.floor((F.col("k") - F.col("a")) / F.col("step")).alias("bin"))
+        ends = {a: b for a, b, _ in heavy}
+        for a, step, n, w in bins.agg(F.sum("w")).collect():
+            kept.append((a + n * step, min(a + (n + 1) * step - 1, ends[a]), w))
+        leaves = kept
+    cuts, held = [], 0
+    for a, _, w in sorted(leaves):
+        if held and held + w > most:
+            cuts.append(a)
+            held = 0
+        held += w
+    return [c for c in cuts if c > low]

@@ -12,15 +12,14 @@ gives an empty result. Only id and text are read.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import Scratch, blocks, shuffle_width, text_or_empty, tune, utf8
+from evalweave.llm.common import Scratch, blocks, even_ranges, range_of, shuffle_width, text_or_empty, tune, utf8
 from evalweave.llm.jaccard import clusters
 from evalweave.llm.words import U, mix, shingles, words
 
@@ -66,32 +65,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def ranges(docs: DataFrame, spark: SparkSession, key: str) -> list:
-    """Range starts over the ids (ascending), about as many as the session's shuffle partitions."""
-    n = shuffle_width(spark)
-    cuts = docs.stat.approxQuantile(key, [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else []
-    return sorted({int(c) for c in cuts})
-
-
-def _range_of(cuts: list[int]) -> Column:
-    """Number of cuts at or below the key (0 for null), found in two steps of about sqrt(cuts) comparisons."""
-    if not cuts:
-        return F.lit(0)
-    wide = math.isqrt(len(cuts) - 1) + 1
-    rows = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-    numbers = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    coarse = F.size(F.filter(numbers([r[0] for r in rows]), lambda c: c <= F.col("key")))
-    fine = F.size(F.filter(F.get(F.array(*map(numbers, rows)), coarse - 1), lambda c: c <= F.col("key")))
-    return F.when(coarse > 0, (coarse - 1) * wide + fine).otherwise(F.lit(0))
-
-
 def successors(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(part, tail, key, text): rows dealt to id ranges, each ended by a copy of the next range's first row.
 
     One shuffle of the texts. The driver holds a number for each range, nothing for rows.
     """
     rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-    rows = rows.withColumn("part", _range_of(ranges(rows, spark, "key")))
+    rows = rows.withColumn("part", range_of(even_ranges(rows, "key", F.octet_length("text"), shuffle_width(spark)), "key"))
     first = rows.groupBy("part").agg(F.min("key").alias("least"), F.max(F.col("key").isNull()).alias("none")).collect()
     order = sorted(r["part"] for r in first)
     before = {p: order[i - 1] for i, p in enumerate(order)}

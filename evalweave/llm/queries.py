@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import chat, jaccard, minhash, mixing, quality, secrets, tokens
+from evalweave.llm import chat, jaccard, minhash, mixing, packing, quality, secrets, shards, tokens, warc
+from evalweave.llm.common import Scratch
 from evalweave.llm.sql import SQL
 
 
@@ -45,11 +46,32 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(_table(spark, sf_dir, "documents").select("doc_id", "text"), spark)
 
 
+def op7_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, spark, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = Scratch(spark, "archive").base
+    back = warc.read(spark, out, warc.write(pages, spark, out))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    store = shards.ShardStore(spark, Scratch(spark, "shards").base)
+    store.append(docs, rows=2000)
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return quality.judge(docs).select("row.doc_id", *measures, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_token_counts, op4_chat_format, op5_source_mix, op6_ngram_jaccard, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_token_counts, op4_chat_format, op5_source_mix, op6_ngram_jaccard, op7_sequence_packing, op8_warc_archive, op9_size_tiered_shards, op10_quality_rules)}
 __all__ = ["QUERIES", "SQL", "F"]

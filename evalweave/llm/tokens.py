@@ -5,10 +5,11 @@ spaces, and around line feeds, which only byte fallback encodes. Merges never cr
 count of a prefix that ends at a cut is the sum of the segments before it: cumulated sums hold it for
 every segment. Within a segment, a dynamic program over its prefixes gives the count of every shorter
 one: the last token of a prefix is the one vocabulary piece that ends there and forms a valid pair with
-the last token of what is left. Distinct segments are encoded once and kept.
+the last token of what is left. Distinct segments are encoded once; their counts are kept under
+64-bit hashes.
 
 Null text is empty text and has no tokens. Repeated rows are counted each. Texts of any length are cut
-into segments; a segment beyond KEPT bytes is encoded each time. An empty table gives an empty result.
+into segments. An empty table gives an empty result. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
 from evalweave.llm.common import blocks, tune, utf8
-from evalweave.llm.words import U, span_hashes
+from evalweave.llm.words import Known, U, span_hashes
 
 LIMIT = 4096
-#: Segments up to so many bytes are kept, up to so many of them; then the store starts anew.
-KEPT, STORE = 64, 400_000
+#: The counts of so many distinct segments are kept; then the store starts anew.
+STORE = 1_000_000
 _SPACE, _LF = 0x20, 0x0A
 
 
@@ -35,7 +36,7 @@ class PrefixTokens:
 
     def __init__(self, model: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.known: dict[bytes, int] = {}
+        self.known = Known(STORE)
         self.pairs: dict[tuple[str, str], bool] = {}
         pieces = {self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()) if not (self.sp.is_control(i) or self.sp.is_byte(i) or self.sp.is_unknown(i))}
         self.pieces, self.longest = pieces, max(map(len, pieces))
@@ -49,17 +50,6 @@ class PrefixTokens:
         out = self.sp.encode(["\n" + s.decode("utf-8", "replace") for s in segments], num_threads=1)
         return [len(x) - 2 for x in out]
 
-    def counts(self, segments: list[bytes]) -> list[int]:
-        missing = [s for s in segments if s not in self.known]
-        if not missing:
-            return [self.known[s] for s in segments]
-        fresh = dict(zip(missing, self._encode(missing), strict=True))
-        out = [fresh[s] if s in fresh else self.known[s] for s in segments]
-        if len(self.known) + len(fresh) > STORE:
-            self.known.clear()
-        self.known.update((s, n) for s, n in fresh.items() if len(s) <= KEPT)
-        return out
-
     def table(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of many texts: byte at which each segment starts, tokens of each, first segment of each text."""
         n = len(data)
@@ -80,10 +70,14 @@ class PrefixTokens:
         leads = np.zeros(len(starts), bool)
         leads[first[:-1][np.diff(off) > 0]] = True  # the dummy prefix goes before a text's first segment
         keys = span_hashes(data, starts, ends) ^ np.where(leads, U(0x5851F42D4C957F2D), U(0))
-        _, example, place = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, example, place = np.unique(keys, return_index=True, return_inverse=True)
         raw = data.tobytes()
-        distinct = [(b" " if lead else b"") + raw[a:b] for a, b, lead in zip(starts[example], ends[example], leads[example], strict=True)]
-        return starts, np.array(self.counts(distinct), np.int64)[place], first
+
+        def encode(new: np.ndarray) -> list[int]:
+            at = example[new]
+            return self._encode([(b" " if lead else b"") + raw[a:b] for a, b, lead in zip(starts[at].tolist(), ends[at].tolist(), leads[at].tolist(), strict=True)])
+
+        return starts, self.known.look_up(distinct, encode)[place], first
 
     def _pair(self, a: str, b: str) -> bool:
         if (a, b) not in self.pairs:

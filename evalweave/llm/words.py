@@ -84,3 +84,32 @@ def shingles(w: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
             x = mix(x * U(0x9FB21C651E98DF25) + h)
         out[begin[i]] = x[0]
     return out, begin
+
+
+class Known:
+    """Values of span hashes seen before, as sorted arrays; it starts anew at `most` entries.
+
+    missing(indexes) gives the value of each hash that is not known yet, as an array of numbers.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.keys, self.values = most, np.zeros(0, U), np.zeros(0, np.int64)
+
+    def look_up(self, keys: np.ndarray, missing) -> np.ndarray:
+        """keys: ascending, distinct."""
+        at = np.searchsorted(self.keys, keys)
+        hit = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        hit[inside] = self.keys[at[inside]] == keys[inside]
+        out = np.zeros(len(keys), np.int64)
+        out[hit] = self.values[at[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            out[new] = missing(new)
+            self.keys, self.values = np.insert(self.keys, at[new], keys[new]), np.insert(self.values, at[new], out[new])
+            if len(self.keys) > self.most:
+                self.clear()
+        return out
+
+    def clear(self) -> None:
+        self.keys, self.values = np.zeros(0, U), np.zeros(0, np.int64)
