@@ -24,8 +24,8 @@ from evalweave.llm.bpe import encoder
 from evalweave.llm.common import Scratch, blocks, shuffle_width, text_or_empty, tune, utf8
 
 SIZE, UNIT, END = 2048, 8, 1
-#: Columns are priced until the packing is within this share of the fewest sequences.
-EPS = 5e-4
+#: Columns are priced until the fractional packing is within this share of a lower bound.
+EPS = 2e-3
 
 
 def knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -53,11 +53,13 @@ def fractional(demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     columns[np.arange(m), kinds] = capacity // (kinds + 1)
     inverse = np.diag(1.0 / columns[np.arange(m), kinds])
     uses = inverse @ demand[kinds].astype(float)
+    fewest = float((demand[kinds] * (kinds + 1)).sum()) / capacity
     for _ in range(40 * m + 100):
         price = np.zeros(capacity)
         price[kinds] = np.maximum(inverse.sum(axis=0), 0)
         worth, pattern = knapsack(price, capacity)
-        if worth <= 1 + EPS:
+        fewest = max(fewest, uses.sum() / max(worth, 1.0))  # no packing can do with fewer
+        if uses.sum() <= (1 + EPS) * fewest:
             break
         enter = inverse @ pattern[kinds].astype(float)
         able = enter > 1e-9

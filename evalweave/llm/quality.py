@@ -91,4 +91,6 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that pass every rule, with their columns as they were."""
-    return judge(docs, text).where("kept").select("row.*")
+    # A filter is pushed through deterministic projections, which would copy the measures into one another.
+    judged = judge(docs, text).select("row", "kept", F.monotonically_increasing_id().alias("at"))
+    return judged.where("kept and at >= 0").select("row.*")
