@@ -159,8 +159,8 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
     members = sc.write("members", _sets(docs.where(F.col(key).isNotNull()), spark, key, text, k))
     one = members.groupBy("cls").agg(F.min("key").alias("id"))
     sets = sc.write("sets", members.join(one, F.col("key") == F.col("id"), "left_semi").select(
-        F.col("key").alias("id"), "bands", F.col("shingles"), F.lit(1).alias("need"), F.lit(b"").alias("prefix")).dropDuplicates(["id"]))
-    postings = sets.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("token"))
+        F.col("key").alias("id"), "bands", F.col("shingles"), F.expr("octet_length(shingles) div 8").alias("n"), F.lit(1).alias("need"), F.lit(b"").alias("prefix")).dropDuplicates(["id"]))
+    postings = sets.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("token"), "id", "n", F.lit(True).alias("first"))
     groups = clusters(sc, sc.write("postings", postings), sets, like)
     reach = one.join(groups, "id", "left").select("cls", F.coalesce("component", "id").alias("group"))
     empty = F.length("shingles") == 0
