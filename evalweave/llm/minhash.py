@@ -158,10 +158,12 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
     sc = Scratch(spark, "minhash")
     members = sc.write("members", _sets(docs.where(F.col(key).isNotNull()), spark, key, text, k))
     one = members.groupBy("cls").agg(F.min("key").alias("id"))
-    sets = sc.write("sets", members.join(one, F.col("key") == F.col("id"), "left_semi").select(
-        F.col("key").alias("id"), "bands", F.col("shingles"), F.expr("octet_length(shingles) div 8").alias("n"), F.lit(1).alias("need"), F.lit(b"").alias("prefix")).dropDuplicates(["id"]))
+    one = sc.write("one", one)
+    sets = members.join(one, (F.col("key") == F.col("id")) & (members.cls == one.cls), "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "bands", "shingles")
+    sets = sc.write("sets", sets.withColumn("n", F.expr("cast(octet_length(shingles) div 8 as long)")))
     postings = sets.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("token"), "id", "n", F.lit(True).alias("first"))
-    groups = clusters(sc, sc.write("postings", postings), sets, like)
+    narrow = sets.select("id", "n", F.lit(1).alias("need"), F.lit(b"").alias("prefix"))
+    groups = clusters(sc, sc.write("postings", postings), narrow, lambda ids: sets.select("id", "shingles").join(ids, "id"), like)
     reach = one.join(groups, "id", "left").select("cls", F.coalesce("component", "id").alias("group"))
     empty = F.length("shingles") == 0
     return members.join(sc.write("reach", reach), "cls").select("key", F.when(empty, F.col("key")).otherwise(F.col("group")).alias("group"))
