@@ -41,7 +41,7 @@ class IndexStore:
 
     def get(self, name: str, wanted: dict, build: Callable[[], DataFrame], policy: str = "auto", strict: bool = True) -> tuple[DataFrame, str, str | None]:
         """(index, status, reason): cache_hit, disk_hit or rebuilt; read_only raises instead of building."""
-        key = (name, tuple(sorted(wanted.items())))
+        key = (name, strict, tuple(sorted(wanted.items())))
         if key in self.memory:
             return self.memory[key], "cache_hit", None
         path, reason = f"{self.root}/{name}", "meta_missing"

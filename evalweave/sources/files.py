@@ -75,17 +75,18 @@ def write_jsonl(df: DataFrame, path: str, resume: bool = False) -> None:
 
 
 def resume_jsonl(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends the rows whose key the output doesn't have yet, and returns them."""
+    """Appends the rows whose key the output doesn't have yet, and returns them as read from the files they went to."""
     spark = df.sparkSession
     try:
-        fresh = undone(df, spark.read.schema(df.schema).json(path), key)
+        done = spark.read.schema(df.schema).json(path)
+        before, fresh = set(done.inputFiles()), undone(df, done, key)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        fresh = df
-    fresh = fresh.persist()
+        before, fresh = set(), df
     append_jsonl(fresh, path)
-    return fresh
+    new = [f for f in spark.read.schema(df.schema).json(path).inputFiles() if f not in before]
+    return spark.read.schema(df.schema).json(new) if new else df.limit(0)
 
 
 def put(table: DataFrame, changes: DataFrame, key: str, path: str) -> None:
