@@ -109,13 +109,13 @@ def scan(versions: DataFrame, spark: SparkSession, ledger: str, rules=RULES, key
     seen = known.groupBy("blob").agg(F.collect_set("version").alias("seen"))
     unseen = blobs.join(seen, "blob", "left").select("blob", "path", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
     texts = rows.withColumn("own", address(F.col("text")))
-    # The path names one row of each unseen blob (or several equal ones, folded by the last step).
+    # The path names one row of each unseen blob, or rows repeated whole, which give one entry below.
     todo = texts.join(unseen, (texts.path.eqNullSafe(unseen.path)) & (texts.own == unseen.blob)).select("blob", "todo", "text")
     found = todo.select("blob", F.explode(F.array(*[
         F.struct(F.lit(r.version).alias("version"), F.when(F.array_contains("todo", r.version), find(F.col("text"), r, i)).alias("spans"))
         for i, r in enumerate(rules)
     ])).alias("f")).select("blob", "f.*").where(F.col("spans").isNotNull())
-    found.write.mode("append").parquet(ledger)
+    found.dropDuplicates(["blob", "version"]).write.mode("append").parquet(ledger)
     now = _ledger(spark, ledger).where(F.col("version").isin(*[r.version for r in rules]) & (F.size("spans") > 0))
     merged = now.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
     return merged
