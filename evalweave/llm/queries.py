@@ -62,8 +62,7 @@ def op9_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     store = shards.ShardStore(spark, Scratch(spark, "shards").base)
     store.append(docs, rows=2000)
-    store.compact()
-    store.vacuum()
+    store.compact(keep=1)
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

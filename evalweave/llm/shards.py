@@ -98,8 +98,8 @@ class ShardStore:
             for k, v in before.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
-    def compact(self) -> dict:
-        """Merges tier by tier, smallest first; a version for each merge."""
+    def compact(self, keep: int | None = None) -> dict:
+        """Merges tier by tier, smallest first; a version for each merge. keep: versions to keep after each."""
         last = self.tier(self.target)
         for t in range(last):
             now = self.manifest()
@@ -110,6 +110,8 @@ class ShardStore:
                 merged = self._write(self.spark.read.schema(T.StructType.fromJson(json.loads(now["schema"]))).parquet(*[f"{self.root}/{s['path']}" for s in alike]))
             gone = {s["path"] for s in alike}
             self._commit(now, [s for s in now["shards"] if s["path"] not in gone] + merged, now["schema"])
+            if keep:
+                self.vacuum(keep)
         return self.manifest()
 
     def vacuum(self, keep: int = 1) -> None:
