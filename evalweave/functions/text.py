@@ -12,7 +12,7 @@ QUERY_STOP_WORDS = (
 )
 
 
-_BLANK = r"[\s\x1c-\x1f\x85   -     　]+"
+_BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def strip(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import measures, paths, text
-from evalweave.operators import chunking, commands, matching, ranking, sampling, sessions, summary
+from evalweave.operators import chunking, commands, indexes, matching, ranking, sampling, sessions, summary
 from evalweave.streaming import sessions as streams
 
 QUERIES = {}
@@ -464,3 +464,95 @@ def f38_f37_usage(spark, sf_dir):
 def f43_unit_vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", measures.unit_vector(F.transform("embedding", lambda x: x * 3)).alias("u"))
     return v.select("vec_id", F.round(measures.dot(F.col("u"), F.col("u")), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 5).alias("first"))
+
+
+@query
+def a19_macro_recall(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    gt = F.array_union("edit", "added")
+    return runs.agg(F.round(measures.mean_or_zero(measures.recall(gt, F.col("entities"))), 6).alias("recall"), F.count("*").alias("n"))
+
+
+@query
+def a23_u4_distinct_and_remaining(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    left = F.array_sort(F.array_except(F.array_union("edit", "added"), F.col("entities")))
+    return runs.select("l_orderkey", F.size(F.array_distinct("entities")).alias("distinct_names"), F.array_join(left, ",").alias("remaining"))
+
+
+@query
+def f32_f33_ranks(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("name", F.lower(F.regexp_replace("p_type", "[^A-Za-z]+", "_")))
+    asked = F.when(F.col("p_partkey") % 4 == 0, F.col("name")).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("C."), "name")).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("D."), "name")).otherwise("other")
+    rank = matching.match_rank(asked, F.concat(F.lit("C."), "name"), F.col("name"))
+    hint = matching.hint_rank(F.when(F.col("p_partkey") % 3 == 0, "B.py").when(F.col("p_partkey") % 3 == 1, "a\\b.PY").otherwise("zz"), F.lit("src/a/b.py"))
+    return p.select("p_partkey", rank["level"].alias("level"), rank["distance"].alias("distance"), hint.alias("hint"))
+
+
+@query
+def j12_j13_j15_hints(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"^https?://|[?#].*$", "").alias("path"))
+    seen = F.array(F.col("path"), F.lit("src/pkg/auth.py"), F.lit("lib/auth.py"))
+    asked = F.when(F.col("page_id") % 3 == 0, F.substring_index("path", "/", -2)).when(F.col("page_id") % 3 == 1, "auth.py").otherwise("nowhere.py")
+    return pages.select("page_id", matching.hint_observed(asked, seen).alias("observed"), matching.hint_inspected(asked, seen).alias("inspected"), matching.resolved(asked, seen).alias("resolved"))
+
+
+@query
+def j17_graph_nodes(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    spans = li.select(F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string")).alias("path"), F.col("l_linenumber").cast("string").alias("span")).distinct()
+    nodes = li.select(F.concat(F.lit("p"), (F.col("l_suppkey") % 30).cast("string"), F.lit(":"), (F.col("l_linenumber") % 4).cast("string")).alias("node_id")).distinct().withColumn("type", F.when(F.endswith("node_id", F.lit("1")), "class").otherwise("function"))
+    return matching.graph_entities(spans, nodes).select("node_id", "type")
+
+
+@query
+def p9_valid_instances(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("instance_id"), F.col("source").alias("repo"))
+    repos = docs.select("repo").distinct().where("repo not like '%1'")
+    return sampling.valid_instances(docs, repos, skip_missing=True)
+
+
+@query
+def p7_p15_pick_by_ordinal(spark, sf_dir):
+    return sampling.pick(table(spark, sf_dir, "nation").select("n_name", "n_regionkey"), "n_name", "3")
+
+
+@query
+def o5_o7_o12_ties_caps_and_order(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("file_no"), (F.col("p_partkey") % 3).alias("block_no"), F.col("p_type").alias("name"), F.concat_ws(":", "p_brand", "p_type").alias("entity"))
+    return matching.capped_entities(p, 50)
+
+
+@query
+def v2_index_reasons(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    commit = F.when(F.col("p_partkey") % 5 == 0, "").when(F.col("p_partkey") % 5 == 1, "c2").otherwise("c1")
+    meta = F.when(F.col("p_partkey") % 7 != 0, F.struct(F.lit("v1").alias("index_version"), F.when(F.col("p_partkey") % 11 == 0, "q").otherwise("r").alias("repo_dir"), commit.alias("base_commit"), F.when(F.col("p_size") % 2 == 0, "800").otherwise("x").alias("chunk_size"), F.lit("200").alias("overlap")))
+    wanted = F.struct(F.lit("v1").alias("index_version"), F.lit("r").alias("repo_dir"), F.lit("c1").alias("base_commit"), F.lit("800").alias("chunk_size"), F.when(F.col("p_partkey") % 13 == 0, "100").otherwise("200").alias("overlap"))
+    rows = p.select("p_partkey", meta.alias("meta"), wanted.alias("wanted"))
+    columns = ("index_version", "repo_dir", "base_commit", "chunk_size", "overlap")
+    return rows.select("p_partkey", indexes.mismatch("meta", "wanted", True, columns).alias("strict"), indexes.mismatch("meta", "wanted", False, columns).alias("static"))
+
+
+@query
+def f16_f18_f19_answers(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('{"answer": "'), "p_brand", F.lit('"}'))).when(F.col("p_partkey") % 3 == 1, '{"answer": 5}').otherwise(F.concat(F.lit(" "), "p_name", F.lit("\n")))
+    fenced = text.fence_stripped(F.concat(F.lit("```json\n"), "p_brand", F.lit("\n```")))
+    return p.select("p_partkey", measures.answer_text(raw).alias("answer"), fenced.alias("fenced"), measures.joined_answer(F.array("p_brand", F.lit(""), F.lit(None).cast("string"), "p_type")).alias("joined"))
+
+
+@query
+def f23_f28_paths_in_output(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    n = (F.col("p_partkey") % 4).cast("string")
+    diff = F.concat(F.lit("diff --git a/x b/src/f"), n, F.lit(".py\n+1\ndiff --git a/x b/src/g.py\ndiff --git a/y b/src/g.py\n"))
+    grep = F.concat(F.lit("src/a"), n, F.lit(".py:1:x\nno colon\nsrc/b.py:2\nsrc/b.py:3"))
+    return p.select("p_partkey", F.array_join(text.diff_files(diff), ",").alias("diff"), F.array_join(text.output_paths(grep), ",").alias("grep"))
+
+
+@query
+def w6_w10_recent_ids(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    recent = F.reverse(F.array_sort(F.collect_list("event_id")))
+    return e.groupBy("event_type").agg(text.shorten(F.array_join(F.transform(recent, lambda x: x.cast("string")), ", "), 55).alias("recent"))

@@ -161,3 +161,24 @@ t AS (SELECT file, string_agg(c, ',' ORDER BY n DESC, c) AS top FROM (SELECT *,
 SELECT file, kind, count(*) AS n, any_value(top) AS top FROM l LEFT JOIN t USING (file) GROUP BY file, kind"""
 SQL["f38_f37_usage"] = """SELECT l_orderkey, l_linenumber, l_partkey AS prompt, l_suppkey AS completion, l_partkey + l_suppkey AS total FROM lineitem"""
 SQL["f43_unit_vectors"] = "SELECT vec_id, 1.0::DOUBLE AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 5) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: (x * 3::FLOAT)::FLOAT)::DOUBLE[] AS e FROM embeddings)"
+
+SQL["a19_macro_recall"] = f"WITH {_RUNS} SELECT round(avg(rall), 6) AS recall, count(*) AS n FROM m"
+SQL["a23_u4_distinct_and_remaining"] = f"WITH {_RUNS} SELECT l_orderkey, len(list_distinct(found))::INT AS distinct_names, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(found, x))), ',') AS remaining FROM m"
+SQL["f32_f33_ranks"] = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 3 ELSE 4 END AS level, CASE p_partkey % 4 WHEN 0 THEN 2 ELSE 0 END AS distance,
+  CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1 END AS hint FROM part"""
+SQL["j12_j13_j15_hints"] = f"""
+WITH t AS (SELECT page_id, path, CASE page_id % 3 WHEN 0 THEN array_to_string(string_split(path, '/')[-2:], '/') WHEN 1 THEN 'auth.py' ELSE 'nowhere.py' END AS h, regexp_extract(path, '([^/]*)$', 1) AS b FROM (SELECT page_id, {_URL} AS path FROM pages))
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN h <> '' WHEN 1 THEN true ELSE contains(path, 'nowhere.py') END AS observed,
+  CASE page_id % 3 WHEN 0 THEN h <> '' WHEN 1 THEN true ELSE false END AS inspected,
+  CASE WHEN page_id % 3 = 0 AND h <> '' AND NOT starts_with(h, '/') AND (h = path OR ends_with(path, '/' || h)) THEN path END AS resolved FROM t"""
+SQL["j17_graph_nodes"] = """SELECT DISTINCT node_id, CASE WHEN ends_with(node_id, '1') THEN 'class' ELSE 'function' END AS type FROM
+  (SELECT DISTINCT 'p' || (l_partkey % 40) || ':' || l_linenumber AS node_id FROM lineitem) JOIN (SELECT DISTINCT 'p' || (l_suppkey % 30) || ':' || (l_linenumber % 4) AS node_id FROM lineitem) USING (node_id)"""
+SQL["p9_valid_instances"] = "SELECT doc_id::VARCHAR AS instance_id, source AS repo FROM documents WHERE source NOT LIKE '%1'"
+SQL["p7_p15_pick_by_ordinal"] = "SELECT n_name, n_regionkey FROM nation ORDER BY n_name LIMIT 1 OFFSET 3"
+SQL["o5_o7_o12_ties_caps_and_order"] = """SELECT entity FROM (SELECT p_brand || ':' || p_type AS entity, min((p_size, p_partkey % 3, p_type)) AS place FROM part GROUP BY ALL) ORDER BY place, entity LIMIT 50"""
+SQL["v2_index_reasons"] = """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'meta_missing' WHEN p_partkey % 11 = 0 THEN 'repo_dir_mismatch' WHEN p_partkey % 5 = 0 THEN 'base_commit_missing' WHEN p_partkey % 5 = 1 THEN 'base_commit_mismatch'
+    WHEN p_size % 2 <> 0 THEN 'chunk_params_invalid' WHEN p_partkey % 13 = 0 THEN 'chunk_params_mismatch' END AS strict,
+  CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN 'repo_dir_mismatch' WHEN p_size % 2 <> 0 THEN 'chunk_params_invalid' WHEN p_partkey % 13 = 0 THEN 'chunk_params_mismatch' END AS static FROM part"""
+SQL["f16_f18_f19_answers"] = """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN '{"answer": 5}' ELSE trim(p_name) END AS answer, p_brand AS fenced, p_brand || chr(10) || p_type AS joined FROM part"""
+SQL["f23_f28_paths_in_output"] = """SELECT p_partkey, 'src/f' || (p_partkey % 4) || '.py,src/g.py' AS diff, 'src/a' || (p_partkey % 4) || '.py,src/b.py' AS grep FROM part"""
+SQL["w6_w10_recent_ids"] = "SELECT event_type, CASE WHEN length(l) > 55 THEN substr(l, 1, 52) || '...' ELSE rpad(l, 55, ' ') END AS recent FROM (SELECT event_type, string_agg(event_id::VARCHAR, ', ' ORDER BY event_id DESC) AS l FROM events GROUP BY ALL)"
