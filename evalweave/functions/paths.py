@@ -59,9 +59,9 @@ def repo_of_instance(c: Column) -> Column:
     return F.replace(F.regexp_replace(c, r"-\d+$", ""), F.lit("__"), F.lit("_"))
 
 
-def image_of_instance(c: Column, given: Column) -> Column:
-    """The given image name, or one made from the id, in lower case."""
-    return F.coalesce(given, F.lower(F.concat(F.lit("docker.io/swebench/sweb.eval.x86_64."), F.replace(c, F.lit("__"), F.lit("_1776_")), F.lit(":latest"))))
+def image_of_instance(c: Column, given: Column, prefix: str) -> Column:
+    """The given image name, or one made from a registry prefix and the id, in lower case."""
+    return F.coalesce(given, F.lower(F.concat(F.lit(prefix), F.replace(c, F.lit("__"), F.lit("_1776_")), F.lit(":latest"))))
 
 
 def cleaned(path: Column, repo: Column) -> Column:
