@@ -161,7 +161,7 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
     one = sc.write("one", one)
     sets = members.join(one, (F.col("key") == F.col("id")) & (members.cls == one.cls), "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "bands", "shingles")
     sets = sc.write("sets", sets.withColumn("n", F.expr("cast(octet_length(shingles) div 8 as long)")))
-    postings = sets.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("token"), "id", "n", F.lit(True).alias("first"))
+    postings = sets.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("token"), "id", (F.col("n") * 100).alias("s"), (F.col("n") * like).alias("m"))
     narrow = sets.select("id", "n", F.lit(1).alias("need"), F.lit(b"").alias("prefix"))
     groups = clusters(sc, sc.write("postings", postings), narrow, lambda ids: sets.select("id", "shingles").join(ids, "id"), like)
     reach = one.join(groups, "id", "left").select("cls", F.coalesce("component", "id").alias("group"))
