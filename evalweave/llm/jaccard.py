@@ -355,8 +355,8 @@ def link(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text: str =
     sized = survey.where("kind = 0").select("id", "n", "c1", "c2")
     classes = sized.where("n > 0 and id is not null").groupBy("n", "c1", "c2").agg(F.min("id").alias("rep"))
     classes = sc.write("classes", classes)
-    # Below this size, sets that are not equal cannot be linked.
-    small = 100 // (100 - percent)
+    # Below this size, sets that are not equal cannot be linked: n of n + 1 shingles is less than percent.
+    small = -(-percent // (100 - percent))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -171,6 +171,16 @@ def test_jaccard_join(spark, docs, k, percent):
     assert sorted(r.component_id for r in found if r.doc_id == 2000) == sorted([want[3][1], 2000])
 
 
+@pytest.mark.parametrize("k,percent,n", [(3, 90, 9), (5, 80, 4), (3, 50, 1)])
+def test_jaccard_join_of_smallest_sets(spark, k, percent, n):
+    """Sets of n and n + 1 shingles are exactly at the threshold, those of n - 1 and n below it."""
+    text = lambda name, words: " ".join(f"{name}{i}" for i in range(words))
+    w = n + k - 1
+    texts = dict(enumerate([text("a", w), text("a", w + 1), "before " + text("b", w), text("b", w), text("c", w), text("c", w - 1), text("a", w) + " other"]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark, k=k, percent=percent).collect()}
+    assert got == groups(texts, k, percent) and [got[i][1] for i in (1, 3, 5, 6)] == [0, 2, 5, 0]
+
+
 def test_jaccard_join_keeps_one_of_each_group(spark, docs):
     kept = jaccard.first_of_groups(docs, spark)
     want = groups({r[0]: r[1] for r in rows()}, 3, 90)
