@@ -103,15 +103,17 @@ def resolved(requested: Column, allowed: Column) -> Column:
 def hint_join(hints: DataFrame, files: DataFrame) -> DataFrame:
     """hints (hint) x files (path) where the hint matches the path, with its rank.
 
-    Three arms meet on an equal base name. Only hints without a slash, or that no arm settles, go on to the
-    substring arm, which meets files on trigrams of the base name, never all with all.
+    Three arms meet on an equal base name. The substring arm meets files on trigrams of the path, never all with
+    all; hints of one or two characters meet them on the path's distinct characters and pairs of characters.
     """
     h = hints.select("hint").distinct().withColumn("h", F.lower(normal_hint(F.col("hint")))).where("h != ''")
     f = files.select("path").distinct().withColumn("p", F.lower(normal_hint(F.col("path"))))
     exact = h.join(f, basename(F.col("h")) == basename(F.col("p"))).select("hint", "path")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-    long = h.where(F.length("h") >= 3).withColumn("gram", F.get(grams(F.col("h")), F.lit(0)))
-    inside = long.join(f.where(F.length("p") >= 3).withColumn("gram", F.explode(grams(F.col("p")))), "gram").where(F.contains("p", "h")).select("hint", "path")
+    starts = lambda c, n: F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: i <= F.length(c) - (n - 1))
+    parts = lambda c, n: F.transform(starts(c, n), lambda i: F.substring(c, i, F.lit(n)))
+    grams = lambda c: F.array_distinct(F.concat(*[parts(c, n) for n in (1, 2, 3)]))
+    asked = h.withColumn("gram", F.substring("h", 1, 3))
+    inside = asked.join(f.withColumn("gram", F.explode(grams(F.col("p")))), "gram").where(F.contains("p", "h")).select("hint", "path")
     return exact.unionByName(inside).distinct().withColumn("rank", hint_rank(F.col("hint"), F.col("path"))).where("rank is not null")
 
 

@@ -81,6 +81,16 @@ def test_name_matching(spark):
     assert got == {(1, "pkg/mod.py", "A.foo"), (2, "pkg/target.py", "shift")}
 
 
+def test_hint_join(spark):
+    paths = ["src/A9.py", "9", "x/14", "a", "ab", "", "x\\14/b", "docs/é/22", "src/a14b.py"]
+    hints = ["9", "14", "a", "b", "ab", "22", "é", "/", "py", ".py", "a9.PY", "x/14", "src", "zz", "q", " ", ""]
+    low = lambda s: s.replace("\\", "/").strip(" ").lower()
+    rank = lambda h, p: 0 if h == p else 1 if p.endswith("/" + h) else 2 if p.split("/")[-1] == h else 3
+    want = {(h, p, rank(low(h), low(p))) for h in hints for p in paths if low(h) and low(h) in low(p)}
+    got = matching.hint_join(spark.createDataFrame([(h,) for h in hints], "hint string"), spark.createDataFrame([(p,) for p in paths], "path string")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_line_windows(spark):
     df = spark.createDataFrame([("a", "\n".join(f"l{i}" for i in range(700))), ("b", ""), ("c", " \n\t\n")], "path string, content string")
     got = [(r.path, r.start_line, r.end_line) for r in chunking.windows(df).collect()]
