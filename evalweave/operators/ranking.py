@@ -63,16 +63,16 @@ def fused_order() -> list[Column]:
     return [F.desc("support"), F.desc("score"), F.desc("rrf"), F.desc("evidence_count"), F.asc("path")]
 
 
-def displayed(files: DataFrame, mode: str = "ranked") -> DataFrame:
-    """Adds `place`: ranked by score, blind (alphabetical) or clustered (directories by their best score)."""
-    low = F.lower("path")
+def displayed(files: DataFrame, mode: str = "ranked", group: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `place` within each group: ranked by score, blind (alphabetical) or clustered (directories by their best score)."""
+    low, per = F.lower("path"), Window.partitionBy(*group)
     if mode == "ranked":
-        return files.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("evidence_count"), "path")))
+        return files.withColumn("place", F.row_number().over(per.orderBy(F.desc("score"), F.desc("evidence_count"), "path")))
     if mode == "blind":
-        return files.withColumn("place", F.row_number().over(Window.orderBy(low, "path"))).drop("score")
-    best = files.groupBy(paths.parent(F.col("path")).alias("dir")).agg(F.max("score").alias("best"))
-    with_dir = files.withColumn("dir", paths.parent(F.col("path"))).join(best, "dir")
-    return with_dir.withColumn("place", F.row_number().over(Window.orderBy(F.desc("best"), F.lower("dir"), low, "path"))).drop("score", "best")
+        return files.withColumn("place", F.row_number().over(per.orderBy(low, "path"))).drop("score")
+    best = files.groupBy(*group, paths.parent(F.col("path")).alias("dir")).agg(F.max("score").alias("best"))
+    with_dir = files.withColumn("dir", paths.parent(F.col("path"))).join(best, [*group, "dir"])
+    return with_dir.withColumn("place", F.row_number().over(per.orderBy(F.desc("best"), F.lower("dir"), low, "path"))).drop("score", "best")
 
 
 def reordered(rows: DataFrame, key: str, order: list) -> DataFrame:
@@ -82,10 +82,11 @@ def reordered(rows: DataFrame, key: str, order: list) -> DataFrame:
     return rows.join(F.broadcast(given), key, "left").orderBy(F.asc_nulls_last("place"), key)
 
 
-def diverse(rows: DataFrame, kind: str, rank: str, limit: int) -> DataFrame:
-    """The first of each kind by rank, then others by rank, up to the limit."""
-    first = F.row_number().over(Window.partitionBy(kind).orderBy(rank)) > 1
-    return rows.withColumn("__later", first).orderBy("__later", rank).limit(limit).drop("__later")
+def diverse(rows: DataFrame, kind: str, rank: str, limit: int, group: tuple[str, ...] = ()) -> DataFrame:
+    """In each group the first of each kind by rank, then others by rank, up to the limit."""
+    later = F.row_number().over(Window.partitionBy(*group, kind).orderBy(rank)) > 1
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("__later", rank))
+    return rows.withColumn("__later", later).withColumn("__place", place).where(F.col("__place") <= limit).drop("__later", "__place")
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:

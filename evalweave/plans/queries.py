@@ -59,8 +59,8 @@ def a4_o3_rank_fusion(spark, sf_dir):
 
 @query
 def o10_a24_clustered_display(spark, sf_dir):
-    files = ranking.group_scores(_hits(spark, sf_dir).where("query_no = 0"), ["path"])
-    return ranking.displayed(files, "clustered").select("path", "dir", "place", "evidence_count")
+    files = ranking.group_scores(_hits(spark, sf_dir), ["query_no", "path"])
+    return ranking.displayed(files, "clustered", ("query_no",)).select("query_no", "path", "dir", "place", "evidence_count")
 
 
 @query
@@ -74,8 +74,7 @@ def p5_p6_filtered_vector_search(spark, sf_dir):
 
 @query
 def w8_diverse_pick(spark, sf_dir):
-    ranked = _hits(spark, sf_dir).where("query_no = 0")
-    return ranking.diverse(ranked, "label", "rank", 15).select("vec_id", "label", "rank")
+    return ranking.diverse(_hits(spark, sf_dir), "label", "rank", 15, ("query_no",)).select("query_no", "vec_id", "label", "rank")
 
 
 @query

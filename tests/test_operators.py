@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.operators import chunking, indexes, matching, ranking, sampling, sessions, summary
+from evalweave.plans.queries import QUERIES
 from evalweave.sources import files
 from evalweave.streaming import sessions as streams
 
@@ -73,6 +74,20 @@ def test_display(spark):
     assert "score" not in blind.columns and [r.path for r in blind.orderBy("place").collect()] == sorted(p for p, *_ in rows)
 
 
+def test_display_and_diverse_pick_of_every_query(spark, tmp_path):
+    rows = [(i, [float((i * 7 + j * 3) % 11 - 5 + i / 100) for j in range(4)], i % 6) for i in range(45)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    shown, picked = QUERIES["o10_a24_clustered_display"](spark, str(tmp_path)).collect(), QUERIES["w8_diverse_pick"](spark, str(tmp_path)).collect()
+    hits = QUERIES["o1_w1_vector_top_k"](spark, str(tmp_path)).collect()
+    assert {r.query_no for r in shown} == {r.query_no for r in picked} == {0, 20, 40}
+    for q in (0, 20, 40):
+        mine = sorted((r.rank, r.vec_id, r.vec_id % 6) for r in hits if r.query_no == q)
+        first = [min(m for m in mine if m[2] == kind) for kind in range(6)]
+        assert sorted((r.rank, r.vec_id, r.label) for r in picked if r.query_no == q) == sorted(first + [m for m in mine if m not in first][:9])
+        places = sorted((r.place, r.dir) for r in shown if r.query_no == q)
+        assert [p for p, _ in places] == [1, 2, 3, 4, 5, 6] and [d for _, d in places[::2]] == [d for _, d in places[1::2]]
+
+
 def test_name_matching(spark):
     defs = spark.createDataFrame([("pkg/mod.py", "foo", "A.foo", "method"), ("pkg/mod.py", "foo", "B.foo", "method"), ("pkg/target.py", "shift", "shift", "function"), ("pkg/other.py", "shift", "shift", "function")], "path string, name string, qualname string, kind string")
     index = chunking.function_index(defs)
