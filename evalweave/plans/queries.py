@@ -324,8 +324,10 @@ def k3_upsert(spark, sf_dir):
 
 @query
 def u1_u2_recall(spark, sf_dir):
-    words = F.split("text", " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(words, 1, 6).alias("gt"), F.slice(words, 4, 8).alias("found"))
+    """Whole texts: the first two thirds of the words are the truth, the last two thirds are found."""
+    words, third = F.col("words"), F.floor(F.size("words") / 3).cast("int")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    docs = docs.select("doc_id", F.slice(words, 1, F.size(words) - third).alias("gt"), F.slice(words, third + 1, F.size(words) - third).alias("found"))
     gt, found = F.col("gt"), F.col("found")
     return docs.select("doc_id", measures.hits(gt, found).alias("hits"), *[F.round(measures.recall(gt, found, k), 6).alias(f"r{k or 'all'}") for k in (1, 3, None)], measures.hit_any(gt, found).alias("hit"))
 

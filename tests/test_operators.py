@@ -106,6 +106,19 @@ def test_hint_join(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_recall_of_whole_texts(spark, tmp_path):
+    texts = [" ".join(f"w{(i * i + t) % (40 + t)}" for i in range(n)) for t, n in enumerate((0, 1, 2, 3, 11, 12, 13, 300, 3001))] + ["x " * 20 + "same " * 20 + "y " * 20]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["u1_u2_recall"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        words = t.split(" ")
+        third = len(words) // 3
+        gt, found = set(words[: len(words) - third]), words[third:]
+        want = [len(gt & set(found)), *[round(len(gt & set(f)) / len(gt), 6) for f in (found[:1], found[:3], found)], bool(gt & set(found))]
+        assert [got[i].hits, got[i].r1, got[i].r3, got[i].rall, got[i].hit] == pytest.approx(want, abs=1e-6)
+
+
 def test_line_windows(spark):
     df = spark.createDataFrame([("a", "\n".join(f"l{i}" for i in range(700))), ("b", ""), ("c", " \n\t\n")], "path string, content string")
     got = [(r.path, r.start_line, r.end_line) for r in chunking.windows(df).collect()]
