@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 import uuid
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but these bytes (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark removes the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -47,21 +48,26 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("errorifexists").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that nothing refers to any more: it does so when the
-        driver collects its garbage, which it seldom needs to do by itself."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Shuffle files of the query that makes the table go when it has ended: nothing reads them again."""
+        schema, before = df.schema, self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.mode("errorifexists").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            where = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            where.getFileSystem(conf).delete(where, True)
+            self._delete(self.path(name))
+
+    def remove(self) -> None:
+        """Deletes every table: what is returned must not read them any more."""
+        self._delete(self.base)
 
 
 def text_or_empty(name: str = "text") -> Column:

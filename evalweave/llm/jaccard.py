@@ -1,49 +1,60 @@
 """N-gram Jaccard join by adaptive multi-match prefixes, up to connected components.
 
-Rows of equal shingle sets are one class, found by a digest; only class representatives go on. With
-shingles in one global order (rare first, by a fixed-size count sketch over all documents), two sets of
-Jaccard similarity t share at least l of their (n - ceil(t n) + l)-prefixes. Each document picks the l
-of least estimated cost (postings read, and candidates left for verification), and a pair is verified
-only if it shares as many prefix shingles as the smaller of its two l asks for.
+Rows of equal shingle sets are one class, found by a digest; only class representatives go on. With shingles in
+one global order, two sets of Jaccard similarity t share at least l of their (n - ceil(t n) + l)-prefixes. Each
+document picks the l of least estimated cost (postings read, and candidates left for verification), and a pair
+is verified only if it shares as many prefix shingles as the smaller of its two l asks for.
+
+The order wants rare shingles first, and how many documents have one is counted exactly where it matters:
+- A count sketch of fixed size tells heavy shingles (in more documents than a bound that no light one passes).
+  They come last, ordered by the sketch.
+- Light ones have a level by their hash, so that a level holds about `PICK` times a prefix. A document sends the
+  levels, whole, that its longest prefix may reach into: some multiple of its prefix, never its whole set.
+- Of the shingles sent, those in two or more documents go back to their documents with their counts. Within a
+  level the order is by that count. What was sent by one document only is shared with no other prefix.
+Only documents that have a shared shingle in their shortest prefix (l = 1) go on. So neither what is sent nor
+what comes back hangs on how well a sketch of fixed size resolves: both grow with the documents.
 
 Two sets of sizes m and n share at least t (m + n) / (1 + t) shingles, and none before the first shared one:
-so the first shared one leaves each at least so many from it on. This is tested where pairs are made, so a
-document whose rare shingles are its own makes none, whatever others it resembles a little less. Only places
-of the shortest prefixes (l = 1) are indexed; the lengthened ones decide on the pairs those give.
-
-A bucket of mutually alike documents is not paired out. In rounds, each bucket's members are compared with
-one of them (a pivot, a new one each round: the one with most shingles left from there on, so most like all
-others); those it links to are led by it and stand behind it from then on. The leaders left in a bucket are compared with each other, but for those in one component already. Jaccard distance is a metric: members of two leaders can
-only be linked if the leaders' distance is at most the threshold's plus both radii, and only then are
-members compared. No link between different components is lost.
-
-Null or empty text and text without words have the empty set and link to nothing. Null ids link to
-nothing and get a null component. Ids are meant to be unique: rows repeated whole get equal results, and a
-row that shares its id with another text is placed by its own. Equal sets link whatever their size. An empty table gives an empty result. Only id and text are read.
+so the first shared one leaves each at least so many from it on. This is tested where pairs are made. Candidates
+meet in the shortest prefixes; the lengthened ones are then counted for each pair, and bits of parity rule out
+sets that differ too much, before any set travels. Pairs of a bucket: see links.
+
+Null or empty text and text without words have the empty set and link to nothing. Null ids link to nothing and
+get a null component. Repeated rows get equal results; rows that share an id but not a text are placed each by
+its own text. Equal sets link whatever their size; at 100 percent only they do. An empty table gives an empty
+result. Only id and text are read.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import Scratch, blocks, text_or_empty, tune, utf8
+from evalweave.llm.common import Scratch, blocks, shuffle_width, text_or_empty, tune, utf8
+from evalweave.llm.links import asked, bit_of, clusters, parities
 from evalweave.llm.words import U, mix, shingles, words
 
 SHINGLE = 3
 PERCENT = 90
-#: Counters of the sketch are 2**SKETCH numbers of 32 bits whatever the input: 16 MB in each worker.
-SKETCH, SLICES = 22, 64
+#: Counters of the sketch are 2**SKETCH numbers of 32 bits whatever the input: 4 MB in each worker.
+SKETCH, SLICES = 20, 16
+#: A shingle is heavy if its counter is above this and above HEAVY_NOISE times the mean counter.
+HEAVY, HEAVY_NOISE = 64, 4
+#: Shingles of the first level, as a multiple of the share that a prefix takes.
+PICK = 2.5
 MOST_MATCHES = 4
-ROUNDS = 2
-BITS = 26
 #: Cost of verifying a candidate, in postings read.
 VERIFY = 20.0
+#: Shingles that one task sorts at a time.
+RUN = 1 << 20
 
 
 def _sets_of(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -101,328 +112,276 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["slice", "counts"])
 
 
-def prefix_of(u: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[int, np.ndarray]:
-    """(l, prefix): how many shared prefix shingles to ask for, and the prefix long enough for that."""
-    n = len(u)
-    least = -(-percent * n // 100)  # a partner shares at least so many
-    c = counts[u >> U(64 - SKETCH)]
-    order = np.lexsort((u, c))
-    others = np.maximum(c[order] - noise - 1, 0.0)
-    read = np.cumsum(others + 1)
-    most = min(MOST_MATCHES, least)
-    at = n - least + np.arange(1, most + 1)  # prefix length for l = 1, 2, ...
-    cost = read[at - 1] + VERIFY * (read[at - 1] - at) / np.arange(1, most + 1)
-    best = int(np.argmin(cost)) + 1
-    return best, u[order[: n - least + best]]
+_EMITTED = "kind int, pid int, row int, id long, n long, c1 long, c2 long, light binary, heavy binary, weight binary, bits binary, slice long, tokens binary, rows binary"
+_ARROW = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in _EMITTED.split(", "))])
 
 
-def _direct(percent: int):
-    """Whether two documents may be linked, by size and prefixes: enough shared prefix shingles, and from each
-    of those on enough shingles for all that must still be shared."""
+def levels(percent: int) -> int:
+    return max(1, int(100 / (PICK * (100 - percent))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for nx, ny, lx, ly, px, py in zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True):
-                ok = 100 * min(nx, ny) >= percent * max(nx, ny)
-                if ok and px:
-                    both, i, j = np.intersect1d(np.frombuffer(px, U), np.frombuffer(py, U), assume_unique=True, return_indices=True)
-                    least = -(-percent * (nx + ny) // (100 + percent))
-                    left = np.minimum(nx - np.sort(i), ny - np.sort(j)) + np.arange(len(both))
-                    ok = len(both) >= min(lx, ly) and left.min() >= least
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keep, pa.bool_())], names=["a", "b", "keep"])
 
-    return run
+def longest(n: np.ndarray, percent: int) -> np.ndarray:
+    """Length of the longest prefix that sets of these sizes may choose."""
+    least = -(-percent * n // 100)  # a partner shares at least so many
+    return n - least + np.minimum(MOST_MATCHES, least)
 
 
-def _verify(percent: int):
+def _emit(k: int, percent: int, shared, bound: float, slices: int):
+    """kind 0: a row for each document; kind 1: what a task's documents send, dealt to slices of the hash."""
+    count = levels(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, row, counts = TaskContext.get().partitionId(), 0, shared.value
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, held
+            if held:
+                tokens, rows = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                at = (tokens >> U(16)) % U(slices)
+                order = np.lexsort((tokens, at))
+                tokens, rows, at = tokens[order], rows[order], at[order]
+                cut = np.flatnonzero(np.diff(at, prepend=U(slices)))
+                ends = np.append(cut, len(at))[1:]
+                parts = zip(cut.tolist(), ends.tolist(), strict=True)
+                some = [{"kind": 1, "pid": pid, "slice": int(at[a]), "tokens": tokens[a:b].tobytes(), "rows": rows[a:b].tobytes()} for a, b in parts]
+                for i in range(0, len(some), 256):
+                    yield pa.RecordBatch.from_pylist(some[i : i + 256], schema=_ARROW)
+            waiting, held = [], 0
+
         for batch in batches:
-            dist, link = [], []
-            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(p, U), np.frombuffer(q, U)
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                union = len(p) + len(q) - same
-                dist.append(1 - same / union if union else 1.0)
-                link.append(bool(union) and 100 * same >= percent * union)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(dist, pa.float64()), pa.array(link, pa.bool_())], names=["a", "b", "dist", "link"])
+            ids, texts, out = batch.column(0).to_pylist(), batch.column(1), []
+            data, off = utf8(texts)
+            for a, b in blocks(off):
+                sets = list(_sets_of(data[off[a] : off[b]], off[a : b + 1] - off[a], k))
+                sizes = np.array([len(u) for u in sets], np.int64)
+                flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                c = counts[flat >> U(64 - SKETCH)]
+                light = c <= bound
+                level = ((flat & U(0xFFFF)) * U(count) >> U(16)).astype(np.int64)
+                held_by = np.bincount(of[light] * count + level[light], minlength=len(sets) * count).reshape(-1, count)
+                upto = np.cumsum(held_by, axis=1)
+                wanted = longest(sizes, percent)
+                # A level is sent if those before it may not fill the longest prefix.
+                sent = (upto - held_by < wanted[:, None]) & (-(-percent // (100 - percent)) <= sizes)[:, None]
+                pick = light & sent[of, level]
+                waiting.append((flat[pick], (row + of[pick]).astype(np.uint32)))
+                held += int(pick.sum())
+                lacking = set(np.flatnonzero((upto[:, -1] < wanted) & sent[:, 0]).tolist())
+                bits = parities(flat, sizes)
+                at = np.cumsum(sizes) - sizes
+                for i, u in enumerate(sets):
+                    heavy = weight = None
+                    if i in lacking:
+                        s = slice(at[i], at[i] + sizes[i])
+                        h, w = u[~light[s]], c[s][~light[s]].astype(np.uint32)
+                        o = np.lexsort((h, w))[: wanted[i] - upto[i, -1]]
+                        heavy, weight = h[o].tobytes(), w[o].tobytes()
+                    if sent[i, 0]:
+                        out.append({
+                            "kind": 0, "pid": pid, "row": row + i, "id": ids[a + i], "n": int(sizes[i]), "c1": int(u.sum(dtype=U).view(np.int64)), "c2": int(mix(u + U(0x1B873593)).sum(dtype=U).view(np.int64)),
+                            "light": (held_by[i] * sent[i]).astype(np.uint32).tobytes(), "heavy": heavy, "weight": weight, "bits": bits[i],
+                        })
+                row += len(sets)
+                if held > 2 * RUN:
+                    yield from send()
+            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+        yield from send()
 
     return run
 
 
-def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """id and component (least id reachable) of every id with a link.
-
-    postings: (token, id, s, m): two ids can only be linked if they share a token where the s of each is at
-    least the m of the other. members: id, n, need (shared prefix
-    shingles to ask for) and prefix (their hashes in order, as bytes). fetch: from ids to their whole sets, as
-    (id, shingles); asked only for the ids of pairs that size and prefixes leave.
-    """
-    slack = (100 - percent) / 100
-    members = members.withColumn("bit", bit_of("id"))
-    kind = members.schema["id"].dataType.simpleString()
-
-    def both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
-        return pairs.select("a", "b", *[f"{side}_{c}" for c in columns for side in ("a", "b")])
-
-    def compare(pairs: DataFrame, name: str) -> DataFrame:
-        """a, b, dist, link; dist is null for pairs of single documents that the prefixes rule out."""
-        pairs = sc.write(f"{name}_pairs", pairs)
-        alone = pairs.where("direct")
-        # Members that no pair names stay where they are.
-        named = alone.select(F.col("a").alias("id")).unionByName(alone.select(F.col("b").alias("id")))
-        few = members.mapInArrow(asked(named.select(bit_of("id"))), members.schema).drop("bit")
-        tried = both(alone, few, ["n", "need", "prefix"]).mapInArrow(_direct(percent), f"a {kind}, b {kind}, keep boolean")
-        tried = sc.write(f"{name}_tried", tried)
-        hopeful = tried.where("keep").select("a", "b").unionByName(pairs.where("not direct").select("a", "b"))
-        ruled_out = tried.where("not keep").select("a", "b", F.lit(None).cast("double").alias("dist"), F.lit(False).alias("link"))
-        hopeful = sc.write(f"{name}_hopeful", hopeful)
-        ids = hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))).distinct()
-        if hopeful.isEmpty():
-            return sc.write(name, ruled_out)
-        sets = sc.write(f"{name}_sets", fetch(sc.write(f"{name}_ids", ids)))
-        seen = both(hopeful, sets, ["shingles"]).mapInArrow(_verify(percent), f"a {kind}, b {kind}, dist double, link boolean")
-        out = sc.write(name, seen.unionByName(ruled_out))
-        sc.drop(f"{name}_sets", f"{name}_pairs", f"{name}_hopeful", f"{name}_tried")
-        sc.release()
-        return out
-
-    lead = sc.write("lead0", members.select("id", F.col("id").alias("leader"), F.lit(0.0).alias("far")))
-    tested = []
-
-    def by_leader(lead: DataFrame) -> DataFrame:
-        """For each token and leader: the largest s and the smallest m of its members."""
-        return postings.join(lead, "id").groupBy("token", "leader").agg(F.max("s").alias("s"), F.min("m").alias("m"))
-
-    def side(table: DataFrame, names: dict[str, str], end: str) -> DataFrame:
-        return table.select("token", *[F.col(c).alias(name) for c, name in names.items()], F.col("s").alias(f"s{end}"), F.col("m").alias(f"m{end}"))
-
-    may = F.expr("s1 >= m2 and s2 >= m1")
-
-    def fresh(pairs: DataFrame, lead: DataFrame) -> DataFrame:
-        """Those of the pairs that no round has settled, marked direct if both stand for themselves alone.
-
-        Prefixes settle a pair of single documents; once one of them leads others, its distance is needed.
-        """
-        behind = sc.write(f"behind{len(tested)}", lead.where("id != leader").select("leader").distinct())
-        for c in ("a", "b"):
-            pairs = pairs.join(behind.select(F.col("leader").alias(c), F.lit(True).alias(f"led_{c}")), c, "left")
-        pairs = pairs.select("a", "b", (F.col("led_a").isNull() & F.col("led_b").isNull()).alias("direct"))
-        for t in tested:
-            known = t.select("a", "b", F.col("dist").isNotNull().alias("known"))
-            pairs = pairs.join(known, ["a", "b"], "left").where(F.col("known").isNull() | (~F.col("known") & ~F.col("direct"))).drop("known")
-        return pairs
-
-    ordered = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    used = None
-    for r in range(ROUNDS):
-        here = sc.write(f"here{r}", by_leader(lead))
-        # A pivot that has met its bucket makes room for the next one.
-        able = here if used is None else here.join(used, ["token", "leader"], "left_anti")
-        pivots = able.groupBy("token").agg(F.min(F.struct((-F.col("s")).alias("s"), "leader", "m")).alias("p"), F.min("m").alias("least")).where("-p.s >= least")
-        pivots = sc.write(f"pivots{r}", pivots.select("token", (-F.col("p.s")).alias("s"), F.col("p.m").alias("m"), F.col("p.leader").alias("x")))
-        met = pivots.select("token", F.col("x").alias("leader"))
-        used = met if used is None else used.unionByName(met)
-        pairs = side(here, {"leader": "y"}, "2").join(side(pivots, {"x": "x"}, "1"), "token")
-        pairs = pairs.where(may & F.expr("x != y")).select(*ordered).distinct()
-        seen = compare(fresh(pairs, lead), f"round{r}")
-        tested.append(seen)
-        links = seen.where("link").select("a", "b", "dist")
-        links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-        # The one with most links leads, of ties that of the larger id.
-        weight = sc.write(f"weight{r}", links.groupBy("a").agg(F.count("*").alias("links")))
-        rank = lambda c: weight.select(F.col("a").alias(c), F.struct("links", "a").alias(f"rank_{c}"))
-        parent = links.join(rank("a"), "a").join(rank("b"), "b").where("rank_a > rank_b").groupBy("b").agg(F.max(F.struct("rank_a", "a", "dist")).alias("p"))
-        parent = sc.write(f"parent{r}", parent.select("b", "p.a", "p.dist"))
-        # Only those that nothing leads take members on, so that a radius stays a distance to one leader.
-        root = parent.join(parent.select(F.col("b").alias("a")), "a", "left_anti")
-        moved = lead.join(root, lead.leader == root.b, "left")
-        lead = sc.write(f"lead{r + 1}", moved.select("id", F.coalesce("a", "leader").alias("leader"), (F.col("far") + F.coalesce("dist", F.lit(0.0))).alias("far")))
-        sc.drop(f"here{r}")
-
-    def so_far() -> DataFrame:
-        out = tested[0]
-        for t in tested[1:]:
-            out = out.unionByName(t)
-        return out
-
-    def apart(pairs: DataFrame, name: str) -> DataFrame:
-        """Without the pairs that links found so far have joined into one component already."""
-        known = components(sc, so_far().where("link"), name)
-        for c in ("a", "b"):
-            pairs = pairs.join(known.select(F.col("id").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
-        return pairs.where("in_a is null or in_b is null or in_a != in_b").select("a", "b")
-
-    here = sc.write("here", by_leader(lead))
-    pairs = side(here, {"leader": "a"}, "1").join(side(here, {"leader": "b"}, "2"), "token").where(may & F.expr("a < b")).select("a", "b").distinct()
-    tested.append(compare(fresh(apart(pairs, "before"), lead), "leaders"))
-    everything = so_far()
-    radius = lead.groupBy("leader").agg(F.max("far").alias("radius")).where("radius > 0")
-    near = everything.where("not link and dist is not null")
-    for c in ("a", "b"):
-        near = near.join(radius.select(F.col("leader").alias(c), F.col("radius").alias(f"r_{c}")), c, "left")
-    reach = F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0))
-    near = near.where((reach > 0) & (F.col("dist") <= slack + reach + 1e-9)).select("a", "b", "dist")
-    near = sc.write("near", apart(near.select("a", "b"), "after").join(near, ["a", "b"]))
-    ends = near.select(F.col("a").alias("leader")).unionByName(near.select(F.col("b").alias("leader"))).distinct()
-    owned = sc.write("owned", postings.join(lead.join(ends, "leader", "left_semi"), "id"))
-    # Members meet at a token first: a leader's members times its near leaders would be many more.
-    left, right = side(owned, {"id": "x", "leader": "a", "far": "far_x"}, "1"), side(owned, {"id": "y", "leader": "b", "far": "far_y"}, "2")
-    inner = left.join(right, "token").where(may & F.expr("a < b")).groupBy("x", "y").agg(*[F.first(c).alias(c) for c in ("a", "b", "far_x", "far_y")])
-    # The same bound for each two members: they are no farther from their leaders than `far`.
-    inner = inner.join(near, ["a", "b"]).where(F.col("dist") <= slack + F.col("far_x") + F.col("far_y") + 1e-9).select(*ordered)
-    inner = inner.select("a", "b", F.lit(True).alias("direct"))
-    edges = everything.where("link").select("a", "b").unionByName(compare(inner, "inner").where("link").select("a", "b"))
-    return components(sc, edges)
-
-
-def components(sc: Scratch, edges: DataFrame, name: str = "all") -> DataFrame:
-    """id and component (least id reachable) of every id in edges (a, b), by least labels and label jumps.
-
-    One written table a step; the driver sees a count of changes. Steps grow with the logarithm of a
-    chain's length, as each also jumps to its label's label.
+def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Runs of rows of one key; rows come sorted by it."""
+    rows: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if rows and rows[0][key] != r[key]:
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each slice: which documents share which shingles, dealt back to the tasks that sent them."""
+    for group in _grouped(batches, "slice"):
+        tokens = np.concatenate([np.frombuffer(r["tokens"], U) for r in group])
+        rows = np.concatenate([np.frombuffer(r["rows"], np.uint32) for r in group])
+        pid = np.repeat(np.array([r["pid"] for r in group], np.int32), [len(r["tokens"]) // 8 for r in group])
+        order = np.argsort(tokens, kind="stable")
+        first = np.flatnonzero(np.diff(tokens[order], prepend=~tokens[order[:1]]))
+        df = np.diff(np.append(first, len(order)))
+        df = np.repeat(df, df)
+        order, df = order[df > 1], df[df > 1].astype(np.uint32)
+        by = np.argsort(pid[order], kind="stable")
+        order, df = order[by], df[by]
+        cut = np.flatnonzero(np.diff(pid[order], prepend=-1))
+        ends = np.append(cut, len(order))[1:]
+        out = [{"kind": 1, "pid": int(pid[order[a]]), "tokens": tokens[order[a:b]].tobytes(), "rows": rows[order[a:b]].tobytes(), "weight": df[a:b].tobytes()} for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+        yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+
+
+def _choose(percent: int):
+    """For each document that may have a partner: how many matches to ask for, and its prefix.
+
+    Places count what comes before in the order, shingles that no other document sent included.
     """
-    both = sc.write(f"{name}_edges", edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = sc.write(f"{name}_label0", both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
-    step = 0
-    while True:
-        step += 1
-        heard = both.join(label, both.b == label.id).groupBy("a").agg(F.min("component").alias("m"))
-        best = label.join(heard, label.id == heard.a, "left").select("id", "component", F.least("component", "m").alias("new"))
-        jump = label.select(F.col("id").alias("new"), F.col("component").alias("further"))
-        out = best.join(jump, "new", "left").select("id", F.least("new", "further").alias("component"), (F.least("new", "further") != F.col("component")).alias("changed"))
-        written = sc.write(f"{name}_label{step}", out)
-        label = written.select("id", "component")
-        if not written.where("changed").limit(1).count():
-            return label
-
-
-def bitmap(bits: DataFrame) -> np.ndarray:
-    """2**BITS bits, set where the table's one column says so: 8 MB whatever the input. What it lets through is
-    joined exactly afterwards; where too many bits are set it only lets more through."""
+    count = levels(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
-        for batch in batches:
-            bit = batch.column(0).to_numpy()
-            for s in np.unique(bit >> (BITS - 3)).tolist():
-                own.setdefault(s, np.zeros(1 << (BITS - 3), bool))[bit[bit >> (BITS - 3) == s] & ((1 << (BITS - 3)) - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([np.packbits(x).tobytes() for x in own.values()], pa.binary())], names=["slice", "bits"])
-
-    name = bits.columns[0]
-    dealt = bits.select(F.col(name).cast("long").alias("bit")).repartition(8, F.shiftright("bit", BITS - 3))
-    out = np.zeros((8, 1 << (BITS - 6)), np.uint8)
-    for s, x in dealt.mapInArrow(run, "slice int, bits binary").collect():
-        out[s] = np.frombuffer(x, np.uint8)
-    return out.reshape(-1)
+        for group in _grouped(batches, "pid"):
+            docs, back = [r for r in group if not r["kind"]], [r for r in group if r["kind"]]
+            if not docs:
+                continue
+            m = len(docs)
+            n = np.array([r["n"] for r in docs], np.int64)
+            rows = np.array([r["row"] for r in docs], np.int64)
+            by_row = np.argsort(rows)
+            held = np.array([np.frombuffer(r["light"], np.uint32) for r in docs], np.int64).reshape(m, count)
+            tokens = np.concatenate([np.zeros(0, U), *[np.frombuffer(r["tokens"], U) for r in back]])
+            df = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["weight"], np.uint32) for r in back]]).astype(np.int64)
+            of = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["rows"], np.uint32) for r in back]]).astype(np.int64)
+            spot = np.minimum(np.searchsorted(rows[by_row], of), m - 1)
+            known = rows[by_row][spot] == of  # the others' classes have another representative
+            of, tokens, df = by_row[spot[known]], tokens[known], df[known]
+            level = ((tokens & U(0xFFFF)) * U(count) >> U(16)).astype(np.int64)
+            order = np.lexsort((tokens, df, level, of))
+            of, tokens, df, level = of[order], tokens[order], df[order], level[order]
+            cell = of * count + level
+            back_by = np.bincount(cell, minlength=m * count).reshape(m, count)
+            before = (np.cumsum(held, axis=1) - held + held - back_by).reshape(-1)  # lower levels, and those of this level that came from one document only
+            start = np.cumsum(back_by.reshape(-1)) - back_by.reshape(-1)
+            place = before[cell] + np.arange(len(cell)) - start[cell]
+            for i, r in enumerate(docs):
+                if r["heavy"]:
+                    h = np.frombuffer(r["heavy"], U)
+                    of = np.append(of, np.full(len(h), i))
+                    tokens, df = np.append(tokens, h), np.append(df, np.frombuffer(r["weight"], np.uint32).astype(np.int64))
+                    place = np.append(place, held[i].sum() + np.arange(len(h)))
+            least = -(-percent * n // 100)
+            inside = place < longest(n, percent)[of]
+            of, tokens, df, place = of[inside], tokens[inside], df[inside], place[inside]
+            need, best = np.ones(m, np.int64), np.full(m, np.inf)
+            for matches in range(1, MOST_MATCHES + 1):
+                at = n - least + matches
+                within = place < at[of]
+                others = np.bincount(of[within], weights=df[within] - 1, minlength=m)
+                cost = np.where(matches <= least, at + others + VERIFY * others / matches, np.inf)
+                need, best = np.where(cost < best, matches, need), np.minimum(cost, best)
+            keep = place < (n - least + need)[of]
+            of, tokens, place = of[keep], tokens[keep], place[keep]
+            active = np.bincount(of[place <= (n - least)[of]], minlength=m) > 0
+            order = np.lexsort((place, of))
+            of, tokens, place = of[order], tokens[order], place[order].astype(np.uint32)
+            start = np.searchsorted(of, np.arange(m + 1))
+            some = np.flatnonzero(active)
+            columns = [
+                pa.array((np.array([r["pid"] for r in docs], np.int64) << 32 | rows)[some]), pa.array(n[some]), pa.array(need[some].astype(np.int32)),
+                pa.array([tokens[start[i] : start[i + 1]].tobytes() for i in some], pa.binary()), pa.array([place[start[i] : start[i + 1]].tobytes() for i in some], pa.binary()),
+                pa.array([docs[i]["bits"] for i in some], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "need", "tokens", "places", "bits"])
 
+    return run
 
-def bit_of(name: str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(name), 64 - BITS).alias("bit")
 
+def _post(percent: int):
+    """A row for each prefix shingle of the shortest prefix (l = 1).
 
-def asked(bits: DataFrame):
-    """Keeps rows whose column `bit` is among the bits."""
-    wanted = bits.sparkSession.sparkContext.broadcast(bitmap(bits))
+    s = (100 + p)(n - place) - p n and m = p n: with s at least the other's m, enough shingles are left for a
+    link at p per cent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(is_set(wanted.value, batch.column("bit").to_numpy())))
+            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            tokens = [np.frombuffer(x, U) for x in batch.column(2).to_pylist()]
+            of = np.repeat(np.arange(len(ids)), [len(x) for x in tokens])
+            place = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).astype(np.int64)
+            n = sizes[of]
+            keep = place <= n - -(-percent * n // 100)
+            s = (100 + percent) * (n - place) - percent * n
+            columns = [np.concatenate([np.zeros(0, U), *tokens]).view(np.int64)[keep], ids[of][keep], s[keep], (percent * n)[keep]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["token", "id", "s", "m"])
 
     return run
 
 
-def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-
-
-def link(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """key, n_shingles and component_id of every row of docs."""
-    tune(spark)
-    sc = Scratch(spark, "jaccard")
-    rows = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
-    survey = sc.write("survey", rows.mapInArrow(_survey(k, pa.int64()), "kind int, id long, n long, c1 long, c2 long, slice int, counts binary"))
-    merged = survey.where("kind = 1").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_merge, "slice int, counts binary")
+def _links(sc: Scratch, rows: DataFrame, survey: DataFrame, classes: DataFrame, spark: SparkSession, k: int, percent: int) -> DataFrame:
+    """n, c1, c2 and component (least id) of the classes that link to others. rows: id, text."""
+    merged = survey.where("kind = 1").select("slice", "counts").repartition("slice").mapInArrow(_merge, "slice int, counts binary")
     counts = np.zeros((SLICES, (1 << SKETCH) // SLICES), np.uint32)
     for s, x in merged.collect():  # fixed size: 2**SKETCH counters
         counts[s] = np.frombuffer(zlib.decompress(x), "<u4")
     counts = counts.reshape(-1)
     noise = float(counts.mean(dtype=np.float64))
+    slices = int(noise * len(counts) / levels(percent)) // RUN + 1  # of about RUN shingles, and of light ones, of which none has many
+    width = shuffle_width(spark)
     shared = spark.sparkContext.broadcast(counts)
-    sized = survey.where("kind = 0").select("id", "n", "c1", "c2")
-    classes = sized.where("n > 0 and id is not null").groupBy("n", "c1", "c2").agg(F.min("id").alias("rep"))
-    classes = sc.write("classes", classes)
-    # Below this size, sets that are not equal cannot be linked: n of n + 1 shingles is less than percent.
-    small = -(-percent // (100 - percent))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c1, n, need, prefix = [], [], [], []
-            for u in _sets_of(*utf8(batch.column(1)), k):
-                c1.append(u.sum(dtype=U))
-                n.append(len(u))
-                best, tokens = prefix_of(u, shared.value, noise, percent) if len(u) >= small else (None, None)
-                need.append(best)
-                prefix.append(None if tokens is None else tokens.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(c1, U).view(np.int64)), pa.array(n, pa.int64()), pa.array(need, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "c1", "n", "need", "prefix"])
-
-    chosen = rows.where("id is not null").mapInArrow(prefixes, "id long, c1 long, n long, need int, prefix array<bigint>").where("need is not null")
-    reps = classes.where(F.col("n") >= small).groupBy(F.col("rep").alias("id")).agg(F.min("c1").alias("c1"))
-    chosen = sc.write("prefixes", chosen.join(reps, ["id", "c1"], "left_semi").dropDuplicates(["id"]))
-    # At place `at`, s = (100 + p)(n - at) - p n and m = p n: with s at least the other's m, enough shingles are
-    # left for a link at p per cent. Places up to need - 1 from the end only serve lengthened prefixes.
-    tokens = chosen.select("n", F.expr("slice(prefix, 1, size(prefix) - need + 1)").alias("prefix")).select("n", F.posexplode("prefix").alias("at", "token"))
-    meets = tokens.groupBy("token").agg(F.count("*").alias("c"), F.max(F.expr(f"{100 + percent} * (n - at) - {percent} * n")).alias("s"), F.min(F.col("n") * percent).alias("m"))
-    busy = meets.where("c > 1 and s >= m").select("token")
-    busy = sc.write("busy", busy)
-    # Most tokens are in one document only: the bitmap keeps them from the join.
-    some = spark.sparkContext.broadcast(bitmap(busy.select(F.shiftrightunsigned("token", 64 - BITS))))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2).flatten().to_numpy().view(U)
-            sizes = np.diff(batch.column(2).offsets.to_numpy())
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.arange(len(lists)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = np.flatnonzero(is_set(some.value, (lists >> U(64 - BITS)).astype(np.int64)))
-            n = batch.column(1).to_numpy()[doc[keep]]
-            s, m = (100 + percent) * (n - at[keep]) - percent * n, percent * n
-            yield pa.RecordBatch.from_arrays([pa.array(lists[keep].view(np.int64)), batch.column(0).take(pa.array(doc[keep])), pa.array(s), pa.array(m)], names=["token", "id", "s", "m"])
-
-    posted = chosen.select("id", "n", F.expr("slice(prefix, 1, size(prefix) - need + 1)").alias("prefix")).mapInArrow(post, "token long, id long, s long, m long")
+    # Most copies are kept out by the bitmap, all by the grouping below.
+    first = asked(classes.select(bit_of("id")))
+    texts = rows.select("id", "text", bit_of("id")).where("id is not null").mapInArrow(first, "id long, text string, bit long").select("id", "text")
+    emitted = sc.write("emitted", texts.mapInArrow(_emit(k, percent, shared, max(HEAVY, HEAVY_NOISE * noise), slices), _EMITTED))
+    fields = [x.split()[0] for x in _EMITTED.split(", ")]
+    one = emitted.where("kind = 0").groupBy("n", "c1", "c2").agg(F.min(F.struct("id", "pid", "row", "light", "heavy", "weight", "bits")).alias("r"))
+    reps = sc.write("reps", one.select("n", "c1", "c2", "r.*"))
+    own = reps.select(*[F.col(c) if c in reps.columns else F.lit(0 if c == "kind" else None).cast(emitted.schema[c].dataType).alias(c) for c in fields])
+    # A task sorts one slice after another, so that it holds one at a time, whatever their number.
+    sent = emitted.where("kind = 1").select("slice", "pid", "tokens", "rows").repartition(min(slices, 4 * width), "slice").sortWithinPartitions("slice")
+    back = sent.mapInArrow(_meet, _EMITTED)
+    dealt = own.unionByName(back).repartition(width, "pid").sortWithinPartitions("pid")
+    members = sc.write("members", dealt.mapInArrow(_choose(percent), "id long, n long, need int, tokens binary, places binary, bits binary"))
+    sc.drop("emitted")
+    posted = sc.write("posted", members.select("id", "n", "tokens", "places").mapInArrow(_post(percent), "token long, id long, s long, m long"))
+    busy = sc.write("busy", posted.groupBy("token").agg(F.count("*").alias("c"), F.max("s").alias("s"), F.min("m").alias("m")).where("c > 1 and s >= m").select("token"))
     postings = sc.write("postings", posted.join(busy, "token"))
-    sc.release()
+    sc.drop("posted", "busy")
+    named = reps.select(F.expr("shiftleft(cast(pid as long), 32) | row").alias("rep"), "id", "n", "c1", "c2")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        keep = asked(ids.select(bit_of("id")))
+        wanted = sc.write(f"wanted{uuid.uuid4().hex}", named.join(ids.withColumnRenamed("id", "rep"), "rep"))
+        keep = asked(wanted.select(bit_of("id")))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in keep(batches):
                 sets = list(_sets_of(*utf8(batch.column(2)), k))
-                c1 = np.array([u.sum(dtype=U) for u in sets], U).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c1), pa.array([u.tobytes() for u in sets], pa.binary())], names=["id", "c1", "shingles"])
+                sums = [np.array([x.sum(dtype=U) for x in y], U).view(np.int64) for y in (sets, [mix(u + U(0x1B873593)) for u in sets])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums), pa.array([u.tobytes() for u in sets], pa.binary())], names=["id", "c1", "c2", "shingles"])
 
-        # Texts don't travel: each task makes the sets of its own rows that are asked for. c1 tells the text of
-        # a class from others under the same id; rows repeated whole are one set.
-        sets = rows.select("id", bit_of("id"), "text").where("id is not null").mapInArrow(whole, "id long, c1 long, shingles binary")
-        return sets.dropDuplicates(["id", "c1"]).join(chosen.select("id", "c1").join(ids, "id").repartition("id", "c1"), ["id", "c1"]).select("id", "shingles")
+        # Texts don't travel: each task makes the sets of its own rows that are asked for. The digest tells the
+        # text of a class from others under the same id; rows repeated whole are one set.
+        sets = rows.select("id", bit_of("id"), "text").where("id is not null").mapInArrow(whole, "id long, c1 long, c2 long, shingles binary")
+        return sets.join(wanted, ["id", "c1", "c2"]).groupBy(F.col("rep")).agg(F.first("shingles").alias("shingles")).withColumnRenamed("rep", "id")
+
+    found = sc.write("found", clusters(sc, postings, members, fetch, percent))
+    named = sc.write("named", found.select(F.col("id").alias("rep"), "component").join(named, "rep"))
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    return named.join(least, "component").select("n", "c1", "c2", F.col("least").alias("component"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [np.asarray(x, np.int64).tobytes() for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["id", "n", "need", "prefix"])
 
-    active = chosen.join(postings.select("id").distinct(), "id", "left_semi").select("id", "n", "need", "prefix")
-    members = sc.write("narrow", active.mapInArrow(pack, "id long, n long, need int, prefix binary"))
-    found = clusters(sc, postings, members, fetch, percent)
-    reach = classes.join(found, classes.rep == found.id, "left").select("n", "c1", "c2", F.coalesce("component", "rep").alias("component"))
+def link(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """key, n_shingles and component_id of every row of docs."""
+    tune(spark)
+    sc, kept = Scratch(spark, "jaccard"), Scratch(spark, "linked")
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
+    survey = sc.write("survey", rows.mapInArrow(_survey(k, pa.int64()), "kind int, id long, n long, c1 long, c2 long, slice int, counts binary"))
+    sized = survey.where("kind = 0").select("id", "n", "c1", "c2")
+    some = F.expr("n > 0 and id is not null")
+    classes = sc.write("classes", sized.where(some).groupBy("n", "c1", "c2").agg(F.min("id").alias("id")))
+    reach = classes.withColumnRenamed("id", "component")
+    if percent < 100:
+        linked = sc.write("linked", _links(sc, rows, survey, classes, spark, k, percent).withColumnRenamed("component", "joined"))
+        reach = reach.join(linked, ["n", "c1", "c2"], "left").select("n", "c1", "c2", F.coalesce("joined", "component").alias("component"))
+    # Written: the join then has plain exchanges on both sides, which AQE splits at a class of many copies.
     reach = sc.write("reach", reach)
-    alone = sized.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    rest = sized.where("n > 0 and id is not null").join(reach, ["n", "c1", "c2"]).select("id", "n", F.col("component").alias("component_id"))
-    return rest.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    alone = sized.where(~some).select("id", "n", F.col("id").alias("component_id"))
+    rest = sized.where(some).join(reach, ["n", "c1", "c2"]).select("id", "n", F.col("component").alias("component_id"))
+    out = kept.write("components", rest.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id"))
+    sc.remove()
+    return out
 
 
 def first_of_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -433,8 +392,9 @@ def first_of_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", t
     """
     sc = Scratch(spark, "groups")
     placed = sc.write("placed", link(docs, spark, key, text, k, percent))
-    stay = placed.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("stay")).agg(F.count("*").alias("rows"))
-    stay = sc.write("stay", stay)
+    stay = placed.groupBy(F.col(key).alias("stay")).agg(F.count("*").alias("rows"), F.max(F.col(key) == F.col("component_id")).alias("first"))
+    stay = sc.write("stay", stay.where("first"))
+    sc.drop("placed")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("id"))
     once = rows.join(stay.where("rows = 1"), F.col("id") == F.col("stay"), "left_semi").select("row")
     often = rows.join(stay.where("rows > 1"), F.col("id") == F.col("stay"), "left_semi")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import Scratch, blocks, even_ranges, range_of, shuffle_width, text_or_empty, tune, utf8
-from evalweave.llm.jaccard import clusters
+from evalweave.llm.links import clusters, parities
 from evalweave.llm.words import U, mix, shingles, words
 
 SHINGLE = 5
@@ -134,11 +134,12 @@ def _sets(docs: DataFrame, spark: SparkSession, key: str, text: str, k: int) ->
         for batch in batches:
             data, off = utf8(batch.column(1))
             sigs = signatures(data, off, k)
-            cls, bands, sets = [], [], []
+            cls, bands, sets, bits = [], [], [], []
             for a, b in blocks(off):
                 h, begin = shingles(*words(data[off[a] : off[b]], off[a : b + 1] - off[a]), k)
-                for i in range(b - a):
-                    u = np.unique(h[begin[i] : begin[i + 1]])
+                unique = [np.unique(h[begin[i] : begin[i + 1]]) for i in range(b - a)]
+                bits += parities(np.concatenate(unique), np.array([len(u) for u in unique], np.int64))
+                for i, u in enumerate(unique):
                     cls.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
                     sets.append(u.tobytes())
                     rows = sigs[a + i].reshape(BANDS, ROWS).astype(U)
@@ -146,10 +147,10 @@ def _sets(docs: DataFrame, spark: SparkSession, key: str, text: str, k: int) ->
                     for j in range(ROWS):
                         x = mix(x * U(0x9FB21C651E98DF25) + rows[:, j])
                     bands.append(x.view(np.int64) if len(u) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["key", "cls", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(bits, pa.binary())], names=["key", "cls", "bands", "shingles", "bits"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), text_or_empty(text)).mapInArrow(run, f"key {kind}, cls binary, bands array<bigint>, shingles binary")
+    return docs.select(F.col(key), text_or_empty(text)).mapInArrow(run, f"key {kind}, cls binary, bands array<bigint>, shingles binary, bits binary")
 
 
 def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text: str = "text", like: int = LIKE, k: int = SHINGLE) -> DataFrame:
@@ -159,10 +160,11 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
     members = sc.write("members", _sets(docs.where(F.col(key).isNotNull()), spark, key, text, k))
     one = members.groupBy("cls").agg(F.min("key").alias("id"))
     one = sc.write("one", one)
-    sets = members.join(one, (F.col("key") == F.col("id")) & (members.cls == one.cls), "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "bands", "shingles")
+    sets = members.join(one, (F.col("key") == F.col("id")) & (members.cls == one.cls), "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "bands", "shingles", "bits")
     sets = sc.write("sets", sets.withColumn("n", F.expr("cast(octet_length(shingles) div 8 as long)")))
     postings = sets.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("token"), "id", (F.col("n") * 100).alias("s"), (F.col("n") * like).alias("m"))
-    narrow = sets.select("id", "n", F.lit(1).alias("need"), F.lit(b"").alias("prefix"))
+    none = F.lit(None).cast("binary")
+    narrow = sets.select("id", "n", F.lit(1).alias("need"), none.alias("tokens"), none.alias("places"), "bits")
     groups = clusters(sc, sc.write("postings", postings), narrow, lambda ids: sets.select("id", "shingles").join(ids, "id"), like)
     reach = one.join(groups, "id", "left").select("cls", F.coalesce("component", "id").alias("group"))
     empty = F.length("shingles") == 0

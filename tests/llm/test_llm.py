@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evalweave.llm import bpe, chat, jaccard, minhash, mixing, packing, quality, secrets, shards, tokens, warc
+from evalweave.llm import bpe, chat, jaccard, links, minhash, mixing, packing, quality, secrets, shards, tokens, warc
 from evalweave.llm.common import even_ranges, range_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, words int, spans string, size int, hash string, at int, id int, stay int"
@@ -199,21 +199,46 @@ def test_minhash_groups(spark):
     assert sum(got[i] == want[i] for i in want) >= 0.9 * len(want) and all(got[i] >= want[i] for i in want)
 
 
-def test_shorter_prefixes_keep_every_link():
+def small_corpus(vocabulary, seed=1):
+    """Texts of 2 to 150 words with copies of up to two edits: sets from one shingle on, many at the threshold."""
+    r, out = random.Random(seed), {}
+    pool = [f"w{i}" for i in range(vocabulary)]
+    for n in [*range(2, 27), 60, 150]:
+        base = [r.choice(pool) for _ in range(n)]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(r.randrange(3)):
+                i = r.randrange(len(w))
+                w[i : i + r.randrange(2)] = [r.choice(pool)] * r.randrange(2)
+            out[len(out)] = " ".join(w)
+    return out
+
+
+@pytest.mark.parametrize("k,percent,vocabulary,heavy", [(3, 90, 400, 64), (1, 60, 60, 3)])
+def test_jaccard_join_of_all_sizes(spark, monkeypatch, k, percent, vocabulary, heavy):
+    """Light and heavy shingles, several slices and levels: every link of the brute force is found."""
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard, "HEAVY_NOISE", 0)
+    monkeypatch.setattr(jaccard, "RUN", 200)
+    texts = small_corpus(vocabulary)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(df, spark, k=k, percent=percent).collect()}
+    want = groups(texts, k, percent)
+    assert got == want and sum(c != i for i, (_, c) in want.items()) > 15
+
+
+def test_jaccard_join_at_100_percent(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (0, "a b c d"), (2, "a b c"), (3, "")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.link(df, spark, percent=100).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_parity_bits_never_differ_more_than_the_sets():
     rng = np.random.default_rng(3)
-    counts = rng.integers(1, 50, 1 << jaccard.SKETCH).astype(np.uint32)
-    for _ in range(300):
-        n = int(rng.integers(10, 120))
-        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.06], rng.integers(0, 2**63, int(rng.integers(0, 4)), dtype=np.uint64)]))
-        same = len(np.intersect1d(a, b))
-        if 100 * same < 90 * (len(a) + len(b) - same):
-            continue
-        (la, pa), (lb, pb) = (jaccard.prefix_of(x, counts, 20.0, 90) for x in (a, b))
-        small, other, need = (pa, pb, la) if len(a) <= len(b) else (pb, pa, lb)
-        m = min(len(a), len(b))
-        shorter = small[: m - -(-180 * m // 190) + need]
-        assert len(np.intersect1d(shorter, other)) >= min(la, lb)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 400)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.2], rng.integers(0, 2**63, int(rng.integers(1, 200)), dtype=np.uint64)]))
+        x, y = links.parities(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        assert links.differ(x, y) == links.differ(y, x) <= len(np.setxor1d(a, b))
 
 
 def test_token_counts(spark, docs, nothing):
