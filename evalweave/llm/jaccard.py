@@ -54,12 +54,14 @@ MOST_MATCHES = 4
 #: Cost of verifying a candidate, in postings read.
 VERIFY = 20.0
 #: Shingles that one task sorts at a time.
-RUN = 1 << 20
+RUN = 1 << 19
+#: Bytes of text looked at together: arrays over them take some 40 times as much.
+BLOCK = 1 << 18
 
 
 def _sets_of(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    for a, b in blocks(off):
+    for a, b in blocks(off, BLOCK):
         h, begin = shingles(*words(data[off[a] : off[b]], off[a : b + 1] - off[a]), k)
         for i in range(b - a):
             yield np.unique(h[begin[i] : begin[i + 1]])
@@ -86,7 +88,7 @@ def _survey(k: int, key_type: pa.DataType):
                 c2.append(mix(u + U(0x1B873593)).sum(dtype=U))
                 waiting.append(u)
                 held += len(u)
-                if held > 1 << 21:
+                if held > RUN:
                     add()
             m = len(n)
             yield pa.RecordBatch.from_arrays([
@@ -126,7 +128,7 @@ def longest(n: np.ndarray, percent: int) -> np.ndarray:
     return n - least + np.minimum(MOST_MATCHES, least)
 
 
-def _emit(k: int, percent: int, shared, bound: float, slices: int):
+def _emit(k: int, percent: int, keep, shared, bound: float, slices: int):
     """kind 0: a row for each document; kind 1: what a task's documents send, dealt to slices of the hash."""
     count = levels(percent)
 
@@ -150,10 +152,10 @@ def _emit(k: int, percent: int, shared, bound: float, slices: int):
                     yield pa.RecordBatch.from_pylist(some[i : i + 256], schema=_ARROW)
             waiting, held = [], 0
 
-        for batch in batches:
+        for batch in keep(batches):
             ids, texts, out = batch.column(0).to_pylist(), batch.column(1), []
             data, off = utf8(texts)
-            for a, b in blocks(off):
+            for a, b in blocks(off, BLOCK):
                 sets = list(_sets_of(data[off[a] : off[b]], off[a : b + 1] - off[a], k))
                 sizes = np.array([len(u) for u in sets], np.int64)
                 flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -323,8 +325,8 @@ def _links(sc: Scratch, rows: DataFrame, survey: DataFrame, classes: DataFrame,
     shared = spark.sparkContext.broadcast(counts)
     # Most copies are kept out by the bitmap, all by the grouping below.
     first = asked(classes.select(bit_of("id")))
-    texts = rows.select("id", "text", bit_of("id")).where("id is not null").mapInArrow(first, "id long, text string, bit long").select("id", "text")
-    emitted = sc.write("emitted", texts.mapInArrow(_emit(k, percent, shared, max(HEAVY, HEAVY_NOISE * noise), slices), _EMITTED))
+    texts = rows.select("id", "text", bit_of("id")).where("id is not null")
+    emitted = sc.write("emitted", texts.mapInArrow(_emit(k, percent, first, shared, max(HEAVY, HEAVY_NOISE * noise), slices), _EMITTED))
     fields = [x.split()[0] for x in _EMITTED.split(", ")]
     one = emitted.where("kind = 0").groupBy("n", "c1", "c2").agg(F.min(F.struct("id", "pid", "row", "light", "heavy", "weight", "bits")).alias("r"))
     reps = sc.write("reps", one.select("n", "c1", "c2", "r.*"))

@@ -235,13 +235,14 @@ def components(sc: Scratch, edges: DataFrame, name: str = "all") -> DataFrame:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bits of a task's rows, as compressed slices."""
-    own: dict[int, np.ndarray] = {}
-    low = BITS - 6
+    low, found = BITS - 6, np.zeros(0, np.int64)
     for batch in batches:
-        bit = batch.column(0).to_numpy()
-        for s in np.unique(bit >> low).tolist():
-            own.setdefault(s, np.zeros(1 << low, bool))[bit[bit >> low == s] & ((1 << low) - 1)] = True
-    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([zlib.compress(np.packbits(x).tobytes(), 1) for x in own.values()], pa.binary())], names=["slice", "bits"])
+        found = np.union1d(found, batch.column(0).to_numpy())
+    ends = np.searchsorted(found >> low, np.arange(SLICES + 1))
+    for s in np.flatnonzero(np.diff(ends)).tolist():
+        own = np.zeros(1 << low, bool)
+        own[found[ends[s] : ends[s + 1]] & ((1 << low) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(np.packbits(own).tobytes(), 1)], pa.binary())], names=["slice", "bits"])
 
 
 def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
