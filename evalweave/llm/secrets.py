@@ -2,7 +2,8 @@
 
 Every version of a text is addressed by the SHA-256 of its content. The ledger holds what each rule
 version found in each blob; a scan reads only the blobs for which some rule version has no entry yet,
-each once however many paths carry it, appends its findings, and joins them back to all paths.
+each once however many paths carry it, appends its findings, and joins them back to all paths. What the ledger
+holds does not hang on the call: kind and rank of a span come from the rules that are asked for when it is read.
 
 Null text counts as empty text. Rows may repeat and share ids: every input row comes back once. An
 empty table gives an empty result. Only the id and text columns are read. All on DataFrame functions.
@@ -31,7 +32,7 @@ class Rule:
 
     @property
     def version(self) -> str:
-        return hashlib.sha256(f"{self.pattern}\n{self.least}\n{self.group}".encode()).hexdigest()[:16]
+        return hashlib.sha256(f"{self.kind}\n{self.pattern}\n{self.least}\n{self.group}".encode()).hexdigest()[:16]
 
 
 BASE = (
@@ -40,20 +41,22 @@ BASE = (
     Rule("hex", "[0-9a-f]{24,}"),  # a maximal run of 24 or more is a run that this finds, and the other way round
 )
 MORE = (
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="PRIVATE KEY-----"),
+    # To its END line, or where that is missing to the end of the lines that may belong to a key.
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=,:\x20\x09-\x0D-]*?-----END [A-Z ]*PRIVATE KEY-----|-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*", hint="PRIVATE KEY-----"),
     Rule("git", "gh[pousr]_[A-Za-z0-9]{36,}", hint="gh"),
 )
 RULES = BASE + MORE
 _SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"
+_PLACE = "array<struct<start:int,stop:int>>"
 
 
-def find(text: Column, rule: Rule, rank: int) -> Column:
-    """Spans (start, rank, kind, stop) in code points of the leftmost matches, without overlap.
+def find(text: Column, rule: Rule) -> Column:
+    """Spans (start, stop) in code points of the leftmost matches, without overlap.
 
     Matches have no positions in Spark SQL, but the pieces that split() leaves between them have
     lengths: a match begins where all pieces and matches before it end.
     """
-    none = F.array().cast(_SPAN)
+    none = F.array().cast(_PLACE)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     parts = F.arrays_zip(
@@ -66,7 +69,7 @@ def find(text: Column, rule: Rule, rank: int) -> Column:
         F.when(
             p["counted"] >= rule.least,
             F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + p["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (acc["at"] + p["gap"] + p["size"]).alias("stop"),
+                (acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["size"]).alias("stop"),
             ))),
         ).otherwise(acc["out"]).alias("out"),
     )
@@ -83,7 +86,7 @@ def joined(spans: Column) -> Column:
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame:
-    schema = f"blob binary, version string, spans {_SPAN}"
+    schema = f"blob binary, version string, spans {_PLACE}"
     return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
@@ -112,20 +115,37 @@ def scan(versions: DataFrame, spark: SparkSession, ledger: str, rules=RULES, key
     # The path names one row of each unseen blob, or rows repeated whole, which give one entry below.
     todo = texts.join(unseen, (texts.path.eqNullSafe(unseen.path)) & (texts.own == unseen.blob)).select("blob", "todo", "text")
     found = todo.select("blob", F.explode(F.array(*[
-        F.struct(F.lit(r.version).alias("version"), F.when(F.array_contains("todo", r.version), find(F.col("text"), r, i)).alias("spans"))
-        for i, r in enumerate(rules)
+        F.struct(F.lit(r.version).alias("version"), F.when(F.array_contains("todo", r.version), find(F.col("text"), r)).alias("spans"))
+        for r in rules
     ])).alias("f")).select("blob", "f.*").where(F.col("spans").isNotNull())
     found.dropDuplicates(["blob", "version"]).write.mode("append").parquet(ledger)
-    now = _ledger(spark, ledger).where(F.col("version").isin(*[r.version for r in rules]) & (F.size("spans") > 0))
-    merged = now.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
-    return merged
+    return entries(spark, ledger, rules)
 
 
-def findings(versions: DataFrame, spark: SparkSession, ledger: str | None = None, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of versions: its key and all spans found in its text."""
+def entries(spark: SparkSession, ledger: str, rules=RULES) -> DataFrame:
+    """(blob, spans): what these rules found in each blob of the ledger, by start, then in the order of the rules.
+
+    An executor lost while the ledger was appended to may leave an entry twice; it counts once.
+    """
+    known = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.version, i)])
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    rank = F.element_at(known, F.col("version"))
+    now = _ledger(spark, ledger).where(F.col("version").isin(*[r.version for r in rules]) & (F.size("spans") > 0)).withColumn("rank", rank)
+    named = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), F.get(kinds, F.col("rank")).alias("kind"), s["stop"].alias("stop")))
+    return now.select("blob", named.alias("spans")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
+
+
+def findings(versions: DataFrame, spark: SparkSession, ledger: str | None = None, rules=RULES, key: str = "doc_id", text: str = "text", increments: int = 1) -> DataFrame:
+    """A row for each row of versions: its key and all spans found in its text.
+
+    increments: the rows arrive in so many parts, each scanned over the ledger that those before have left.
+    """
     ledger = ledger or Scratch(spark, "ledger").path("blobs")
+    for i in range(increments):
+        arrived = versions if increments == 1 else versions.where(F.pmod(F.xxhash64(key), F.lit(increments)) == i)
+        scan(arrived, spark, ledger, rules, key, text)
     # Written, so that both sides of the join are plain exchanges, which AQE splits at a blob with many paths.
-    found = Scratch(spark, "findings").write("found", scan(versions, spark, ledger, rules, key, text))
+    found = Scratch(spark, "findings").write("found", entries(spark, ledger, rules))
     paths = versions.select(F.col(key), address(text_or_empty(text)).alias("blob"))
     return paths.join(found, "blob", "left").select(key, F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
 
