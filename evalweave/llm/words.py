@@ -34,6 +34,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     inside = data[place + np.repeat(starts, lens)].astype(U)
     inside += U(1)
     inside *= _POWERS[place & (_SPAN - 1)]
+    if lens.max() > _SPAN:  # powers repeat: each further stretch has a factor of its own
+        far = np.multiply.accumulate(np.full(int(lens.max()) // _SPAN + 1, U(0xC2B2AE3D27D4EB4F)))
+        inside *= far[place // _SPAN]
     return mix(np.add.reduceat(inside, first) ^ (lens.astype(U) << U(48)))
 
 
