@@ -129,7 +129,7 @@ def longest(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _emit(k: int, percent: int, keep, shared, bound: float, slices: int):
-    """kind 0: a row for each document; kind 1: what a task's documents send, dealt to slices of the hash."""
+    """kind 0: a row for each document, dealt evenly; kind 1: what a task's documents send, by slices of the hash."""
     count = levels(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def _emit(k: int, percent: int, keep, shared, bound: float, slices: int):
                         heavy, weight = h[o].tobytes(), w[o].tobytes()
                     if sent[i, 0]:
                         out.append({
-                            "kind": 0, "pid": pid, "row": row + i, "id": ids[a + i], "n": int(sizes[i]), "c1": int(u.sum(dtype=U).view(np.int64)), "c2": int(mix(u + U(0x1B873593)).sum(dtype=U).view(np.int64)),
+                            "kind": 0, "pid": pid, "row": row + i, "slice": (pid * 7919 + row + i) % slices, "id": ids[a + i], "n": int(sizes[i]), "c1": int(u.sum(dtype=U).view(np.int64)), "c2": int(mix(u + U(0x1B873593)).sum(dtype=U).view(np.int64)),
                             "light": (held_by[i] * sent[i]).astype(np.uint32).tobytes(), "heavy": heavy, "weight": weight, "bits": bits[i],
                         })
                 row += len(sets)
@@ -208,8 +208,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each slice: which documents share which shingles, dealt back to the tasks that sent them."""
-    for group in _grouped(batches, "slice"):
+    """Of each slice: which documents share which shingles, dealt back to the tasks that sent them. Documents pass."""
+    for every in _grouped(batches, "slice"):
+        yield pa.RecordBatch.from_pylist([r for r in every if not r["kind"]], schema=_ARROW)
+        group = [r for r in every if r["kind"]]
+        if not group:
+            continue
         tokens = np.concatenate([np.frombuffer(r["tokens"], U) for r in group])
         rows = np.concatenate([np.frombuffer(r["rows"], np.uint32) for r in group])
         pid = np.repeat(np.array([r["pid"] for r in group], np.int32), [len(r["tokens"]) // 8 for r in group])
@@ -326,17 +330,15 @@ def _links(sc: Scratch, rows: DataFrame, survey: DataFrame, classes: DataFrame,
     # Most copies are kept out by the bitmap, all by the grouping below.
     first = asked(classes.select(bit_of("id")))
     texts = rows.select("id", "text", bit_of("id")).where("id is not null")
-    emitted = sc.write("emitted", texts.mapInArrow(_emit(k, percent, first, shared, max(HEAVY, HEAVY_NOISE * noise), slices), _EMITTED))
-    fields = [x.split()[0] for x in _EMITTED.split(", ")]
-    one = emitted.where("kind = 0").groupBy("n", "c1", "c2").agg(F.min(F.struct("id", "pid", "row", "light", "heavy", "weight", "bits")).alias("r"))
-    reps = sc.write("reps", one.select("n", "c1", "c2", "r.*"))
-    own = reps.select(*[F.col(c) if c in reps.columns else F.lit(0 if c == "kind" else None).cast(emitted.schema[c].dataType).alias(c) for c in fields])
+    emitted = texts.mapInArrow(_emit(k, percent, first, shared, max(HEAVY, HEAVY_NOISE * noise), slices), _EMITTED)
     # A task sorts one slice after another, so that it holds one at a time, whatever their number.
-    sent = emitted.where("kind = 1").select("slice", "pid", "tokens", "rows").repartition(min(slices, 4 * width), "slice").sortWithinPartitions("slice")
-    back = sent.mapInArrow(_meet, _EMITTED)
-    dealt = own.unionByName(back).repartition(width, "pid").sortWithinPartitions("pid")
+    met = sc.write("met", emitted.repartition(min(slices, 4 * width), "slice").sortWithinPartitions("slice").mapInArrow(_meet, _EMITTED))
+    one = met.where("kind = 0").groupBy("n", "c1", "c2").agg(F.min(F.struct("id", "pid", "row", "light", "heavy", "weight", "bits")).alias("r"))
+    reps = sc.write("reps", one.select("n", "c1", "c2", "r.*"))
+    own = reps.select(*[F.col(c) if c in reps.columns else F.lit(0 if c == "kind" else None).cast(met.schema[c].dataType).alias(c) for c in met.columns])
+    dealt = own.unionByName(met.where("kind = 1")).repartition(width, "pid").sortWithinPartitions("pid")
     members = sc.write("members", dealt.mapInArrow(_choose(percent), "id long, n long, need int, tokens binary, places binary, bits binary"))
-    sc.drop("emitted")
+    sc.drop("met")
     posted = sc.write("posted", members.select("id", "n", "tokens", "places").mapInArrow(_post(percent), "token long, id long, s long, m long"))
     busy = sc.write("busy", posted.groupBy("token").agg(F.count("*").alias("c"), F.max("s").alias("s"), F.min("m").alias("m")).where("c > 1 and s >= m").select("token"))
     postings = sc.write("postings", posted.join(busy, "token"))
