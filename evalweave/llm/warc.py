@@ -99,7 +99,7 @@ def write(pages: DataFrame, spark: SparkSession, out: str, roll: int = ROLL, lea
     page = rows.select(part.alias("part"), "id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("binary").alias("sha"), F.lit(None).cast("long").alias("to"))
     mark = role.select(part.alias("part"), "id", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit("").alias("html"), "sha", "to")
     # One shuffle of the pages; what a page's payload refers to comes sorted right before the page.
-    dealt = page.unionByName(mark).repartition(shuffle_width(spark), "part").sortWithinPartitions("part", "id", "kind", "url", "html")
+    dealt = page.unionByName(mark).repartitionById(shuffle_width(spark), F.pmod("part", F.lit(shuffle_width(spark))).cast("int")).sortWithinPartitions("part", "id", "kind", "url", "html")
     store, folder = pa.fs.FileSystem.from_uri(out)
     store.create_dir(f"{folder}/.tmp", recursive=True)
 
