@@ -120,10 +120,17 @@ def mentioned_files(c: Column, enabled: bool = False) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9_./-]+\.(?:py|js|ts|java|go|rs|c|cpp|h)\b"), F.lit(0)))
 
 
-def output_paths(c: Column) -> Column:
-    """What stands before the first colon of each line of search output, distinct."""
-    lines = F.filter(F.split(c, "\n"), lambda x: F.contains(x, F.lit(":")))
-    return F.array_distinct(F.filter(F.transform(lines, lambda x: strip(F.split_part(x, F.lit(":"), F.lit(1)))), lambda x: x != ""))
+def output_paths(c: Column, whole_lines: bool = False) -> Column:
+    """Paths in search output, distinct in order: what stands before a line's first colon, or is named by a line
+    `Binary file ... matches`. whole_lines: lines without a colon are paths themselves, and binary lines are no case."""
+    before = lambda x: strip(F.split_part(x, F.lit(":"), F.lit(1)))
+    lines = F.split(c, r"\r\n|\n|\r")
+    if whole_lines:
+        found = F.transform(lines, before)
+    else:
+        binary = lambda x: F.regexp_extract(x, r"(?i)^binary file (.*?) matches", 1)
+        found = F.transform(lines, lambda x: F.when(x.rlike("(?i)^binary file .* matches"), strip(binary(x))).when(F.contains(x, F.lit(":")), before(x)).otherwise(F.lit("")))
+    return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
 def capped(c: Column, most: int = 50, mark: str = "<<TRUNCATED>>") -> Column:

@@ -163,3 +163,10 @@ def import_edges(files: DataFrame) -> DataFrame:
 def inverted(edges: DataFrame) -> DataFrame:
     """callee -> its callers in order."""
     return edges.groupBy("callee").agg(F.sort_array(F.collect_set("caller")).alias("callers"))
+
+
+def existing(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """Candidates whose path (normalised, inside the root) is one of the files. Both: path."""
+    p = F.regexp_replace(normal(F.col("path")), r"(^|/)(?:\./)+", "$1")
+    inside = candidates.withColumn("__p", p).where(~F.col("path").rlike(r"^/|(^|/)\.\.(/|$)"))
+    return inside.join(files.select(F.col("path").alias("__p")).distinct(), "__p", "left_semi").drop("__p")

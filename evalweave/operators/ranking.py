@@ -63,6 +63,51 @@ def fused_order() -> list[Column]:
     return [F.desc("support"), F.desc("score"), F.desc("rrf"), F.desc("evidence_count"), F.asc("path")]
 
 
+def ranked_files(files: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `place`: by score, then evidence, both falling, then path."""
+    return files.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("evidence_count"), "path")))
+
+
+def fused_places(files: DataFrame) -> DataFrame:
+    """Adds `place` in the fused order. files: from fused(), a row for each file of the rankings."""
+    return files.withColumn("place", F.row_number().over(Window.orderBy(*fused_order())))
+
+
+#: Kinds of symbols by how telling they are; others count 1.
+KIND_PRIORITY = {"class": 4, "function": 3, "method": 2}
+
+
+def symbol_order(tokens: Column, name: Column, kind: Column, start: Column, stop: Column) -> Column:
+    """struct(overlap, priority, span), to be sorted falling: query tokens in the name, the kind, the length."""
+    overlap = F.size(F.filter(tokens, lambda t: F.contains(F.lower(F.coalesce(name, F.lit(""))), t)))
+    priority = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in KIND_PRIORITY.items()], F.lit(1))
+    span = F.greatest(F.lit(0), F.coalesce(stop, F.lit(0)) - F.coalesce(start, F.lit(0)))
+    return F.struct(overlap.alias("overlap"), priority.alias("priority"), span.alias("span"))
+
+
+def best_symbols(symbols: DataFrame, key: str, limit: int) -> DataFrame:
+    """The first symbols of each key in symbol_order(), ties by start and name. symbols: tokens, name, kind, start, stop."""
+    order = symbol_order(*[F.col(c) for c in ("tokens", "name", "kind", "start", "stop")])
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("order"), "start", "name"))
+    return symbols.withColumn("order", order).withColumn("place", place).where(F.col("place") <= limit).drop("order")
+
+
+def listed_symbols(symbols: DataFrame, key: str, limit: int) -> DataFrame:
+    """The first symbols of each key by start, then name."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("start", "name"))
+    return symbols.withColumn("place", place).where(F.col("place") <= limit)
+
+
+def dependencies(edges: DataFrame, sources: int = 12, targets: int = 6) -> DataFrame:
+    """Display rows of the sources with most targets: source, shown (the first targets), more (how many are left out).
+
+    edges: source, target. One row a source meets in the order of the report, which has `sources` rows.
+    """
+    by = edges.distinct().groupBy("source").agg(F.sort_array(F.collect_list("target")).alias("t"))
+    rows = by.select("source", F.slice("t", 1, targets).alias("shown"), F.greatest(F.lit(0), F.size("t") - targets).alias("more"), F.size("t").alias("fan_out"))
+    return rows.orderBy(F.desc("fan_out"), F.lower("source"), "source").limit(sources)
+
+
 def displayed(files: DataFrame, mode: str = "ranked", group: tuple[str, ...] = ()) -> DataFrame:
     """Adds `place` within each group: ranked by score, blind (alphabetical) or clustered (directories by their best score)."""
     low, per = F.lower("path"), Window.partitionBy(*group)

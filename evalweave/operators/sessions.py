@@ -109,7 +109,7 @@ class Gate:
     A search sets the ranked candidates and forgets what was verified; a read of a candidate verifies it and opens
     the gate; listing symbols records a file but opens nothing. A submission is blocked, in this order, without a
     search, without a verified candidate, with fewer than two inspected of several candidates, or with hints that were
-    never read. Blocks are counted; three in a row switch strict mode on.
+    never read. A session is fixated while the first is the only one of several candidates that was ever inspected. Blocks are counted; three in a row switch strict mode on.
     """
 
     def __init__(self, strict_after: int = 3):
@@ -118,6 +118,11 @@ class Gate:
         self.blocked = self.in_a_row = 0
         self.strict_after = strict_after
 
+    def was_read(self, hint: str) -> bool:
+        """A hint names an inspected file: equal to it, its end, or a base name that only one of them has."""
+        name = hint.rpartition("/")[2]
+        return any(p == hint or p.endswith(hint) for p in self.inspected) or sum(p.rpartition("/")[2] == name for p in self.inspected) == 1
+
     def step(self, kind: str, paths: list[str]) -> str:
         if kind == "search":
             self.searched, self.candidates, self.verified, self.listed = True, list(paths), set(), set()
@@ -128,7 +133,8 @@ class Gate:
         if kind == "read":
             self.inspected.update(paths)
             self.verified.update(p for p in paths if p in self.candidates)
-            self.fixated = self.fixated or (len(self.candidates) > 1 and self.verified == {self.candidates[0]})
+            seen = [c for c in self.candidates if c in self.inspected]
+            self.fixated = len(self.candidates) > 1 and seen == self.candidates[:1]
             return "opened" if self.verified else "read"
         reason = None
         if not self.searched:
@@ -137,7 +143,7 @@ class Gate:
             reason = "not_verified"
         elif len(self.candidates) > 1 and len(self.inspected & set(self.candidates)) < 2:
             reason = "one_candidate"
-        elif [p for p in paths if p not in self.inspected]:
+        elif [p for p in paths if not self.was_read(p)]:
             reason = "unread_hint"
         if reason is None:
             self.in_a_row = 0

@@ -200,3 +200,17 @@ def symbol_scope(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     methods = symbols.where("kind = 'method'").groupBy("file", "class").agg(F.count("*").alias("n"))
     top = methods.groupBy("file").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col("class").alias("class")))), 1, 2).alias("t"))
     return kinds, top.select("file", F.transform("t", lambda x: x["class"]).alias("classes"))
+
+
+def spent(calls: DataFrame, cost: str = "cost", cost_limit: float = 0.0, call_limit: int = 0) -> DataFrame:
+    """Cost and number of all calls, and whether that is over a limit (0: none): the cost, or one more call."""
+    total, n = F.coalesce(F.sum(cost), F.lit(0.0)), F.count("*")
+    over = (F.lit(0 < cost_limit) & (total > cost_limit)) | (F.lit(0 < call_limit) & (n + 1 > call_limit))
+    return calls.agg(total.alias("cost"), n.alias("n_calls"), over.alias("over"))
+
+
+def within_limits(calls: DataFrame, cost: str = "cost", cost_limit: float = 0.0, call_limit: int = 0) -> None:
+    """Raises RuntimeError if the calls are over a limit."""
+    row = spent(calls, cost, cost_limit, call_limit).first()
+    if row.over:
+        raise RuntimeError(f"limit exceeded: cost {row.cost:.4f}, {row.n_calls} calls")

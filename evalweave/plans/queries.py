@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalweave.functions import measures, paths, text
+from evalweave.functions import measures, paths, payloads, text
 from evalweave.operators import chunking, commands, indexes, matching, ranking, sampling, sessions, summary
 from evalweave.streaming import sessions as streams
 
@@ -39,8 +39,8 @@ def o1_w1_vector_top_k(spark, sf_dir):
 
 @query
 def a1_a2_w2_o2_hybrid_group_score(spark, sf_dir):
-    groups = ranking.group_scores(_hits(spark, sf_dir), ["query_no", "path"])
-    return groups.select("query_no", "path", F.round("score", 6).alias("score"), "evidence_count")
+    groups = ranking.group_scores(_hits(spark, sf_dir), ["query_no", "path"]).withColumn("score", F.round("score", 6))
+    return ranking.ranked_files(groups, ("query_no",)).select("query_no", "path", "score", "evidence_count", "place")
 
 
 @query
@@ -54,7 +54,8 @@ def a3_o4_group_sum_top_files(spark, sf_dir):
 def a4_o3_rank_fusion(spark, sf_dir):
     groups = ranking.group_scores(_hits(spark, sf_dir), ["query_no", "path"])
     out = ranking.fused(groups, groups.select("query_no").distinct().count())
-    return out.select("path", "support", "evidence_count", F.round("dense_mean", 6).alias("dense_mean"), F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"))
+    out = out.withColumns({c: F.round(c, 6) for c in ("dense_mean", "rrf", "score")})
+    return ranking.fused_places(out).select("path", "support", "evidence_count", "dense_mean", "rrf", "score", "place")
 
 
 @query
@@ -546,10 +547,92 @@ def f16_f18_f19_answers(spark, sf_dir):
 @query
 def f23_f28_paths_in_output(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    n = (F.col("p_partkey") % 4).cast("string")
+    n = F.col("p_partkey").cast("string")
     diff = F.concat(F.lit("diff --git a/x b/src/f"), n, F.lit(".py\n+1\ndiff --git a/x b/src/g.py\ndiff --git a/y b/src/g.py\n"))
-    grep = F.concat(F.lit("src/a"), n, F.lit(".py:1:x\nno colon\nsrc/b.py:2\nsrc/b.py:3"))
-    return p.select("p_partkey", F.array_join(text.diff_files(diff), ",").alias("diff"), F.array_join(text.output_paths(grep), ",").alias("grep"))
+    grep = F.concat(F.lit("src/a"), n, F.lit(".py:1:x\nno colon\nBinary file bin/"), n, F.lit(" matches\nsrc/b.py:2\nsrc/b.py:3"))
+    shown = {"diff": text.diff_files(diff), "grep": text.output_paths(grep), "tracked": text.output_paths(grep, whole_lines=True)}
+    return p.select("p_partkey", *[F.array_join(c, ",").alias(k) for k, c in shown.items()])
+
+
+def _submissions(spark, sf_dir):
+    """Texts of submissions in five forms, by part."""
+    n, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 5
+    forms = [
+        F.concat(F.lit('Done.\n```json\n{"functions": [{"function": "C.f'), n, F.lit('", "file_hint": "./src/a.py"}, {"name": "g", "file": "b'), n, F.lit('.py"}, {"func": ""}, "h"]}\n```')),
+        F.concat(F.lit(' {"found_files": ["a.py", " b.py", "a.py"], "entities": ["x'), n, F.lit('.py:C.m", "x.py:f", "none"]} ')),
+        F.concat(F.lit('see {not json} and {"files": "one'), n, F.lit('.py", "found_entities": []} there')),
+        F.concat(F.lit("nothing "), n, F.lit(" \n")),
+        F.concat(F.lit('{"functions": "'), n, F.lit('", "found_modules": ["m"], "found_entities": ["q.py:k"]}')),
+    ]
+    said = F.coalesce(*[F.when(k == i, f) for i, f in enumerate(forms)])
+    return table(spark, sf_dir, "part").select("p_partkey", said.alias("text"))
+
+
+@query
+def m3_f14_f15_outputs(spark, sf_dir):
+    out = payloads.assembled(_submissions(spark, sf_dir))
+    lists = [F.array_join(c, ",").alias(c) for c in ("found_files", "found_entities", "found_modules", "raw_output")]
+    counts = [f"submitted_{c}_count" for c in ("function", "unique_function", "file_hint", "qualified_function")]
+    return out.select("p_partkey", *lists, *counts, F.round("submitted_qualified_function_ratio", 6).alias("ratio"), "has_functions")
+
+
+@query
+def f40_f44_hints_and_fallbacks(spark, sf_dir):
+    rows = _submissions(spark, sf_dir).withColumn("status", F.when(F.col("p_partkey") % 3 == 0, "LimitsExceeded").when(F.col("p_partkey") % 3 == 1, "Submitted").otherwise("Failed"))
+    hints = payloads.submission_hints(F.coalesce(payloads.payload(F.col("text")), F.lit("{}")))
+    located = payloads.located_result(F.col("status"), F.lit("given"), F.when(F.col("p_partkey") % 2 == 0, F.col("text")))
+    answer = payloads.answered_result(F.col("status"), F.lit(" given "), F.when(F.col("p_partkey") % 2 == 0, F.lit(" said ")), text.strip)
+    return rows.select("p_partkey", F.array_join(hints, ",").alias("hints"), F.regexp_replace(located, r"\\s", "").alias("located"), answer.alias("answer"))
+
+
+def _symbols(spark, sf_dir):
+    kind = F.when(F.col("p_size") % 4 == 0, "class").when(F.col("p_size") % 4 == 1, "function").when(F.col("p_size") % 4 == 2, "method").otherwise("constant")
+    name = F.lower(F.regexp_replace("p_name", " ", "_"))
+    return table(spark, sf_dir, "part").select("p_brand", F.concat(name, F.lit("_"), F.col("p_partkey").cast("string")).alias("name"), kind.alias("kind"), F.col("p_size").alias("start"), (F.col("p_size") + F.col("p_partkey") % 9 - 2).cast("int").alias("stop"))
+
+
+@query
+def o8_symbol_order(spark, sf_dir):
+    asked = text.tokens(F.lit("find small PART in name_1 of them"))
+    return ranking.best_symbols(_symbols(spark, sf_dir).withColumn("tokens", asked), "p_brand", 12).select("p_brand", "name", "place")
+
+
+@query
+def o9_listed_symbols(spark, sf_dir):
+    return ranking.listed_symbols(_symbols(spark, sf_dir), "p_brand", 20).select("p_brand", "name", "start", "place")
+
+
+@query
+def o11_dependencies(spark, sf_dir):
+    edges = table(spark, sf_dir, "lineitem").where("l_linenumber <= 1 + l_suppkey % 3").select(F.concat(F.lit("S"), (F.col("l_suppkey") % 40).cast("string")).alias("source"), F.concat(F.lit("t"), (F.col("l_partkey") % 97).cast("string")).alias("target"))
+    return ranking.dependencies(edges).select("source", F.array_join("shown", ",").alias("shown"), "more")
+
+
+@query
+def p8_record_meta(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"), F.nullif(F.col("lang"), F.lit("en")).alias("patch"), "n_chars")
+    return rows.select("doc_id", payloads.record_meta(rows).alias("meta"))
+
+
+@query
+def p12_existing_candidates(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    files = p.select(F.concat(F.lit("src/f"), (F.col("p_partkey") * 2).cast("string"), F.lit(".py")).alias("path"))
+    asked = p.select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "./src/f").when(F.col("p_partkey") % 3 == 1, "src//f").otherwise("src/../src/f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"))
+    return matching.existing(asked, files).select("p_partkey", "path")
+
+
+@query
+def a27_spent(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.floor("value").cast("double").alias("cost"))
+    return summary.spent(calls, cost_limit=1.0, call_limit=10**9)
+
+
+@query
+def f39_token_estimate(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.when(F.col("turn") % 2 == 0, F.create_map(F.lit("role"), "role", F.lit("content"), "text")).otherwise(F.create_map(F.lit("name"), "role", F.lit("content"), "text"))).alias("m"), F.max("role").alias("last"))
+    words = lambda c: F.regexp_count(c, F.lit(r"[^ \t\n]+"))
+    return said.select("conv_id", payloads.estimated_tokens(F.col("m"), F.col("last"), words).alias("e")).select("conv_id", "e.*")
 
 
 @query

@@ -11,24 +11,24 @@ _GROUPS = """groups AS (SELECT query_no, path, 0.7 * max(score) + 0.3 * avg(scor
   FROM (SELECT *, row_number() OVER (PARTITION BY query_no, path ORDER BY score DESC) AS r FROM hits) GROUP BY ALL)"""
 
 SQL["o1_w1_vector_top_k"] = f"WITH {_HITS} SELECT query_no, vec_id, rank, round(score, 6) AS score FROM hits"
-SQL["a1_a2_w2_o2_hybrid_group_score"] = f"WITH {_HITS}, {_GROUPS} SELECT query_no, path, round(score, 6) AS score, evidence_count FROM groups"
+SQL["a1_a2_w2_o2_hybrid_group_score"] = f"""WITH {_HITS}, {_GROUPS}
+SELECT query_no, path, round(score, 6) AS score, evidence_count, row_number() OVER (PARTITION BY query_no ORDER BY round(score, 6) DESC, evidence_count DESC, path) AS place FROM groups"""
 SQL["a3_o4_group_sum_top_files"] = f"""WITH {_HITS}, s AS (SELECT query_no, path, round(sum(score), 6) AS score FROM hits GROUP BY query_no, path)
 SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, path) AS rank FROM s QUALIFY rank <= 5"""
 SQL["a4_o3_rank_fusion"] = f"""WITH {_HITS}, {_GROUPS},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, evidence_count DESC, path) AS rank FROM groups)
-SELECT path, count(DISTINCT query_no) AS support, sum(evidence_count)::BIGINT AS evidence_count, round(greatest(0, least(1, avg(score))), 6) AS dense_mean,
+SELECT *, row_number() OVER (ORDER BY support DESC, score DESC, rrf DESC, evidence_count DESC, path) AS place FROM (SELECT path, count(DISTINCT query_no) AS support, sum(evidence_count)::BIGINT AS evidence_count, round(greatest(0, least(1, avg(score))), 6) AS dense_mean,
   round(sum(1.0 / (60 + rank)), 6) AS rrf,
   round(0.6 * count(DISTINCT query_no) / (SELECT count(DISTINCT query_no) FROM groups) + 0.4 * greatest(0, least(1, avg(score))), 6) AS score
-FROM r GROUP BY path"""
-SQL["o10_a24_clustered_display"] = f"""WITH {_HITS},
-f AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, 0.7 * max(score) + 0.3 * avg(score) FILTER (r <= 3) AS score, count(*) AS evidence_count
-  FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC) AS r FROM hits WHERE query_no = 0) GROUP BY path)
-SELECT path, dir, row_number() OVER (ORDER BY best DESC, lower(dir), lower(path), path) AS place, evidence_count FROM (SELECT *, max(score) OVER (PARTITION BY dir) AS best FROM f)"""
+FROM r GROUP BY path)"""
+SQL["o10_a24_clustered_display"] = f"""WITH {_HITS}, {_GROUPS},
+f AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM groups)
+SELECT query_no, path, dir, row_number() OVER (PARTITION BY query_no ORDER BY best DESC, lower(dir), lower(path), path) AS place, evidence_count FROM (SELECT *, max(score) OVER (PARTITION BY query_no, dir) AS best FROM f)"""
 SQL["p5_p6_filtered_vector_search"] = f"""SELECT q.vec_id AS query_no, v.vec_id, 'src/f' || v.label || '.py' AS path,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id) AS rank, round({_DOT}, 6) AS score
 FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND v.label % 2 = 0 QUALIFY rank <= 20"""
-SQL["w8_diverse_pick"] = f"""WITH {_HITS} SELECT vec_id, label, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY rank) > 1 AS later FROM hits WHERE query_no = 0) ORDER BY later, rank LIMIT 15"""
+SQL["w8_diverse_pick"] = f"""WITH {_HITS} SELECT query_no, vec_id, label, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_no, label ORDER BY rank) > 1 AS later FROM hits) QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY later, rank) <= 15"""
 
 SQL["w4_steps"] = """SELECT conv_id, step, count(*) AS n, max(turn) AS last_turn FROM (
   SELECT *, coalesce(sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS step FROM conversations) GROUP BY ALL"""
@@ -90,7 +90,7 @@ SQL["j10_hint_join"] = f"""WITH p AS (SELECT DISTINCT {_URL} AS path FROM pages)
 h AS (SELECT DISTINCT hint FROM (SELECT regexp_extract(path, '([^/]*)$', 1) AS hint FROM p UNION ALL SELECT split_part(path, '/', 1) FROM p) WHERE hint <> ''),
 m AS (SELECT hint, path, lower(trim(hint)) AS h, lower(trim(path)) AS p FROM h, p)
 SELECT hint, path, CASE WHEN h = p THEN 0 WHEN ends_with(p, '/' || h) THEN 1 WHEN regexp_extract(p, '([^/]*)$', 1) = h THEN 2 ELSE 3 END AS rank
-FROM m WHERE h = p OR regexp_extract(p, '([^/]*)$', 1) = h OR (length(h) >= 3 AND contains(p, h))"""
+FROM m WHERE h = p OR regexp_extract(p, '([^/]*)$', 1) = h OR contains(p, h)"""
 SQL["j11_u7_path_hits"] = f"""
 WITH t AS (SELECT page_id, path, [array_to_string(string_split(path, '/')[-2:], '/'), 'en/7', 'a/b/7'] AS gt, regexp_extract(path, '([^/]*)$', 1) AS b FROM (SELECT page_id, {_URL} AS path FROM pages))
 SELECT page_id, path <> '' AND (len(list_filter(gt, lambda g: g = path OR ends_with(g, '/' || path) OR ends_with(path, '/' || g))) > 0
@@ -108,7 +108,7 @@ SQL["p1_p2_filters"] = "SELECT c_custkey, c_name, c_mktsegment FROM customer WHE
 SQL["p3_slice"] = """SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE i >= 10 AND i < n - 20 AND (i - 10) % 3 = 0"""
 SQL["p10_p11_without_tests"] = """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'tests/x.py' ELSE 'pkg/tests/y.py' END || ',test_z.py' ELSE 'src/a' || (p_size % 3) || '.py' END AS files, p_partkey % 5 = 0 AS fallback FROM part"""
 SQL["k3_upsert"] = "SELECT doc_id, coalesce('q' || quality, lang) AS lang FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) <> 1"
-SQL["u1_u2_recall"] = """WITH d AS (SELECT doc_id, string_split(text, ' ')[1:6] AS gt, string_split(text, ' ')[4:11] AS f FROM documents)
+SQL["u1_u2_recall"] = """WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), d AS (SELECT doc_id, w[1:len(w) - len(w) // 3] AS gt, w[len(w) // 3 + 1:] AS f FROM w)
 SELECT doc_id, len(list_intersect(gt, f))::INT AS hits, round(len(list_intersect(gt, f[1:1])) / len(list_distinct(gt)), 6) AS r1, round(len(list_intersect(gt, f[1:3])) / len(list_distinct(gt)), 6) AS r3,
   round(len(list_intersect(gt, f)) / len(list_distinct(gt)), 6) AS rall, len(list_intersect(gt, f)) > 0 AS hit FROM d"""
 
@@ -180,5 +180,37 @@ SQL["v2_index_reasons"] = """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN
     WHEN p_size % 2 <> 0 THEN 'chunk_params_invalid' WHEN p_partkey % 13 = 0 THEN 'chunk_params_mismatch' END AS strict,
   CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN 'repo_dir_mismatch' WHEN p_size % 2 <> 0 THEN 'chunk_params_invalid' WHEN p_partkey % 13 = 0 THEN 'chunk_params_mismatch' END AS static FROM part"""
 SQL["f16_f18_f19_answers"] = """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN '{"answer": 5}' ELSE trim(p_name) END AS answer, p_brand AS fenced, p_brand || chr(10) || p_type AS joined FROM part"""
-SQL["f23_f28_paths_in_output"] = """SELECT p_partkey, 'src/f' || (p_partkey % 4) || '.py,src/g.py' AS diff, 'src/a' || (p_partkey % 4) || '.py,src/b.py' AS grep FROM part"""
+SQL["f23_f28_paths_in_output"] = """SELECT p_partkey, 'src/f' || p_partkey || '.py,src/g.py' AS diff, 'src/a' || p_partkey || '.py,bin/' || p_partkey || ',src/b.py' AS grep,
+  'src/a' || p_partkey || '.py,no colon,Binary file bin/' || p_partkey || ' matches,src/b.py' AS tracked FROM part"""
 SQL["w6_w10_recent_ids"] = "SELECT event_type, CASE WHEN length(l) > 55 THEN substr(l, 1, 52) || '...' ELSE rpad(l, 55, ' ') END AS recent FROM (SELECT event_type, string_agg(event_id::VARCHAR, ', ' ORDER BY event_id DESC) AS l FROM events GROUP BY ALL)"
+
+SQL["m3_f14_f15_outputs"] = """WITH k AS (SELECT p_partkey, p_partkey % 5 AS k, p_partkey::VARCHAR AS n FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN './src/a.py,b' || n || '.py' WHEN 1 THEN 'a.py,b.py' WHEN 2 THEN 'one' || n || '.py' WHEN 3 THEN '' ELSE 'q.py' END AS found_files,
+  CASE k WHEN 1 THEN 'x' || n || '.py:C.m,x.py:f,none' WHEN 4 THEN 'q.py:k' ELSE '' END AS found_entities, CASE k WHEN 1 THEN 'x' || n || '.py:C,x.py:f' WHEN 4 THEN 'm' ELSE '' END AS found_modules,
+  CASE k WHEN 0 THEN '{"functions": [{"function": "C.f' || n || '", "file_hint": "./src/a.py"}, {"name": "g", "file": "b' || n || '.py"}, {"func": ""}, "h"]}'
+    WHEN 1 THEN '{"found_files": ["a.py", " b.py", "a.py"], "entities": ["x' || n || '.py:C.m", "x.py:f", "none"]}' WHEN 2 THEN '{"files": "one' || n || '.py", "found_entities": []}'
+    WHEN 3 THEN 'nothing ' || n ELSE '{"functions": "' || n || '", "found_modules": ["m"], "found_entities": ["q.py:k"]}' END AS raw_output,
+  CASE k WHEN 0 THEN 3 WHEN 4 THEN 1 END::INT AS submitted_function_count, CASE k WHEN 0 THEN 3 WHEN 4 THEN 1 END::INT AS submitted_unique_function_count,
+  CASE k WHEN 0 THEN 2 WHEN 4 THEN 0 END::INT AS submitted_file_hint_count, CASE k WHEN 0 THEN 1 WHEN 4 THEN 0 END::INT AS submitted_qualified_function_count,
+  round(CASE k WHEN 0 THEN 1.0 / 3 WHEN 4 THEN 0 END, 6)::DOUBLE AS ratio, k IN (0, 4) AS has_functions FROM k"""
+SQL["f40_f44_hints_and_fallbacks"] = """WITH k AS (SELECT p_partkey, p_partkey % 5 AS k, p_partkey::VARCHAR AS n FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'a.py,b.py,x' || n || '.py,x.py' WHEN 4 THEN 'q.py' ELSE '' END AS hints,
+  CASE WHEN p_partkey % 6 <> 0 THEN 'given' WHEN k = 0 THEN '{"functions":[{"function":"C.f' || n || '","file_hint":"./src/a.py"},{"name":"g","file":"b' || n || '.py"},{"func":""},"h"]}'
+    WHEN k = 1 THEN '{"found_files":["a.py","b.py","a.py"],"entities":["x' || n || '.py:C.m","x.py:f","none"]}' WHEN k = 2 THEN '{"files":"one' || n || '.py","found_entities":[]}'
+    WHEN k = 3 THEN '{"found_files":[]}' ELSE '{"functions":"' || n || '","found_modules":["m"],"found_entities":["q.py:k"]}' END AS located,
+  CASE WHEN p_partkey % 3 = 2 THEN '' WHEN p_partkey % 6 = 0 THEN 'said' ELSE 'given' END AS answer FROM k"""
+_SYMBOLS = """s AS (SELECT p_brand, lower(replace(p_name, ' ', '_')) || '_' || p_partkey AS name, ['class', 'function', 'method', 'constant'][p_size % 4 + 1] AS kind, p_size AS start, (p_size + p_partkey % 9 - 2)::INT AS stop FROM part)"""
+SQL["o8_symbol_order"] = f"""WITH {_SYMBOLS} SELECT p_brand, name, row_number() OVER (PARTITION BY p_brand ORDER BY
+    len(list_filter(['find', 'small', 'part', 'in', 'name_1', 'of', 'them'], lambda t: contains(name, t))) DESC, CASE kind WHEN 'class' THEN 4 WHEN 'function' THEN 3 WHEN 'method' THEN 2 ELSE 1 END DESC,
+    greatest(0, stop - start) DESC, start, name) AS place FROM s QUALIFY place <= 12"""
+SQL["o9_listed_symbols"] = f"WITH {_SYMBOLS} SELECT p_brand, name, start, row_number() OVER (PARTITION BY p_brand ORDER BY start, name) AS place FROM s QUALIFY place <= 20"
+SQL["o11_dependencies"] = """WITH e AS (SELECT DISTINCT 'S' || (l_suppkey % 40) AS source, 't' || (l_partkey % 97) AS target FROM lineitem WHERE l_linenumber <= 1 + l_suppkey % 3),
+d AS (SELECT source, list(target ORDER BY target) AS t FROM e GROUP BY source)
+SELECT source, array_to_string(t[1:6], ',') AS shown, greatest(0, len(t) - 6)::INT AS more FROM d ORDER BY len(t) DESC, lower(source), source LIMIT 12"""
+SQL["p8_record_meta"] = """SELECT doc_id, '{"repo":' || coalesce('"' || source || '"', 'null') || ',"patch":' || CASE WHEN lang = 'en' OR lang IS NULL THEN 'null' ELSE '"' || lang || '"' END || '}' AS meta FROM documents"""
+SQL["p12_existing_candidates"] = """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN './src/f' ELSE 'src//f' END || p_partkey || '.py' AS path FROM part
+WHERE p_partkey % 3 <> 2 AND p_partkey % 2 = 0 AND p_partkey // 2 IN (SELECT p_partkey FROM part)"""
+SQL["a27_spent"] = "SELECT sum(floor(value)) AS cost, count(*) AS n_calls, sum(floor(value)) > 1 OR count(*) + 1 > 1000000000 AS over FROM events"
+SQL["f39_token_estimate"] = r"""SELECT conv_id, (3 + sum(3 + len(regexp_extract_all(role, '[^ \t\n]+')) + len(regexp_extract_all(text, '[^ \t\n]+')) + CASE WHEN turn % 2 = 0 THEN 0 ELSE 1 END))::INT AS prompt,
+  len(regexp_extract_all(max(role), '[^ \t\n]+'))::INT AS completion, (3 + sum(3 + len(regexp_extract_all(role, '[^ \t\n]+')) + len(regexp_extract_all(text, '[^ \t\n]+')) + CASE WHEN turn % 2 = 0 THEN 0 ELSE 1 END) + len(regexp_extract_all(max(role), '[^ \t\n]+')))::INT AS total
+FROM conversations GROUP BY conv_id"""
