@@ -582,7 +582,7 @@ def f40_f44_hints_and_fallbacks(spark, sf_dir):
     hints = payloads.submission_hints(F.coalesce(payloads.payload(F.col("text")), F.lit("{}")))
     located = payloads.located_result(F.col("status"), F.lit("given"), F.when(F.col("p_partkey") % 2 == 0, F.col("text")))
     answer = payloads.answered_result(F.col("status"), F.lit(" given "), F.when(F.col("p_partkey") % 2 == 0, F.lit(" said ")), text.strip)
-    return rows.select("p_partkey", F.array_join(hints, ",").alias("hints"), F.regexp_replace(located, r"\\s", "").alias("located"), answer.alias("answer"))
+    return rows.select("p_partkey", F.array_join(hints, ",").alias("hints"), F.regexp_replace(located, r"\s", "").alias("located"), answer.alias("answer"))
 
 
 def _symbols(spark, sf_dir):
