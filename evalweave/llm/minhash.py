@@ -4,6 +4,10 @@ A shingle is five words (A-Z folded). A text of 1 to 4 words has its whole seque
 text without words has none and a signature of all ones, which is like no other but its own kind.
 Permutations are multiply-shift universal hashes of 32-bit shingle keys.
 
+Groups: signature bands are joined in Spark, hot bands by way of leaders, and the Jaccard similarity of every
+candidate that its bits of parity leave is verified on the whole sets, made anew from the texts that are asked
+for. Rows of equal shingle sets are one class, so copies cost nothing more.
+
 Null text is empty text. Equal texts have equal fingerprints. Rows are ordered by id, ties by text; null
 ids come first. Repeated rows follow one another. A table of one row is its own successor; an empty table
 gives an empty result. Only id and text are read.
@@ -12,6 +16,7 @@ gives an empty result. Only id and text are read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import Scratch, blocks, even_ranges, range_of, shuffle_width, text_or_empty, tune, utf8
-from evalweave.llm.links import clusters, parities
+from evalweave.llm.links import asked, bit_of, clusters, parities
 from evalweave.llm.words import U, mix, shingles, words
 
 SHINGLE = 5
@@ -84,14 +89,31 @@ def successors(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
     return rows.select("part", F.lit(0).alias("tail"), "key", "text").unionByName(heads)
 
 
-def fingerprints(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprint of each text and of its edited text, and how alike they and the next text's are."""
+def _marked(dealt: DataFrame, marks: DataFrame) -> DataFrame:
+    """dealt with rows of kind 0 that hold a key's group, dealt like the key's own rows."""
+    keys = dealt.where("tail = 0 and key is not null").select("part", "key").distinct()
+    marks = marks.join(keys, "key").select("part", F.lit(0).alias("tail"), "key", F.lit("").alias("text"), F.lit(0).alias("kind"), "group")
+    return dealt.withColumns({"kind": F.lit(1), "group": F.lit(None).cast("long")}).unionByName(marks)
+
+
+def fingerprints(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text: str = "text", groups: DataFrame | None = None) -> DataFrame:
+    """Fingerprint of each text and of its edited text, and how alike they and the next text's are.
+
+    groups: from near_groups(); then there is near_group too (null without one; of rows that share an id, the least).
+    """
     tune(spark)
     dealt = successors(docs, spark, key, text)
-    dealt = dealt.repartition(shuffle_width(spark), "part").sortWithinPartitions("part", "tail", "key", "text")
-    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-
-    def emit(keys, texts: list[str], sigs: np.ndarray) -> pa.RecordBatch:
+    if groups is not None:
+        # A text's group comes sorted right before it: no second shuffle of what is made here.
+        marks = groups.groupBy("key").agg(F.min("group").alias("group"))
+        dealt = _marked(dealt, marks)
+    else:
+        dealt = dealt.withColumns({"kind": F.lit(1), "group": F.lit(None).cast("long")})
+    parts = max(shuffle_width(spark), 1)
+    dealt = dealt.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).sortWithinPartitions("part", "tail", "key", "kind", "text")
+    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_group"]
+
+    def emit(keys, texts: list[str], sigs: np.ndarray, group: list) -> pa.RecordBatch:
         n = len(texts) - 1
         changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
         raw = [t.encode() for t in changed]
@@ -99,17 +121,27 @@ def fingerprints(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text
         hexed = lambda m: [r.tobytes().hex() for r in m.astype("<u4")]
         columns = [
             pa.array([len(t) for t in texts[:n]], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array(hexed(sigs[:n])),
-            pa.array(hexed(other)), pa.array(likeness(sigs[:n], other), pa.float64()), pa.array(likeness(sigs[:n], sigs[1:]), pa.float64()),
+            pa.array(hexed(other)), pa.array(likeness(sigs[:n], other), pa.float64()), pa.array(likeness(sigs[:n], sigs[1:]), pa.float64()), pa.array(group[:n], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays([keys, *columns], names=[key, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row seen: part, tail, key, text, signature
+        held, mark = None, (None, None)  # the last row seen: part, tail, key, text, signature, group; the last mark
         for batch in batches:
+            group, rows = [], []
+            for i, (k, kind, g) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                if kind:
+                    rows.append(i)
+                    group.append(mark[1] if k is not None and k == mark[0] else None)
+                else:
+                    mark = (k, g)
+            batch = batch.take(pa.array(rows, pa.int64()))
+            if not rows:
+                continue
             parts, tails, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
             keys, sigs = batch.column(2), signatures(*utf8(batch.column(3)))
             if held:
-                parts, tails, texts = [held[0], *parts], [held[1], *tails], [held[3], *texts]
+                parts, tails, texts, group = [held[0], *parts], [held[1], *tails], [held[3], *texts], [held[5], *group]
                 keys, sigs = pa.concat_arrays([held[2], keys]), np.concatenate([held[4], sigs])
             a = 0
             while a < len(texts):
@@ -117,55 +149,83 @@ def fingerprints(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text
                 while b < len(texts) and parts[b] == parts[a]:
                     b += 1
                 if b - a > 1:
-                    yield emit(keys.slice(a, b - a - 1), texts[a:b], sigs[a:b])
+                    yield emit(keys.slice(a, b - a - 1), texts[a:b], sigs[a:b], group[a:b])
                 a = b
-            held = (parts[-1], tails[-1], keys.slice(len(keys) - 1), texts[-1], sigs[-1:]) if texts else held
+            held = (parts[-1], tails[-1], keys.slice(len(keys) - 1), texts[-1], sigs[-1:], group[-1])
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(run, schema)
+    schema = f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_group long"
+    return dealt.select("part", "tail", "key", "text", "kind", "group").mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, spark: SparkSession, key: str, text: str, k: int) -> DataFrame:
-    """key, cls (digest of the shingle set), bands, and the sorted distinct shingle hashes as bytes."""
-    tune(spark)
+def _banded(k: int):
+    """key, cls (digest of the shingle set), its size, bands, and bits of parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(1))
             sigs = signatures(data, off, k)
-            cls, bands, sets, bits = [], [], [], []
-            for a, b in blocks(off):
-                h, begin = shingles(*words(data[off[a] : off[b]], off[a : b + 1] - off[a]), k)
-                unique = [np.unique(h[begin[i] : begin[i + 1]]) for i in range(b - a)]
-                bits += parities(np.concatenate(unique), np.array([len(u) for u in unique], np.int64))
-                for i, u in enumerate(unique):
-                    cls.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
-                    sets.append(u.tobytes())
-                    rows = sigs[a + i].reshape(BANDS, ROWS).astype(U)
-                    x = np.arange(BANDS, dtype=U)
-                    for j in range(ROWS):
-                        x = mix(x * U(0x9FB21C651E98DF25) + rows[:, j])
-                    bands.append(x.view(np.int64) if len(u) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(bits, pa.binary())], names=["key", "cls", "bands", "shingles", "bits"])
+            cls, bands, sizes, bits = [], [], [], []
+            for a, b in blocks(off, 1 << 18):
+                unique = _sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)
+                n = np.array([len(u) for u in unique], np.int64)
+                bits += parities(np.concatenate(unique), n)
+                sizes += n.tolist()
+                cls += [hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in unique]
+            rows = sigs.reshape(-1, BANDS, ROWS).astype(U)
+            x = np.broadcast_to(np.arange(BANDS, dtype=U), rows.shape[:2])
+            for j in range(ROWS):
+                x = mix(x * U(0x9FB21C651E98DF25) + rows[:, :, j])
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(sizes, pa.int64()), bands, pa.array(bits, pa.binary())], names=["key", "cls", "n", "bands", "bits"])
+
+    return run
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), text_or_empty(text)).mapInArrow(run, f"key {kind}, cls binary, bands array<bigint>, shingles binary, bits binary")
+
+def _sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
+    h, begin = shingles(*words(data, off), k)
+    return [np.unique(h[begin[i] : begin[i + 1]]) for i in range(len(off) - 1)]
 
 
 def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text: str = "text", like: int = LIKE, k: int = SHINGLE) -> DataFrame:
-    """key and group (least key reachable by links) of every row with a key. A link joins two rows of equal
-    shingle sets, or of a Jaccard similarity of `like` percent or more that share a signature band."""
-    sc = Scratch(spark, "minhash")
-    members = sc.write("members", _sets(docs.where(F.col(key).isNotNull()), spark, key, text, k))
-    one = members.groupBy("cls").agg(F.min("key").alias("id"))
-    one = sc.write("one", one)
-    sets = members.join(one, (F.col("key") == F.col("id")) & (members.cls == one.cls), "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "bands", "shingles", "bits")
-    sets = sc.write("sets", sets.withColumn("n", F.expr("cast(octet_length(shingles) div 8 as long)")))
-    postings = sets.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("token"), "id", (F.col("n") * 100).alias("s"), (F.col("n") * like).alias("m"))
+    """key and group (least key reachable by links) of every row with a key (a whole number). A link joins two
+    rows of equal shingle sets, or of a Jaccard similarity of `like` percent or more that share a signature band.
+    Rows without words are in a group of their own; an empty table gives an empty result."""
+    tune(spark)
+    sc, kept = Scratch(spark, "minhash"), Scratch(spark, "groups")
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).where("key is not null")
+    members = sc.write("members", rows.mapInArrow(_banded(k), "key long, cls binary, n long, bands array<bigint>, bits binary"))
+    one = sc.write("one", members.where("n > 0").groupBy("cls").agg(F.min("key").alias("key")))
+    # A number for each class, written, so that it stays what it is.
+    found = members.where("n > 0").join(one, ["cls", "key"]).dropDuplicates(["cls"]).withColumn("id", F.monotonically_increasing_id())
+    reps = sc.write("reps", found.select("id", "key", "cls", "n", "bands", "bits"))
+    posted = reps.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.col("value").alias("token"), "id", (F.col("n") * 100).alias("s"), (F.col("n") * like).alias("m"))
+    busy = sc.write("busy", posted.groupBy("token").agg(F.count("*").alias("c"), F.max("s").alias("s"), F.min("m").alias("m")).where("c > 1 and s >= m").select("token"))
+    postings = sc.write("postings", posted.join(busy, "token"))
     none = F.lit(None).cast("binary")
-    narrow = sets.select("id", "n", F.lit(1).alias("need"), none.alias("tokens"), none.alias("places"), "bits")
-    groups = clusters(sc, sc.write("postings", postings), narrow, lambda ids: sets.select("id", "shingles").join(ids, "id"), like)
-    reach = one.join(groups, "id", "left").select("cls", F.coalesce("component", "id").alias("group"))
-    empty = F.length("shingles") == 0
-    return members.join(sc.write("reach", reach), "cls").select("key", F.when(empty, F.col("key")).otherwise(F.col("group")).alias("group"))
+    narrow = sc.write("narrow", reps.join(postings.select("id").distinct(), "id", "left_semi").select("id", "n", F.lit(1).alias("need"), none.alias("tokens"), none.alias("places"), "bits"))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        wanted = sc.write(f"wanted{uuid.uuid4().hex}", reps.select("id", "key", "cls").join(ids, "id"))
+        keep = asked(wanted.select(bit_of("key")))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in keep(batches):
+                data, off = utf8(batch.column(2))
+                sets = [u for a, b in blocks(off, 1 << 18) for u in _sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)]
+                cls = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["key", "cls", "shingles"])
+
+        sets = rows.select("key", bit_of("key"), "text").mapInArrow(whole, "key long, cls binary, shingles binary")
+        return sets.join(wanted, ["key", "cls"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
+
+    joined = sc.write("joined", clusters(sc, postings, narrow, fetch, like))
+    named = sc.write("named", joined.join(reps.select("id", "key", "cls"), "id"))
+    least = named.groupBy("component").agg(F.min("key").alias("group"))
+    reach = one.join(named.join(least, "component").select("cls", "group"), "cls", "left").select("cls", F.coalesce("group", "key").alias("group"))
+    # Written: the join then has plain exchanges on both sides, which AQE splits at a class of many copies.
+    reach = sc.write("reach", reach)
+    alone = members.where("n = 0").select("key", F.col("key").alias("group"))
+    out = kept.write("groups", members.where("n > 0").join(reach, "cls").select("key", "group").unionByName(alone))
+    sc.remove()
+    return out

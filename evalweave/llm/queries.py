@@ -22,7 +22,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"), spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.fingerprints(docs, spark, groups=minhash.near_groups(docs, spark))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,12 +213,20 @@ def test_jaccard_join_of_nothing(spark, nothing):
     assert jaccard.link(nothing, spark).count() == 0
 
 
-def test_minhash_groups(spark):
-    texts = edited_corpus(4, 8, 150, 2)
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.key: r.group for r in minhash.near_groups(df, spark).collect()}
+def test_minhash_groups(spark, docs, nothing):
+    """Found by brute force or by bands: recall over pairs of one group; copies, nulls, empty and long texts."""
+    texts = {r[0]: r[1] for r in rows()} | {1000 + i: t for i, t in edited_corpus(4, 8, 150, 2).items()}
+    more = spark.createDataFrame([(i, t) for i, t in texts.items() if i >= 1000] + [(None, texts[0])], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(more)
+    found = minhash.near_groups(every, spark).collect()
+    assert len(found) == every.count() - 1
+    got = {r.key: r.group for r in found}
     want = {i: c for i, (_, c) in groups(texts, 5, 80).items()}
-    assert sum(got[i] == want[i] for i in want) >= 0.9 * len(want) and all(got[i] >= want[i] for i in want)
+    pairs = [(i, j) for i in want for j in want if i < j and want[i] == want[j]]
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs) and all(got[i] >= want[i] for i in want)
+    assert minhash.near_groups(nothing, spark).count() == 0
+    prints = minhash.fingerprints(every, spark, groups=spark.createDataFrame(found)).collect()
+    assert len(prints) == every.count() and all(r.near_group == got.get(r.doc_id) for r in prints)
 
 
 def small_corpus(vocabulary, seed=1):
