@@ -199,14 +199,18 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
     # A number for each class, written, so that it stays what it is.
     found = members.where("n > 0").join(one, ["cls", "key"]).dropDuplicates(["cls"]).withColumn("id", F.monotonically_increasing_id())
     reps = sc.write("reps", found.select("id", "key", "cls", "n", "bands", "bits"))
+    # What is read later is kept without bands and bits, most of these tables.
+    placed, named = sc.write("placed", members.select("key", "cls", "n")), sc.write("named", reps.select("id", "key", "cls"))
+    sc.drop("members")
     posted = reps.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.col("value").alias("token"), "id", (F.col("n") * 100).alias("s"), (F.col("n") * like).alias("m"))
     busy = sc.write("busy", posted.groupBy("token").agg(F.count("*").alias("c"), F.max("s").alias("s"), F.min("m").alias("m")).where("c > 1 and s >= m").select("token"))
     postings = sc.write("postings", posted.join(busy, "token"))
     none = F.lit(None).cast("binary")
     narrow = sc.write("narrow", reps.join(postings.select("id").distinct(), "id", "left_semi").select("id", "n", F.lit(1).alias("need"), none.alias("tokens"), none.alias("places"), "bits"))
+    sc.drop("busy", "reps")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = sc.write(f"wanted{uuid.uuid4().hex}", reps.select("id", "key", "cls").join(ids, "id"))
+        wanted = sc.write(f"wanted{uuid.uuid4().hex}", named.join(ids, "id"))
         keep = asked(wanted.select(bit_of("key")))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +224,12 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
         return sets.join(wanted, ["key", "cls"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
 
     joined = sc.write("joined", clusters(sc, postings, narrow, fetch, like))
-    named = sc.write("named", joined.join(reps.select("id", "key", "cls"), "id"))
-    least = named.groupBy("component").agg(F.min("key").alias("group"))
-    reach = one.join(named.join(least, "component").select("cls", "group"), "cls", "left").select("cls", F.coalesce("group", "key").alias("group"))
+    linked = sc.write("linked", joined.join(named, "id"))
+    least = linked.groupBy("component").agg(F.min("key").alias("group"))
+    reach = one.join(linked.join(least, "component").select("cls", "group"), "cls", "left").select("cls", F.coalesce("group", "key").alias("group"))
     # Written: the join then has plain exchanges on both sides, which AQE splits at a class of many copies.
     reach = sc.write("reach", reach)
-    alone = members.where("n = 0").select("key", F.col("key").alias("group"))
-    out = kept.write("groups", members.where("n > 0").join(reach, "cls").select("key", "group").unionByName(alone))
+    alone = placed.where("n = 0").select("key", F.col("key").alias("group"))
+    out = kept.write("groups", placed.where("n > 0").join(reach, "cls").select("key", "group").unionByName(alone))
     sc.remove()
     return out
