@@ -108,14 +108,13 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
         tried = sc.write(f"{name}_tried", alone.mapInArrow(_direct(percent), f"a {kind}, b {kind}, keep boolean"))
         hopeful = tried.where("keep").select("a", "b").unionByName(pairs.where("not direct").select("a", "b"))
         ruled_out = tried.where("not keep").select("a", "b", F.lit(None).cast("double").alias("dist"), F.lit(False).alias("link"))
-        hopeful = sc.write(f"{name}_hopeful", hopeful)
         if hopeful.isEmpty():
-            return sc.write(name, ruled_out)
-        ids = hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))).distinct()
-        sets = sc.write(f"{name}_sets", fetch(sc.write(f"{name}_ids", ids)))
-        seen = both(hopeful, sets, ["shingles"]).mapInArrow(_verify(percent), f"a {kind}, b {kind}, dist double, link boolean")
-        out = sc.write(name, seen.unionByName(ruled_out))
-        sc.drop(*[f"{name}_{x}" for x in ("sets", "pairs", "hopeful", "tried", "ids")])
+            seen = ruled_out
+        else:
+            sets = sc.write(f"{name}_sets", fetch(hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+            seen = both(hopeful, sets, ["shingles"]).mapInArrow(_verify(percent), f"a {kind}, b {kind}, dist double, link boolean").unionByName(ruled_out)
+        out = sc.write(name, seen)
+        sc.drop(*[f"{name}_{x}" for x in ("sets", "pairs", "tried")])
         return out
 
     lead = None  # at first all stand for themselves
@@ -182,16 +181,17 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
             out = out.unionByName(t)
         return out
 
-    def apart(pairs: DataFrame, name: str) -> DataFrame:
+    def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
         """Without the pairs that links found so far have joined into one component already."""
-        known = components(sc, so_far().where("link"), name)
         for c in ("a", "b"):
             pairs = pairs.join(known.select(F.col("id").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
         return pairs.where("in_a is null or in_b is null or in_a != in_b").select("a", "b")
 
     here = sc.write("here", by_leader())
     pairs = side(here, {"leader": "a"}, "1").join(side(here, {"leader": "b"}, "2"), "token").where(may & F.expr("a < b")).select("a", "b").distinct()
-    tested.append(compare(fresh(apart(pairs, "before")), "leaders"))
+    known = components(sc, so_far().where("link"), "before")
+    tested.append(compare(fresh(apart(pairs, known)), "leaders"))
+    known = components(sc, tested[-1].where("link"), "after", known)
     everything = so_far()
     radius = lead.groupBy("leader").agg(F.max("far").alias("radius")).where("radius > 0")
     near = everything.where("not link and dist is not null")
@@ -199,7 +199,7 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
         near = near.join(radius.select(F.col("leader").alias(c), F.col("radius").alias(f"r_{c}")), c, "left")
     reach = F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0))
     near = near.where((reach > 0) & (F.col("dist") <= slack + reach + 1e-9)).select("a", "b", "dist")
-    near = sc.write("near", apart(near.select("a", "b"), "after").join(near, ["a", "b"]))
+    near = sc.write("near", apart(near.select("a", "b"), known).join(near, ["a", "b"]))
     ends = near.select(F.col("a").alias("leader")).unionByName(near.select(F.col("b").alias("leader"))).distinct()
     owned = sc.write("owned", postings.join(lead.join(ends, "leader", "left_semi"), "id"))
     # Members meet at a token first: a leader's members times its near leaders would be many more.
@@ -208,16 +208,26 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
     # The same bound for each two members: they are no farther from their leaders than `far`.
     inner = inner.join(near, ["a", "b"]).where(F.col("dist") <= slack + F.col("far_x") + F.col("far_y") + 1e-9).select(*ordered)
     inner = inner.select("a", "b", F.lit(True).alias("direct"))
-    edges = everything.where("link").select("a", "b").unionByName(compare(inner, "inner").where("link").select("a", "b"))
-    return components(sc, edges)
+    return components(sc, compare(inner, "inner").where("link"), "all", known)
 
 
-def components(sc: Scratch, edges: DataFrame, name: str = "all") -> DataFrame:
+def components(sc: Scratch, edges: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
     """id and component (least id reachable) of every id in edges (a, b), by least labels and label jumps.
 
-    One written table a step; the driver sees a count of changes. Steps grow with the logarithm of a
-    chain's length, as each also jumps to its label's label.
+    One written table a step; the driver sees whether anything changed. Steps grow with the logarithm of a
+    chain's length, as each also jumps to its label's label. known: components of earlier edges, a written
+    table; then only edges between these are followed, and its ids are among the result's.
     """
+    if known is not None:
+        for c in ("a", "b"):
+            edges = edges.join(known.select(F.col("id").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
+        across = sc.write(f"{name}_across", edges.select(F.coalesce("in_a", "a").alias("a"), F.coalesce("in_b", "b").alias("b")).where("a != b").distinct())
+        if across.isEmpty():
+            return known
+        met = components(sc, across, f"{name}_met")
+        moved = known.join(met.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left")
+        moved = moved.select("id", F.coalesce("least", "component").alias("component"))
+        return sc.write(name, moved.unionByName(met.join(known, "id", "left_anti")))
     both = sc.write(f"{name}_edges", edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = sc.write(f"{name}_label0", both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     step = 0
@@ -229,7 +239,7 @@ def components(sc: Scratch, edges: DataFrame, name: str = "all") -> DataFrame:
         out = best.join(jump, "new", "left").select("id", F.least("new", "further").alias("component"), (F.least("new", "further") != F.col("component")).alias("changed"))
         written = sc.write(f"{name}_label{step}", out)
         label = written.select("id", "component")
-        if not written.where("changed").limit(1).count():
+        if written.where("changed").isEmpty():
             return label
 
 

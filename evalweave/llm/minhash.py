@@ -195,10 +195,9 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
     sc, kept = Scratch(spark, "minhash"), Scratch(spark, "groups")
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).where("key is not null")
     members = sc.write("members", rows.mapInArrow(_banded(k), "key long, cls binary, n long, bands array<bigint>, bits binary"))
-    one = sc.write("one", members.where("n > 0").groupBy("cls").agg(F.min("key").alias("key")))
+    found = members.where("n > 0").groupBy("cls").agg(F.min(F.struct("key", "n", "bands", "bits")).alias("r"))
     # A number for each class, written, so that it stays what it is.
-    found = members.where("n > 0").join(one, ["cls", "key"]).dropDuplicates(["cls"]).withColumn("id", F.monotonically_increasing_id())
-    reps = sc.write("reps", found.select("id", "key", "cls", "n", "bands", "bits"))
+    reps = sc.write("reps", found.select(F.monotonically_increasing_id().alias("id"), "r.key", "cls", "r.n", "r.bands", "r.bits"))
     # What is read later is kept without bands and bits, most of these tables.
     placed, named = sc.write("placed", members.select("key", "cls", "n")), sc.write("named", reps.select("id", "key", "cls"))
     sc.drop("members")
@@ -223,10 +222,9 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
         sets = rows.select("key", bit_of("key"), "text").mapInArrow(whole, "key long, cls binary, shingles binary")
         return sets.join(wanted, ["key", "cls"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
 
-    joined = sc.write("joined", clusters(sc, postings, narrow, fetch, like))
-    linked = sc.write("linked", joined.join(named, "id"))
+    linked = sc.write("linked", clusters(sc, postings, narrow, fetch, like).join(named, "id"))
     least = linked.groupBy("component").agg(F.min("key").alias("group"))
-    reach = one.join(linked.join(least, "component").select("cls", "group"), "cls", "left").select("cls", F.coalesce("group", "key").alias("group"))
+    reach = named.select("cls", "key").join(linked.join(least, "component").select("cls", "group"), "cls", "left").select("cls", F.coalesce("group", "key").alias("group"))
     # Written: the join then has plain exchanges on both sides, which AQE splits at a class of many copies.
     reach = sc.write("reach", reach)
     alone = placed.where("n = 0").select("key", F.col("key").alias("group"))
