@@ -187,10 +187,17 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
             pairs = pairs.join(known.select(F.col("id").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
         return pairs.where("in_a is null or in_b is null or in_a != in_b").select("a", "b")
 
-    here = sc.write("here", by_leader())
-    pairs = side(here, {"leader": "a"}, "1").join(side(here, {"leader": "b"}, "2"), "token").where(may & F.expr("a < b")).select("a", "b").distinct()
+    def between(table: DataFrame) -> DataFrame:
+        """Rows at tokens where known components meet, with the one of their leader: elsewhere no pair is open."""
+        table = table.join(known.withColumnRenamed("id", "leader"), "leader", "left").withColumn("component", F.coalesce("component", "leader"))
+        open_ = table.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+        return table.join(open_.select("token"), "token", "left_semi")
+
     known = components(sc, so_far().where("link"), "before")
-    tested.append(compare(fresh(apart(pairs, known)), "leaders"))
+    here = sc.write("here", between(by_leader()))
+    left, right = side(here, {"leader": "a", "component": "in_a"}, "1"), side(here, {"leader": "b", "component": "in_b"}, "2")
+    pairs = left.join(right, "token").where(may & F.expr("a < b and in_a != in_b")).select("a", "b").distinct()
+    tested.append(compare(fresh(pairs), "leaders"))
     known = components(sc, tested[-1].where("link"), "after", known)
     everything = so_far()
     radius = lead.groupBy("leader").agg(F.max("far").alias("radius")).where("radius > 0")
@@ -201,10 +208,11 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
     near = near.where((reach > 0) & (F.col("dist") <= slack + reach + 1e-9)).select("a", "b", "dist")
     near = sc.write("near", apart(near.select("a", "b"), known).join(near, ["a", "b"]))
     ends = near.select(F.col("a").alias("leader")).unionByName(near.select(F.col("b").alias("leader"))).distinct()
-    owned = sc.write("owned", postings.join(lead.join(ends, "leader", "left_semi"), "id"))
+    owned = sc.write("owned", between(postings.join(lead.join(ends, "leader", "left_semi"), "id")))
     # Members meet at a token first: a leader's members times its near leaders would be many more.
-    left, right = side(owned, {"id": "x", "leader": "a", "far": "far_x"}, "1"), side(owned, {"id": "y", "leader": "b", "far": "far_y"}, "2")
-    inner = left.join(right, "token").where(may & F.expr("a < b")).groupBy("x", "y").agg(*[F.first(c).alias(c) for c in ("a", "b", "far_x", "far_y")])
+    left = side(owned, {"id": "x", "leader": "a", "far": "far_x", "component": "in_a"}, "1")
+    right = side(owned, {"id": "y", "leader": "b", "far": "far_y", "component": "in_b"}, "2")
+    inner = left.join(right, "token").where(may & F.expr("a < b and in_a != in_b")).groupBy("x", "y").agg(*[F.first(c).alias(c) for c in ("a", "b", "far_x", "far_y")])
     # The same bound for each two members: they are no farther from their leaders than `far`.
     inner = inner.join(near, ["a", "b"]).where(F.col("dist") <= slack + F.col("far_x") + F.col("far_y") + 1e-9).select(*ordered)
     inner = inner.select("a", "b", F.lit(True).alias("direct"))
