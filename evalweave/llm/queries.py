@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import chat, jaccard, minhash, mixing, packing, quality, secrets, shards, tokens, warc
+from evalweave.llm import chat, jaccard, lexical, minhash, mixing, packing, phrases, quality, secrets, shards, tokens, vafile, warc
 from evalweave.llm.common import Scratch
 from evalweave.llm.sql import SQL
 
@@ -80,5 +80,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("row.doc_id", *measures, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_token_counts, op4_chat_format, op5_source_mix, op6_ngram_jaccard, op7_sequence_packing, op8_warc_archive, op9_size_tiered_shards, op10_quality_rules)}
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"), spark)
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), spark, k=5, every=50)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.ranked(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"), spark, k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_token_counts, op4_chat_format, op5_source_mix, op6_ngram_jaccard, op7_sequence_packing, op8_warc_archive, op9_size_tiered_shards, op10_quality_rules, op11_phrase_mining, op12_exact_top_k, op13_lexical_search)}
 __all__ = ["QUERIES", "SQL", "F"]

@@ -104,3 +104,57 @@ FROM f
 """
 
 SQL["op9_size_tiered_shards"] = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+SQL["op12_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op13_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+c AS (SELECT count(*) FILTER (len(t) > 0) AS nd, sum(len(t))::BIGINT AS l FROM d),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, nd),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER r)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW r AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 20
+"""
+
+SQL["op11_phrase_mining"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, words, phrase, count(*)::BIGINT AS a
+  FROM (SELECT lang, words, unnest(list_transform(range(1, len(w) - words + 2), lambda i: array_to_string(w[i:i + words - 1], ' '))) AS phrase
+        FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS words))
+  GROUP BY lang, words, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, words, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE words >= 2),
+s AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, a, w, size, unnest(range(1, words - size + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS size FROM c))
+  GROUP BY ALL),
+left_over AS (SELECT c.* FROM c LEFT JOIN s USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (
+  SELECT x.lang, x.phrase, x.a, k, l.a AS l, r.a AS r, n, ((1000 * x.a::HUGEINT * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM left_over) x JOIN t USING (lang)
+  JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM best
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000
+"""
