@@ -1,7 +1,8 @@
 """Phrase collocation mining: candidates from sketch upper bounds, counted by guarded automata.
 
 Three scans build count sketches of the phrases of one, of two, and of three to five words; a phrase is added
-only if every shorter one in it may be frequent. A sketch's counters are spread over slices that Spark sums; a
+only if every shorter one in it may be frequent. With the third goes a map of the words that lie in such a pair:
+no other word is part of a candidate. A sketch's counters are spread over slices that Spark sums; a
 counter that reaches the least count sets a bit of a map of fixed size. A phrase whose bits are set, and those
 of all phrases inside it, is a candidate: counters only over-estimate, so none is missed, and a full map merely
 lets more through. In the last scan each shard of the texts compiles the candidates that occur in it into one
@@ -31,6 +32,8 @@ U = np.uint64
 MAP = 26
 #: Bytes of text that one automaton is made for, and counters that one slice of a sketch holds by expectation.
 SHARD, SLICE = 8 << 20, 1 << 21
+#: Phrases whose counts a task holds before it sends them.
+HELD = 1 << 19
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, *range(0x0A, 0x0E)]] = True
@@ -123,35 +126,45 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
     yield from made()
 
 
+def _slices(h: np.ndarray, bits: int, first: int) -> Iterator[pa.RecordBatch]:
+    """Rows (slice, keys, counts) of hashes: 2^bits slices, numbered from `first`, of 2^32 counters each."""
+    h, counts = np.unique(h >> U(32 - bits), return_counts=True)
+    cuts = np.searchsorted(h >> U(32), np.arange((1 << bits) + 1, dtype=U))
+    full = np.flatnonzero(np.diff(cuts))
+    keys, counts = (h & U(0xFFFFFFFF)).astype("<u4"), counts.astype("<u4")
+    for a in range(0, len(full), 256):
+        some = full[a : a + 256]
+        parts = [[x[cuts[s] : cuts[s + 1]].tobytes() for s in some] for x in (keys, counts)]
+        yield pa.record_batch([pa.array(some + first, pa.int32()), pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())], ["slice", "keys", "counts"])
+
+
 def _sketch(sizes: tuple[int, ...], maps, bits: int):
-    """Rows (slice, keys, counts) of each shard: 2^bits slices of 2^32 counters each."""
+    """The sketch of phrases of these sizes; the words of possible pairs go to slices of their own, above the others."""
 
     def run(batches):
-        known = {n: m for n, m in maps.value.items()} if maps else {}
+        known = maps.value if maps else {}
         for _, shard in shards(batches):
             may = shard.may(known, sizes[-1])
-            h = np.concatenate([shard.hashes(n)[may[n]] for n in sizes])
-            h, counts = np.unique(h >> U(32 - bits), return_counts=True)
-            cuts = np.searchsorted(h >> U(32), np.arange((1 << bits) + 1, dtype=U))
-            full = np.flatnonzero(np.diff(cuts))
-            keys = (h & U(0xFFFFFFFF)).astype("<u4")
-            counts = counts.astype("<u4")
-            for a in range(0, len(full), 256):
-                some = full[a : a + 256]
-                parts = [[x[cuts[s] : cuts[s + 1]].tobytes() for s in some] for x in (keys, counts)]
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())], ["slice", "keys", "counts"])
+            yield from _slices(np.concatenate([shard.hashes(n)[may[n]] for n in sizes]), bits, 0)
+            if sizes[0] > 2:
+                paired = may[2].copy()
+                paired[1:] |= may[2][:-1]
+                yield from _slices(shard.words[paired], bits, 1 << bits)
 
     return run
 
 
 def _reaching(least: int, bits: int):
-    """The part of the map that a slice covers: bits of counters that reach `least`. Rows of a slice come together."""
+    """The part of the map that a slice covers: bits of counters that reach `least` (1 above the first 2^bits slices).
+
+    Rows of a slice come together.
+    """
 
     def bitmap(s: int, keys: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
         k, at = np.unique(np.frombuffer(b"".join(keys), "<u4"), return_inverse=True)
         total = np.bincount(at, np.frombuffer(b"".join(counts), "<u4"), len(k))
         marks = np.zeros(1 << (MAP - bits), np.uint8)
-        marks[k[total >= least] >> np.uint32(32 - (MAP - bits))] = 1
+        marks[k[total >= (least if s < 1 << bits else 1)] >> np.uint32(32 - (MAP - bits))] = 1
         return pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], ["slice", "marks"])
 
     def run(batches):
@@ -170,43 +183,57 @@ def _reaching(least: int, bits: int):
     return run
 
 
-def _frequent(texts: DataFrame, sizes: tuple[int, ...], maps, least: int, bits: int) -> np.ndarray:
-    """The map of one sketch. The driver gets 2^MAP bits at most."""
+def _frequent(texts: DataFrame, sizes: tuple[int, ...], maps, least: int, bits: int) -> dict[int, np.ndarray]:
+    """The map of one sketch, by size, and of the words in possible pairs. The driver gets 2 * 2^MAP bits at most."""
     spread = texts.mapInArrow(_sketch(sizes, maps, bits), "slice int, keys binary, counts binary")
     parts = min(1 << bits, max(shuffle_width(texts.sparkSession), (1 << bits) // 4))
     summed = spread.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_reaching(least, bits), "slice int, marks binary")
-    out = np.zeros(1 << (MAP - 3), np.uint8)
-    width = len(out) >> bits
+    out = np.zeros((2, 1 << (MAP - 3)), np.uint8)
+    width = out.shape[1] >> bits
     for s, marks in summed.collect():
-        out[s * width : (s + 1) * width] = np.frombuffer(marks, np.uint8)
-    return out
+        at = s % (1 << bits)
+        out[s >> bits, at * width : (at + 1) * width] = np.frombuffer(marks, np.uint8)
+    return {n: out[0] for n in sizes} | ({1: out[1]} if sizes[0] > 2 else {})
+
+
+def _matches(shard: Shard, maps: dict[int, np.ndarray], most: int) -> Iterator[tuple[str, int, int]]:
+    """(phrase, words, matches) of each candidate in a shard."""
+    may, plain = shard.may(maps, most), shard.text.tobytes()
+    machine, phrases = ahocorasick.Automaton(), []
+    for n in range(1, most + 1):
+        at = np.flatnonzero(may[n])
+        at = at[np.unique(shard.hashes(n)[at], return_index=True)[1]]
+        for a, b in zip(shard.begin[at].tolist(), shard.end[at + n - 1].tolist(), strict=True):
+            phrase = plain[a:b].decode()
+            machine.add_word(f" {phrase} ", len(phrases))
+            phrases.append((phrase, n))
+    if phrases:
+        machine.make_automaton()
+        counts = np.bincount(np.fromiter(map(itemgetter(1), machine.iter(plain.decode())), np.int64), minlength=len(phrases))
+        for (phrase, n), c in zip(phrases, counts.tolist(), strict=True):
+            yield phrase, n, c
 
 
 def _count(maps, most: int):
-    """(lang, words, phrase, n) by shard: matches of each candidate, and with 0 words the number of words."""
+    """(lang, words, phrase, n): matches of each candidate, and with 0 words the number of words, summed in the task."""
 
     def run(batches):
-        known = maps.value
+        held: dict[tuple[str, int, str], int] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows = list(held.items())
+            for a in range(0, len(rows), 1 << 16):
+                langs, words, phrases = zip(*(k for k, _ in rows[a : a + (1 << 16)]), strict=True)
+                yield pa.record_batch([pa.array(langs), pa.array(words, pa.int32()), pa.array(phrases), pa.array([c for _, c in rows[a : a + (1 << 16)]], pa.int64())], ["lang", "words", "phrase", "n"])
+
         for lang, shard in shards(batches):
-            may = shard.may(known, most)
-            plain = shard.text.tobytes()
-            machine, phrases, sizes = ahocorasick.Automaton(), [], []
-            for n in range(1, most + 1):
-                at = np.flatnonzero(may[n])
-                at = at[np.unique(shard.hashes(n)[at], return_index=True)[1]]
-                for a, b in zip(shard.begin[at].tolist(), shard.end[at + n - 1].tolist(), strict=True):
-                    phrase = plain[a:b].decode()
-                    machine.add_word(f" {phrase} ", len(phrases))
-                    phrases.append(phrase)
-                    sizes.append(n)
-            counts = np.zeros(0, np.int64)
-            if phrases:
-                machine.make_automaton()
-                counts = np.bincount(np.fromiter(map(itemgetter(1), machine.iter(plain.decode())), np.int64), minlength=len(phrases))
-            columns = [pa.array([lang] * (len(phrases) + 1)), pa.array([0, *sizes], pa.int32()), pa.array(["", *phrases]), pa.array([len(shard.words), *counts.tolist()], pa.int64())]
-            whole = pa.record_batch(columns, ["lang", "words", "phrase", "n"])
-            for a in range(0, len(whole), 1 << 16):
-                yield whole.slice(a, 1 << 16)
+            held[lang, 0, ""] = held.get((lang, 0, ""), 0) + len(shard.words)
+            for phrase, n, c in _matches(shard, maps.value, most):
+                held[lang, n, phrase] = held.get((lang, n, phrase), 0) + c
+            if len(held) >= HELD:
+                yield from sent()
+                held.clear()
+        yield from sent()
 
     return run
 
@@ -226,8 +253,7 @@ def counts(docs: DataFrame, spark: SparkSession, least: int = 100, most: int = 5
     sent = None
     for sizes in ((1,), (2,), tuple(range(3, most + 1))):
         if sizes and sizes[-1] <= most:
-            found = _frequent(texts, sizes, sent, least, bits)
-            maps |= {n: found for n in sizes}
+            maps = maps | _frequent(texts, sizes, sent, least, bits)
             if sent:
                 sent.unpersist()
             sent = spark.sparkContext.broadcast(maps)
