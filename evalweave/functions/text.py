@@ -40,8 +40,8 @@ def tidy_list(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Distinct lower-case tokens of two or more characters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]{2,}"), F.lit(0)))
+    """Distinct lower-case tokens of two or more characters; one begins with a letter or an underscore."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"[A-Za-z_][A-Za-z0-9_]+"), F.lit(0)), F.lower))
 
 
 def overlap(found: Column, name: Column) -> Column:
@@ -57,7 +57,7 @@ def preview(c: Column, most: int = 140) -> Column:
 
 def first_sentence(doc: Column, most: int = 100) -> Column:
     """Of the first paragraph, up to its first full stop, cut to `most` characters."""
-    paragraph = F.trim(F.regexp_replace(F.split_part(strip(doc), F.lit("\n\n"), F.lit(1)), r"\s+", " "))
+    paragraph = F.trim(F.regexp_replace(F.get(F.split(strip(F.regexp_replace(doc, r"\r\n?", "\n")), r"\n\s*\n"), F.lit(0)), r"\s+", " "))
     stop = F.instr(paragraph, ".")
     sentence = F.when(stop > 0, F.substring(paragraph, F.lit(1), stop)).otherwise(paragraph)
     return F.when(F.length(sentence) <= most, sentence).otherwise(F.concat(F.rtrim(F.substring(sentence, 1, most - 3)), F.lit("...")))

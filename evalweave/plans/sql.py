@@ -60,7 +60,7 @@ def _windows(size: int, step: int, source: str = "documents") -> str:
 SQL["w7_line_windows"] = f"SELECT doc_id, start_line::INT AS start_line, end_line::INT AS end_line, substr(sha256(text), 1, 8) AS hash FROM ({_windows(12, 8)})"
 SQL["f2_f3_hashes"] = "SELECT doc_id, substr(sha256(text), 1, 8) AS short, sha1(text) AS sha1 FROM documents"
 SQL["f30_f31_token_overlap"] = """SELECT doc_id, len(t)::INT AS n_tokens, len(list_filter(t, lambda x: contains(lower(lang || '_the_source_' || source), x)))::INT AS overlap
-FROM (SELECT doc_id, lang, source, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS t FROM documents)"""
+FROM (SELECT doc_id, lang, source, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+'), lambda x: lower(x))) AS t FROM documents)"""
 SQL["f34_previews"] = r"""SELECT doc_id, CASE WHEN length(t) <= 140 THEN t ELSE rtrim(substr(t, 1, 137)) || '...' END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)"""
 SQL["f1_levenshtein_parts"] = "SELECT p_partkey, levenshtein(p_type, p_brand)::INT AS distance FROM part"
 SQL["f4_f5_p14_names"] = "SELECT c_custkey, 'org_' || lower(c_mktsegment) AS repo, regexp_replace(c_name || ' / v1', '[^A-Za-z0-9._-]+', '_', 'g') AS safe, 'a_b' AS folder FROM customer"
