@@ -105,3 +105,21 @@ def entity_parts(item: Column, last: bool = True) -> Column:
     at = F.length(item) - F.instr(F.reverse(item), ":") + 1 if last else F.instr(item, ":")
     file, name = strip(F.substring(item, F.lit(1), at - 1)), strip(F.substring(item, at + 1, F.length(item)))
     return F.when(F.contains(item, F.lit(":")) & (file != ""), F.struct(file.alias("file"), name.alias("name")))
+
+
+def resolved(c: Column) -> Column:
+    """A relative path without empty, . and .. parts; null if it leaves the root on its way, or is the root itself."""
+    parts = F.filter(F.split(c, "/"), lambda x: (x != "") & (x != "."))
+    none = F.array().cast("array<string>")
+    step = lambda acc, x: F.when(x != "..", F.struct(F.concat(acc["s"], F.array(x)).alias("s"), acc["ok"].alias("ok"))).otherwise(
+        F.struct(F.when(F.size(acc["s"]) > 1, F.slice(acc["s"], F.lit(1), F.size(acc["s"]) - 1)).otherwise(none).alias("s"), (acc["ok"] & (F.size(acc["s"]) > 0)).alias("ok"))
+    )
+    end = F.aggregate(parts, F.struct(none.alias("s"), F.lit(True).alias("ok")), step)
+    return F.when(end["ok"] & (F.size(end["s"]) > 0) & ~F.startswith(c, F.lit("/")), F.array_join(end["s"], "/"))
+
+
+def inside(c: Column, *roots: str) -> Column:
+    """A path as seen from the repository: relative, or absolute below one of the roots; null for any other and for -."""
+    p = strip(c)
+    below = [F.when((p == r) | F.startswith(p, F.lit(r.rstrip("/") + "/")), F.substring(p, len(r.rstrip("/")) + 2, 1 << 30)) for r in roots]
+    return resolved(F.when((p != "") & (p != "-"), F.coalesce(F.when(~F.startswith(p, F.lit("/")), p), *below)))

@@ -72,6 +72,46 @@ def balanced_object(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: first_object(t) if t else None)
 
 
+#: Commands whose arguments a read tracker takes for files, those that print paths, options with a
+#: value of their own, and words that part one command from the next.
+TRACKED = ("cat", "sed", "head", "tail", "rg", "grep")
+SEARCHERS = ("rg", "grep")
+VALUED = {
+    "rg": ("-e", "--regexp", "-f", "--file", "-g", "--glob", "--type", "--type-add", "--type-not", "--type-clear", "--path-separator", "--encoding"),
+    "grep": ("-e", "-f", "--regexp", "--file"),
+    "sed": ("-e", "-f", "--expression", "--file", "-i", "--in-place"),
+    "head": ("-n", "--lines", "-c", "--bytes"),
+    "tail": ("-n", "--lines", "-c", "--bytes"),
+}
+SEPARATORS = ("|", "||", "&&", ";")
+
+
+def arguments_read(line: str) -> tuple[list[str], bool]:
+    """(arguments that may be files, whether a command of the line searches); a line that doesn't parse has none."""
+    try:
+        words = shlex.split(line)
+    except ValueError:
+        return [], False
+    found, searches, command, valued = [], False, None, False
+    for word in words:
+        if word in SEPARATORS:
+            command, valued = None, False
+        elif command is None:
+            command, searches = word, searches or word in SEARCHERS
+        elif valued or command not in TRACKED:
+            valued = False
+        elif word in VALUED.get(command, ()):
+            valued = True
+        elif not word.startswith("-"):
+            found.append(word)
+    return list(dict.fromkeys(found)), searches
+
+
+@F.pandas_udf(T.StructType([T.StructField("paths", T.ArrayType(T.StringType())), T.StructField("searches", T.BooleanType())]))
+def arguments_of(lines: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([arguments_read(x) if x else ([], False) for x in lines], columns=["paths", "searches"])
+
+
 #: Commands that read the files they are given.
 READERS = ("cat", "head", "tail", "less", "more", "nl", "sed", "awk", "grep", "rg", "wc", "bat")
 

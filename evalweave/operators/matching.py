@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions.paths import basename, normal
+from evalweave.functions.paths import resolved as resolved_path
 
 
 def query_keys(name: Column) -> Column:
@@ -81,9 +82,10 @@ def hint_observed(hint: Column, seen: Column) -> Column:
 
 
 def hint_inspected(hint: Column, seen: Column) -> Column:
-    """Equal, a suffix, or a base name that one inspected file has."""
+    """Equal, the end of an inspected file where the hint has a slash, or a base name that one inspected file has."""
     alone = F.size(F.filter(seen, lambda s: basename(s) == basename(hint))) == 1
-    return (hint != "") & (F.exists(seen, lambda s: (s == hint) | F.endswith(s, hint)) | alone)
+    slash = F.contains(hint, F.lit("/"))
+    return (hint != "") & (F.exists(seen, lambda s: (s == hint) | (slash & F.endswith(s, hint))) | alone)
 
 
 def hint_in_scope(hint: Column, scope: Column) -> Column:
@@ -166,7 +168,6 @@ def inverted(edges: DataFrame) -> DataFrame:
 
 
 def existing(candidates: DataFrame, files: DataFrame) -> DataFrame:
-    """Candidates whose path (normalised, inside the root) is one of the files. Both: path."""
-    p = F.regexp_replace(normal(F.col("path")), r"(^|/)(?:\./)+", "$1")
-    inside = candidates.withColumn("__p", p).where(~F.col("path").rlike(r"^/|(^|/)\.\.(/|$)"))
+    """Candidates whose path is one of the files once its . and .. are resolved; those that leave the root never are. Both: path."""
+    inside = candidates.withColumn("__p", resolved_path(normal(F.col("path"))))
     return inside.join(files.select(F.col("path").alias("__p")).distinct(), "__p", "left_semi").drop("__p")

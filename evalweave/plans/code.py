@@ -9,7 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.operators import skeletons
+from evalweave.functions import text
+from evalweave.operators import builds, ranking, skeletons, tracking
+from evalweave.plans.queries import scratch
+from evalweave.sources import files as sources
+from evalweave.sources import records, trajectory_sink
+from evalweave.streaming import sessions as streams
+from evalweave.streaming import tracking as live
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -75,6 +81,96 @@ def x8_skeletons(spark, sf_dir):
     return out.withColumn("primary_anchor", anchor)
 
 
+def _reads(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """Events as shell lines with outputs, and the files that they read: src/f0 to f96, and lib/ with even numbers."""
+    no, few = F.col("event_id") % 97, F.col("event_id") % 5
+    f = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    line = (
+        F.when(F.col("event_type") == "view", f("cat src/f", no, ".py | grep -n -e foo ./src/../src/f", few, ".py"))
+        .when(F.col("event_type") == "click", f("head -n 5 /work/src/f", no, ".py && ls src/f1.py ; tail - ../src/f2.py"))
+        .when(F.col("event_type") == "error", 'cat "unclosed')
+        .otherwise("rg -g *.py foo")
+    )
+    shown = f("src/f", no + 1, ".py:3:foo\nnothing here\n\n/repo/lib/f", few, ".py:1:x\nsrc/f", no, ".py")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 97").select((F.col("p_partkey")).alias("n"))
+    files = part.select(f("src/f", F.col("n"), ".py").alias("path")).unionByName(part.where("n % 2 = 0").select(f("lib/f", F.col("n"), ".py").alias("path")))
+    return tracking.reads(events.withColumn("line", line).withColumn("shown", shown), files, "user_id", "event_id", "line", "shown", ("/repo", "/work"))
+
+
+@query
+def t12_read_tracker(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return tracking.tracked(_reads(spark, sf_dir, events), "user_id", "event_id")
+
+
+@query
+def t12_read_tracker_stream(spark, sf_dir):
+    """The same as a stream over the table, drained."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    base = scratch(spark, "stream")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    streams.drained(live.tracked(_reads(spark, sf_dir, stream), "user_id", "event_id"), f"{base}/checkpoint", f"{base}/out")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query
+def s4_bad_records(spark, sf_dir):
+    """Documents written as lines, a file a source, some of them broken; the first bad line of each file."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null")
+    no = F.col("doc_id")
+    good = F.to_json(F.struct("doc_id", "lang", "n_chars", "text"))
+    line = (
+        F.when((no % 41 == 40) & (F.length("source") > 4), F.concat(F.lit('{"a": "'), F.unhex(F.lit("FF")).cast("string"), F.lit('"}')))
+        .when((no % 37 == 36) & (F.col("source") != "src7"), F.substring(good, 1, 12)).when(no % 11 == 3, "  ").when(no % 11 == 4, '{"a": NaN, "a": 1}').otherwise(good)
+    )
+    out = scratch(spark, "lines")
+    docs.select("source", "doc_id", line.alias("value")).repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").text(out)
+    found = records.bad_records(spark, out, lines=(".txt",), whole=())
+    return found.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "error_type", "line")
+
+
+@query
+def v3_k10_index_build(spark, sf_dir):
+    """Two builds of the indexes of eight repositories: one has no files, one gets its commit late, one changes it."""
+    files = code_files(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), F.regexp_extract("path", "[0-9]+", 0).cast("long") % 7))
+    no = F.col("id")
+    repos = spark.range(8).select(F.concat(F.lit("r"), no).alias("repo"), F.when(no != 6, F.concat(F.lit("1234567-"), no)).alias("one"), F.concat(F.when(no == 2, "abcdefgh-").otherwise("1234567-"), no).alias("two"))
+    spec = {"index_version": "v1", "embedding_provider": "hash", "embedding_model": "tokens/64", "chunker": "lines", "chunk_size": "20", "overlap": "5"}
+    table = builds.IndexTable(spark, scratch(spark, "indexes"), spec, lambda c: ranking.hash_embedding(c, 8))
+    first = table.build(repos.select("repo", F.col("one").alias("base_commit")), files).withColumn("run", F.lit(1))
+    first = spark.createDataFrame(first.collect(), first.schema)  # eight rows, as of the first build
+    second = table.build(repos.select("repo", F.col("two").alias("base_commit")), files).withColumn("run", F.lit(2))
+    return first.unionByName(second)
+
+
+@query
+def k9_s11_trajectory_files(spark, sf_dir):
+    """Conversations written as a file each and read back."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    infos = said.groupBy("conv_id").agg(F.count("*").alias("api_calls"), F.lit("Submitted").alias("exit_status"))
+    out = scratch(spark, "trajectories")
+    trajectory_sink.save(trajectory_sink.sessions(said, infos, "conv_id", "turn", "role", "text"), out)
+    back = sources.trajectories(spark, out)
+    return back.select(F.col("instance_id").cast("long").alias("conv_id"), "pos", "role", text.short_hash(F.col("content")).alias("content"))
+
+
+SQL["t12_read_tracker"] = SQL["t12_read_tracker_stream"] = """
+WITH e AS (SELECT user_id, event_id, event_type, event_id % 97 AS k, event_id % 5 AS u FROM events),
+r AS (
+  SELECT user_id, event_id, unnest(p) AS path, unnest(range(len(p))) AS pos
+  FROM (SELECT *, CASE event_type WHEN 'view' THEN ['src/f' || k, 'src/f' || u, 'src/f' || (k + 1), 'lib/f' || u, 'src/f' || k] WHEN 'click' THEN ['src/f' || k] WHEN 'error' THEN []
+                       ELSE ['src/f' || (k + 1), 'lib/f' || u, 'src/f' || k] END AS p FROM e)),
+files AS (SELECT 'src/f' || p_partkey AS path FROM part WHERE p_partkey < 97 UNION SELECT 'lib/f' || p_partkey FROM part WHERE p_partkey < 97 AND p_partkey % 2 = 0),
+f AS (SELECT user_id, path, min({'e': event_id, 'p': pos}) AS x FROM r SEMI JOIN files USING (path) GROUP BY user_id, path),
+n AS (SELECT user_id, x.e AS event_id, path, row_number() OVER (PARTITION BY user_id ORDER BY x.e, x.p) AS place FROM f)
+SELECT user_id, event_id, place::INTEGER AS place, CASE WHEN place > 50 THEN '<<TRUNCATED>>' ELSE path || '.py' END AS path FROM n WHERE place <= 51
+"""
+SQL["s4_bad_records"] = """
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line FROM documents WHERE source IS NOT NULL),
+b AS (SELECT source, line, CASE WHEN doc_id % 41 = 40 AND length(source) > 4 THEN 'decode' WHEN doc_id % 37 = 36 AND source <> 'src7' THEN 'json' END AS error_type FROM d)
+SELECT source, min_by(error_type, line) AS error_type, min(line) AS line FROM b WHERE error_type IS NOT NULL GROUP BY source
+"""
+
 _FORMS = ", ".join("'" + "\n".join(f).replace("'", "''") + "'" for f in FORMS)
 _CODE = rf"""
 made AS (
@@ -112,6 +208,20 @@ imports AS (
   SELECT path, line, trim(text) AS text FROM lines
   WHERE regexp_matches(text, '^\s*#include\s+[<"].+[>"]\s*$|^\s*import\s+.+$|^\s*from\s+\S+\s+import\s+.+$|^\s*(?:const|let|var)\s+\w+\s*=\s*require\(.+\)\s*;?\s*$'))"""
 
+SQL["v3_k10_index_build"] = rf"""
+WITH {_CODE},
+n AS (SELECT regexp_extract(path, '[0-9]+')::BIGINT % 7 AS no, sum(ceil(len(string_split(content, chr(10))) / 15.0))::BIGINT AS chunks FROM files GROUP BY 1),
+a AS (SELECT r.no, run, chunks, CASE WHEN r.no = 2 AND run = 2 THEN 'abcdefgh' WHEN r.no = 6 AND run = 1 THEN '' ELSE '1234567-' END AS commit
+      FROM (SELECT unnest(range(8)) AS no) r CROSS JOIN (SELECT unnest([1, 2]) AS run) LEFT JOIN n USING (no))
+SELECT 'r' || no AS repo, run::INTEGER AS run, commit,
+       CASE WHEN commit = '' OR chunks IS NULL THEN 'failed' WHEN run = 1 OR no IN (2, 6) THEN 'rebuilt' ELSE 'disk_hit' END AS status,
+       CASE WHEN commit = '' THEN 'commit_missing' WHEN chunks IS NULL THEN 'no_files' WHEN run = 1 OR no IN (2, 6) THEN 'meta_missing' END AS reason,
+       CASE WHEN commit <> '' THEN chunks END AS chunks FROM a
+"""
+SQL["k9_s11_trajectory_files"] = """
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, role, substr(sha256(text), 1, 8) AS content FROM conversations
+"""
+
 SQL["x6_line_symbols"] = rf"""
 WITH {_CODE}
 SELECT path, kind, name, line::INTEGER AS start, stop::INTEGER AS stop, trim(rtrim(trim(text), '{{')) AS signature FROM ends

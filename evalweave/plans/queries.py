@@ -24,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the cluster's shared folder; a temporary one only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="evalweave-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 best vectors for each query vector (every twentieth); labels play the files."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -141,8 +151,7 @@ def t6_t7_t8_gates(spark, sf_dir):
 @query
 def t11_stream_status_counts(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     streams.drained(streams.status_counts(stream, "event_type"), f"{base}/checkpoint", f"{base}/out", "complete")
     return spark.read.parquet(f"{base}/out").select("event_type", F.col("count").alias("n"))
@@ -618,7 +627,7 @@ def p8_record_meta(spark, sf_dir):
 def p12_existing_candidates(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     files = p.select(F.concat(F.lit("src/f"), (F.col("p_partkey") * 2).cast("string"), F.lit(".py")).alias("path"))
-    asked = p.select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "./src/f").when(F.col("p_partkey") % 3 == 1, "src//f").otherwise("src/../src/f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"))
+    asked = p.select("p_partkey", F.concat(F.when(F.col("p_partkey") % 7 == 0, "../src/f").when(F.col("p_partkey") % 3 == 0, "./src/f").when(F.col("p_partkey") % 3 == 1, "src//f").otherwise("src/../src/f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"))
     return matching.existing(asked, files).select("p_partkey", "path")
 
 

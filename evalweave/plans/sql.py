@@ -169,7 +169,7 @@ SQL["f32_f33_ranks"] = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1 WHE
 SQL["j12_j13_j15_hints"] = f"""
 WITH t AS (SELECT page_id, path, CASE page_id % 3 WHEN 0 THEN array_to_string(string_split(path, '/')[-2:], '/') WHEN 1 THEN 'auth.py' ELSE 'nowhere.py' END AS h, regexp_extract(path, '([^/]*)$', 1) AS b FROM (SELECT page_id, {_URL} AS path FROM pages))
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN h <> '' WHEN 1 THEN true ELSE contains(path, 'nowhere.py') END AS observed,
-  CASE page_id % 3 WHEN 0 THEN h <> '' WHEN 1 THEN true ELSE false END AS inspected,
+  page_id % 3 = 0 AND h <> '' AS inspected,
   CASE WHEN page_id % 3 = 0 AND h <> '' AND NOT starts_with(h, '/') AND (h = path OR ends_with(path, '/' || h)) THEN path END AS resolved FROM t"""
 SQL["j17_graph_nodes"] = """SELECT DISTINCT node_id, CASE WHEN ends_with(node_id, '1') THEN 'class' ELSE 'function' END AS type FROM
   (SELECT DISTINCT 'p' || (l_partkey % 40) || ':' || l_linenumber AS node_id FROM lineitem) JOIN (SELECT DISTINCT 'p' || (l_suppkey % 30) || ':' || (l_linenumber % 4) AS node_id FROM lineitem) USING (node_id)"""
@@ -208,8 +208,8 @@ SQL["o11_dependencies"] = """WITH e AS (SELECT DISTINCT 'S' || (l_suppkey % 40)
 d AS (SELECT source, list(target ORDER BY target) AS t FROM e GROUP BY source)
 SELECT source, array_to_string(t[1:6], ',') AS shown, greatest(0, len(t) - 6)::INT AS more FROM d ORDER BY len(t) DESC, lower(source), source LIMIT 12"""
 SQL["p8_record_meta"] = """SELECT doc_id, '{"repo":' || coalesce('"' || source || '"', 'null') || ',"patch":' || CASE WHEN lang = 'en' OR lang IS NULL THEN 'null' ELSE '"' || lang || '"' END || '}' AS meta FROM documents"""
-SQL["p12_existing_candidates"] = """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN './src/f' ELSE 'src//f' END || p_partkey || '.py' AS path FROM part
-WHERE p_partkey % 3 <> 2 AND p_partkey % 2 = 0 AND p_partkey // 2 IN (SELECT p_partkey FROM part)"""
+SQL["p12_existing_candidates"] = """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN './src/f' WHEN 1 THEN 'src//f' ELSE 'src/../src/f' END || p_partkey || '.py' AS path FROM part
+WHERE p_partkey % 7 <> 0 AND p_partkey % 2 = 0 AND p_partkey // 2 IN (SELECT p_partkey FROM part)"""
 SQL["a27_spent"] = "SELECT sum(floor(value)) AS cost, count(*) AS n_calls, sum(floor(value)) > 1 OR count(*) + 1 > 1000000000 AS over FROM events"
 SQL["f39_token_estimate"] = r"""SELECT conv_id, (3 + sum(3 + len(regexp_extract_all(role, '[^ \t\n]+')) + len(regexp_extract_all(text, '[^ \t\n]+')) + CASE WHEN turn % 2 = 0 THEN 0 ELSE 1 END))::INT AS prompt,
   len(regexp_extract_all(max(role), '[^ \t\n]+'))::INT AS completion, (3 + sum(3 + len(regexp_extract_all(role, '[^ \t\n]+')) + len(regexp_extract_all(text, '[^ \t\n]+')) + CASE WHEN turn % 2 = 0 THEN 0 ELSE 1 END) + len(regexp_extract_all(max(role), '[^ \t\n]+')))::INT AS total
