@@ -137,9 +137,9 @@ def diverse(rows: DataFrame, kind: str, rank: str, limit: int, group: tuple[str,
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """A deterministic stand-in for an embedder: tokens hashed to signed dimensions, unit length. JVM-side."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[^\s]+"), F.lit(0))
-    hashes = F.transform(found, lambda t: F.xxhash64(t))
-    spread = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda d: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(dims)) == d), F.lit(0.0), lambda acc, h: acc + F.when(F.shiftright(h, 32) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))),
-    )
-    return unit_vector(spread)
+    sign = lambda h: F.when(F.shiftright(h, 32) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    at = lambda hashes, d: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(dims)) == d), F.lit(0.0), lambda acc, h: acc + sign(h))
+    spread = lambda hashes: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: at(hashes, d))
+    # An array of one element holds what is made once and used for every dimension.
+    once = lambda made, use: F.get(F.transform(F.array(made), use), F.lit(0))
+    return once(F.transform(found, lambda t: F.xxhash64(t)), lambda hashes: once(spread(hashes), unit_vector))

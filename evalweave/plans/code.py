@@ -50,6 +50,13 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select(path.alias("path"), "content")
 
 
+def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """A table in the shared folder: what reads it several times makes it once."""
+    out = scratch(spark, label)
+    df.write.parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
+
+
 @query
 def x6_line_symbols(spark, sf_dir):
     """Symbols and imports of all files, by their lines."""
@@ -72,7 +79,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def x8_skeletons(spark, sf_dir):
     """What is shown of each nation's first five files within 600 characters."""
-    files = code_files(spark, sf_dir)
+    files = written(spark, code_files(spark, sf_dir), "files")
     ranked = _ranked(spark, sf_dir)
     wanted = files.join(ranked.select("path").distinct(), "path", "left_semi")
     symbols, imports = skeletons.skeletons(wanted)
@@ -132,7 +139,7 @@ def s4_bad_records(spark, sf_dir):
 @query
 def v3_k10_index_build(spark, sf_dir):
     """Two builds of the indexes of eight repositories: one has no files, one gets its commit late, one changes it."""
-    files = code_files(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), F.regexp_extract("path", "[0-9]+", 0).cast("long") % 7))
+    files = written(spark, code_files(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), F.regexp_extract("path", "[0-9]+", 0).cast("long") % 7)), "files")
     no = F.col("id")
     repos = spark.range(8).select(F.concat(F.lit("r"), no).alias("repo"), F.when(no != 6, F.concat(F.lit("1234567-"), no)).alias("one"), F.concat(F.when(no == 2, "abcdefgh-").otherwise("1234567-"), no).alias("two"))
     spec = {"index_version": "v1", "embedding_provider": "hash", "embedding_model": "tokens/64", "chunker": "lines", "chunk_size": "20", "overlap": "5"}

@@ -65,7 +65,8 @@ def bad_records(spark: SparkSession, root: str, lines: tuple[str, ...] = (".json
     """path, error_type (decode or json), line, error: the first bad record of each file below root.
 
     Files with an extension of `lines` hold a record a line, blank lines aside; those of `whole` are one document, for
-    which a decode error has no line. Files without a bad record have no row.
+    which a decode error has no line. Files without a bad record have no row, nor have files without a byte, which Spark
+    doesn't read.
     """
     parts = []
     if lines:
@@ -85,7 +86,7 @@ def bad_records(spark: SparkSession, root: str, lines: tuple[str, ...] = (".json
 
 
 def bad_report(spark: SparkSession, root: str, kind: str = "text", stop_at_first: bool = False, **extensions: tuple[str, ...]) -> tuple[str, int, int]:
-    """(report, files, bad files). text: a line for each bad file by path; json: a list. The driver holds bad files only."""
+    """(report, files that hold a byte, bad files). text: a line for each bad file by path; json: a list. The driver holds bad files only."""
     asked = extensions.get("lines", (".jsonl",)) + extensions.get("whole", (".json",))
     total = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(asked)).load(root).select("path").count()
     found = bad_records(spark, root, **extensions).orderBy("path")
