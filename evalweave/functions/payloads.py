@@ -36,9 +36,18 @@ def _items(value: Column) -> Column:
     return F.when(value.isNull(), F.array().cast(_NONE)).when(F.startswith(value, F.lit("[")), F.coalesce(many, F.array().cast(_NONE))).otherwise(F.array(value))
 
 
+def _strings(p: Column, key: str) -> Column:
+    """The strings of a field that is an array, or the one string that it is; null where the field is empty in any of JSON's ways."""
+    v = F.try_variant_get(F.try_parse_json(p), f"$.{key}", "variant")
+    kind = F.schema_of_variant(v)
+    many = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    strings = F.when(F.startswith(kind, F.lit("ARRAY")), F.transform(many, lambda x: x.cast("string"))).when(kind == "STRING", F.array(F.try_variant_get(v, "$", "string"))).otherwise(F.array().cast(_NONE))
+    return F.when(~F.to_json(v).isin("null", '""', "[]", "{}", "0", "0.0", "false"), strings)
+
+
 def listed(p: Column, *keys: str) -> Column:
-    """The first of these fields that is not empty, as a tidy list."""
-    return tidy_list(_items(F.coalesce(*[_field(p, k) for k in keys])))
+    """The strings of the first of these fields that is not empty, as a tidy list; anything else in it is left out."""
+    return tidy_list(F.coalesce(*[_strings(p, k) for k in keys], F.array().cast(_NONE)))
 
 
 def function_items(p: Column) -> Column:

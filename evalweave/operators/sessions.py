@@ -107,44 +107,55 @@ class Gate:
     """Verification and submission gates of one session.
 
     A search sets the ranked candidates and forgets what was verified; a read of a candidate verifies it and opens
-    the gate; listing symbols records a file but opens nothing. A submission is blocked, in this order, without a
-    search, without a verified candidate, with fewer than two inspected of several candidates, or with hints that were
-    never read. A session is fixated while the first is the only one of several candidates that was ever inspected. Blocks are counted; three in a row switch strict mode on.
+    the gate; listing symbols inspects a file but opens nothing. A submission is blocked, in this order, without a
+    search, without a verified candidate, with fewer than two inspected of several candidates, with hints that were
+    never observed, or with hints outside the scope. A session is fixated while the first is the only inspected one of
+    several candidates, and stays `ever` fixated. Blocks are counted; three in a row switch strict mode on.
     """
 
     def __init__(self, strict_after: int = 3):
-        self.candidates, self.verified, self.listed, self.inspected = [], set(), set(), set()
-        self.searched = self.strict = self.fixated = False
+        self.candidates, self.verified, self.inspected = [], set(), set()
+        self.searched = self.strict = self.fixated = self.ever = False
         self.blocked = self.in_a_row = 0
         self.strict_after = strict_after
 
     def was_read(self, hint: str) -> bool:
-        """A hint names an inspected file: equal to it, its end, or a base name that only one of them has."""
+        """A hint names an inspected file: equal to it, its end if the hint has a slash, or a base name that only one of them has."""
         name = hint.rpartition("/")[2]
-        return any(p == hint or p.endswith(hint) for p in self.inspected) or sum(p.rpartition("/")[2] == name for p in self.inspected) == 1
+        same = hint in self.inspected or ("/" in hint and any(p.endswith(hint) for p in self.inspected))
+        return same or (name != "" and sum(p.rpartition("/")[2] == name for p in self.inspected) == 1)
 
-    def step(self, kind: str, paths: list[str]) -> str:
+    def _refresh(self) -> None:
+        seen = [c for c in dict.fromkeys(self.candidates) if self.was_read(c)]
+        self.enough = len(self.candidates) < 2 or len(seen) >= 2
+        self.fixated = len(self.candidates) > 1 and seen == self.candidates[:1]
+        self.ever = self.ever or self.fixated
+
+    def step(self, kind: str, paths: list[str], scope: list[str] | None = None) -> str:
         if kind == "search":
-            self.searched, self.candidates, self.verified, self.listed = True, list(paths), set(), set()
+            self.searched, self.candidates, self.verified = True, list(paths), set()
+            self._refresh()
             return "searched"
         if kind == "list":
-            self.listed.update(paths)
+            self.inspected.update(paths)
+            self._refresh()
             return "listed"
         if kind == "read":
             self.inspected.update(paths)
             self.verified.update(p for p in paths if p in self.candidates)
-            seen = [c for c in self.candidates if c in self.inspected]
-            self.fixated = len(self.candidates) > 1 and seen == self.candidates[:1]
+            self._refresh()
             return "opened" if self.verified else "read"
         reason = None
         if not self.searched:
             reason = "no_search"
         elif not self.verified:
             reason = "not_verified"
-        elif len(self.candidates) > 1 and len(self.inspected & set(self.candidates)) < 2:
+        elif not self.enough:
             reason = "one_candidate"
         elif [p for p in paths if not self.was_read(p)]:
             reason = "unread_hint"
+        elif scope and [p for p in paths if not in_scope(p, scope)]:
+            reason = "out_of_scope"
         if reason is None:
             self.in_a_row = 0
             return "accepted"
@@ -153,20 +164,31 @@ class Gate:
         return reason
 
 
+def in_scope(hint: str, scope: list[str]) -> bool:
+    """Equal to a path of the scope, the end of one or the other way round, or a base name that the scope has once."""
+    name = hint.rpartition("/")[2]
+    near = any(s == hint or s.endswith(hint) or hint.endswith(s) for s in set(scope) if s)
+    return hint != "" and (near or sum(s.rpartition("/")[2] == name for s in set(scope)) == 1)
+
+
 def gated(events: DataFrame, key: str, order: str) -> DataFrame:
-    """key, order, outcome, blocked, strict, fixated for each event of each session. events: kind, paths."""
+    """key, order, outcome, blocked, strict, fixated, ever_fixated for each event of each session.
+
+    events: kind, paths, and scope where submissions have one (null or empty: any).
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, gate = object(), None
         for f in frames:
             out = []
-            for k, o, kind, paths in zip(f[key], f[order], f["kind"], f["paths"], strict=True):
+            for k, o, kind, paths, scope in zip(f[key], f[order], f["kind"], f["paths"], f["scope"], strict=True):
                 if k != at:
                     at, gate = k, Gate()
-                outcome = gate.step(kind, [] if paths is None else list(paths))
-                out.append((k, o, outcome, gate.blocked, gate.strict, gate.fixated))
-            yield pd.DataFrame(out, columns=[key, order, "outcome", "blocked", "strict", "fixated"])
+                outcome = gate.step(kind, [] if paths is None else list(paths), [] if scope is None else list(scope))
+                out.append((k, o, outcome, gate.blocked, gate.strict, gate.fixated, gate.ever))
+            yield pd.DataFrame(out, columns=[key, order, "outcome", "blocked", "strict", "fixated", "ever_fixated"])
 
     types = {n: events.schema[n].dataType.simpleString() for n in (key, order)}
-    sorted_ = events.select(key, order, "kind", "paths").repartition(key).sortWithinPartitions(key, order)
-    return sorted_.mapInPandas(run, f"{key} {types[key]}, {order} {types[order]}, outcome string, blocked long, strict boolean, fixated boolean")
+    scope = F.col("scope") if "scope" in events.columns else F.lit(None).cast("array<string>").alias("scope")
+    sorted_ = events.select(key, order, "kind", "paths", scope).repartition(key).sortWithinPartitions(key, order)
+    return sorted_.mapInPandas(run, f"{key} {types[key]}, {order} {types[order]}, outcome string, blocked long, strict boolean, fixated boolean, ever_fixated boolean")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.functions import text
-from evalweave.operators import builds, ranking, skeletons, tracking
+from evalweave.operators import builds, judging, ranking, skeletons, tracking
 from evalweave.plans.queries import scratch
 from evalweave.sources import files as sources
 from evalweave.sources import records, trajectory_sink
@@ -161,6 +161,62 @@ def k9_s11_trajectory_files(spark, sf_dir):
     return back.select(F.col("instance_id").cast("long").alias("conv_id"), "pos", "role", text.short_hash(F.col("content")).alias("content"))
 
 
+def _recorded_judge():
+    """A judge that answers from recorded numbers, fails on some calls and answers without scores on others."""
+
+    def answer(question: str, reference: str, candidate: str, round_no: int) -> str:
+        n = int(question.split()[1]) * 3 + round_no
+        if n % 7 == 0:
+            raise TimeoutError
+        names = ("correctness", "completeness", "relevance", "clarity", "reasoning")
+        marks = ", ".join(f'"{d}": {(n * (i + 2) + len(candidate)) % 11}' for i, d in enumerate(names))
+        return "no scores" if n % 5 == 0 else "```json\n{" + marks + "}\n```"
+
+    return answer
+
+
+@query
+def x9_a10_judge_rounds(spark, sf_dir):
+    """Documents judged in three rounds, those with a label apart as done before."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    records = docs.select(F.col("doc_id").alias("question_hash"), F.concat(F.lit(" doc "), F.col("doc_id")).alias("question"), F.col("lang").alias("reference"), F.col("text").alias("candidate"))
+    answered = judging.rounds(records, _recorded_judge, 3, labels.select(F.col("doc_id").alias("question_hash")))
+    out = judging.scored(answered, weights={"correctness": 2.0, "clarity": 1.0})
+    return out.withColumns({c: F.round(c, 6) for c in ("score_avg", "weighted_score")})
+
+
+@query
+def s7_scoped_catalog(spark, sf_dir):
+    """Runs written below answers/<model>/<method>/<run>, the catalog of one method and that of all."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null and lang is not null")
+    out = scratch(spark, "results")
+    for lang in ("en", "de"):
+        rows = docs.where(F.col("lang") == lang).select("doc_id", F.concat(F.lit("run"), F.col("doc_id") % 3).alias("run"))
+        for run in range(3):
+            rows.where(F.col("run") == f"run{run}").select(F.to_json(F.struct("doc_id")).alias("value")).coalesce(1).write.text(f"{out}/answers/m-{lang}/tools/run{run}")
+    found = []
+    for given in (out, f"{out}/answers/m-en", f"{out}/answers/m-de/tools/run1", f"{out}/answers/m-fr"):
+        root, scope = sources.answers_scope(given)
+        rows = sources.catalog(spark, root, scope, "*.txt")
+        found.append(rows.select(F.lit("/".join(scope)).alias("scope"), "model", "method", "run_id").distinct())
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+SQL["x9_a10_judge_rounds"] = """
+WITH r AS (
+  SELECT doc_id, doc_id * 3 + round AS n, length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS c
+  FROM documents CROSS JOIN (SELECT unnest([1, 2, 3]) AS round) x
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND coalesce(lang, '') <> '' AND trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+s AS (SELECT doc_id AS question_hash, count(*) AS rounds_scored, median((n * 2 + c) % 11)::DOUBLE AS correctness, median((n * 3 + c) % 11)::DOUBLE AS completeness, median((n * 4 + c) % 11)::DOUBLE AS relevance,
+             median((n * 5 + c) % 11)::DOUBLE AS clarity, median((n * 6 + c) % 11)::DOUBLE AS reasoning FROM r WHERE n % 7 <> 0 AND n % 5 <> 0 GROUP BY doc_id)
+SELECT *, correctness + completeness + relevance + clarity + reasoning AS total_score, round((correctness + completeness + relevance + clarity + reasoning) / 5, 6) AS score_avg,
+       round(correctness * 2 / 3 + clarity / 3, 6) AS weighted_score, correctness * (2.0::DOUBLE / 3) + clarity * (1.0::DOUBLE / 3) >= 6 AS pass FROM s
+"""
+SQL["s7_scoped_catalog"] = """
+WITH r AS (SELECT DISTINCT 'm-' || lang AS model, 'tools' AS method, 'run' || (doc_id % 3) AS run_id FROM documents WHERE lang IN ('en', 'de') AND source IS NOT NULL)
+SELECT '' AS scope, * FROM r UNION ALL SELECT 'm-en', * FROM r WHERE model = 'm-en' UNION ALL SELECT 'm-de/tools/run1', * FROM r WHERE model = 'm-de' AND run_id = 'run1'
+"""
+
 SQL["t12_read_tracker"] = SQL["t12_read_tracker_stream"] = """
 WITH e AS (SELECT user_id, event_id, event_type, event_id % 97 AS k, event_id % 5 AS u FROM events),
 r AS (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +25,36 @@ def bad_records(spark: SparkSession, path: str) -> DataFrame:
     return bad.groupBy("path").agg(F.min(F.struct((F.col("line") + 1).alias("line"), "text")).alias("b")).select("path", "b.*")
 
 
-def catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Answer sets below root/<model>/<method>/<run_id>/*.jsonl, once each."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root).select("path")
+def answers_scope(path: str) -> tuple[str, tuple[str, ...]]:
+    """(answers root, scope) of a results root, its `answers` folder, or a folder up to three levels below that.
+
+    A path that names `answers` is split there, at its last one; any other is taken for a results root.
+    """
+    parts = path.rstrip("/").split("/")
+    if "answers" not in parts:
+        return f"{path.rstrip('/')}/answers", ()
+    at = len(parts) - 1 - parts[::-1].index("answers")
+    scope = tuple(parts[at + 1 :])
+    if len(scope) > 3:
+        raise ValueError(f"too deep below answers/<model>/<method>/<run_id>: {path}")
+    return "/".join(parts[: at + 1]), scope
+
+
+def catalog(spark: SparkSession, root: str, scope: tuple[str, ...] = (), files: str = "*.jsonl") -> DataFrame:
+    """Answer sets below root/<model>/<method>/<run_id>/*.jsonl, once each.
+
+    scope: model, method and run_id, as far as they are given; only their folders are listed. A scope that isn't there
+    has no rows. Files are never opened: their paths are in the listing.
+    """
+    at = "/".join([root.rstrip("/"), *scope, *["*"] * (3 - len(scope)), files])
+    try:
+        found = spark.read.format("binaryFile").load(at).select("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "model string, method string, run_id string, repo string")
     part = lambda i: F.element_at(F.split("path", "/"), i)
-    return files.select(part(-4).alias("model"), part(-3).alias("method"), part(-2).alias("run_id"), F.regexp_replace(part(-1), r"\.jsonl$", "").alias("repo")).distinct()
+    return found.select(part(-4).alias("model"), part(-3).alias("method"), part(-2).alias("run_id"), F.regexp_replace(part(-1), r"\.jsonl$", "").alias("repo")).distinct()
 
 
 def source_tree(spark: SparkSession, root: str, most: int = 512 << 10, tracked: DataFrame | None = None) -> DataFrame:

@@ -63,6 +63,24 @@ def test_limits(spark):
 def test_existing_and_dependencies(spark):
     files = spark.createDataFrame([("a/b.py",)], "path string")
     asked = spark.createDataFrame([("./a/b.py",), ("a//b.py",), ("/a/b.py",), ("a/../a/b.py",), ("",), (None,)], "path string")
-    assert sorted(r.path for r in matching.existing(asked, files).collect()) == ["./a/b.py", "a//b.py"]
+    assert sorted(r.path for r in matching.existing(asked, files).collect()) == ["./a/b.py", "a/../a/b.py", "a//b.py"]
     edges = spark.createDataFrame([("s", f"t{i}") for i in range(8)] + [("r", "t1"), ("r", "t1")], "source string, target string")
     assert [(r.source, len(r.shown), r.more) for r in ranking.dependencies(edges).collect()] == [("s", 6, 2), ("r", 1, 0)]
+
+
+def test_gate_hints_lists_and_scope():
+    g = Gate()
+    g.step("search", ["src/ba.py", "src/c.py"])
+    g.step("read", ["src/ba.py"])
+    assert g.fixated and g.ever and not g.was_read("a.py") and g.was_read("c/ba.py") and g.was_read("rc/ba.py")
+    assert g.step("submit", ["src/ba.py"]) == "one_candidate"
+    g.step("list", ["src/c.py"])  # listing inspects, but verifies nothing
+    assert not g.fixated and g.ever
+    assert g.step("submit", ["a.py"]) == "unread_hint" and g.step("submit", ["src/c.py"], ["lib/x.py"]) == "out_of_scope"
+    assert g.step("submit", ["src/c.py"], ["c.py", "lib/x.py"]) == "accepted"
+
+
+def test_lists_keep_strings_only(spark):
+    given = ['{"found_files": ["x.py", 3, null, {"a": 1}, ["n"], " x.py ", ""]}', '{"found_files": "[x].py"}', '{"found_files": [], "files": ["y.py"]}', '{"found_files": 0, "files": "0"}', '{"found_files": 7, "files": ["y.py"]}', "{}", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", payloads.listed(F.col("t"), "found_files", "files").alias("l"))
+    assert [r.l for r in df.orderBy("i").collect()] == [["x.py"], ["[x].py"], ["y.py"], ["0"], [], [], []]
