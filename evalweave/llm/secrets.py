@@ -50,11 +50,33 @@ _SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 _PLACE = "array<struct<start:int,stop:int>>"
 
 
+#: Matches of a block: arrays and strings grow inside a block only, so that a text's cost is linear in its matches.
+BLOCK = 256
+
+
+def _once(made: Column, use) -> Column:
+    """use(made), with made evaluated once however often use names it."""
+    return F.get(F.transform(F.array(made), use), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """Items in arrays of BLOCK; items are to be a column or bound by _once()."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i, F.lit(BLOCK)))
+
+
+def _before(values: Column, both) -> Column:
+    """For each whole number what both() makes of 0 and all numbers before it."""
+    step = lambda acc, x: F.struct(both(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(values, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+
 def find(text: Column, rule: Rule) -> Column:
     """Spans (start, stop) in code points of the leftmost matches, without overlap.
 
     Matches have no positions in Spark SQL, but the pieces that split() leaves between them have
-    lengths: a match begins where all pieces and matches before it end.
+    lengths: a match begins where all pieces and matches before it end. Blocks of matches are placed
+    by themselves, then moved to where the blocks before them end.
     """
     none = F.array().cast(_PLACE)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -73,11 +95,13 @@ def find(text: Column, rule: Rule) -> Column:
             ))),
         ).otherwise(acc["out"]).alias("out"),
     )
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    placed = lambda ps: F.transform(_blocks(ps), lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+    move = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["stop"] + by).alias("stop")))
+    joint = lambda made: F.flatten(F.zip_with(made, _before(F.transform(made, lambda m: m["at"]), lambda a, x: a + x), lambda m, by: move(m["out"], by)))
     likely = text.rlike(rule.pattern)
     if rule.hint:
         likely = F.contains(text, F.lit(rule.hint)) & likely
-    return F.when(likely, spans).otherwise(none)
+    return F.when(likely, _once(_once(parts, placed), joint)).otherwise(none)
 
 
 def joined(spans: Column) -> Column:
@@ -100,7 +124,7 @@ def address(text: Column) -> Column:
 
 
 def scan(versions: DataFrame, spark: SparkSession, ledger: str, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scans what the ledger at this path lacks, appends it, and returns (blob, spans) for these versions' blobs.
+    """Scans what the ledger at this path lacks, appends it, and returns (blob, spans) of the ledger.
 
     versions: one row for each version of each path. Blobs without findings have no row.
     """
@@ -163,13 +187,16 @@ def redacted(docs: DataFrame, spark: SparkSession, ledger: str | None = None, te
     found = Scratch(spark, "findings").write("found", scan(docs, spark, ledger, text=text))
     rows = docs.select(F.struct("*").alias("row"), address(text_or_empty(text)).alias("blob")).join(found, "blob", "left")
     t = F.col("row").getField(text)
-    merge = lambda acc, s: F.struct(
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        F.greatest(acc["at"], s["stop"]).alias("at"),
-    )
-    clean = F.aggregate(
-        "spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), merge, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t)))
+    merge = lambda piece, low: lambda acc, s: F.struct(
+        F.when(s["start"] - low >= acc["at"], F.concat(acc["out"], F.substring(piece, acc["at"] + 1, s["start"] - low - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
+        F.greatest(acc["at"], s["stop"] - low).alias("at"),
     )
+    end = lambda spans: F.array_max(F.transform(spans, lambda s: s["stop"]))
+    # A block of spans masks the text from where the blocks before it end to where it ends itself.
+    masked = lambda b, low: _once(F.substring(t, low + 1, F.greatest(end(b) - low, F.lit(0))), lambda piece: F.aggregate(b, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), merge(piece, low), lambda acc: acc["out"]))
+    spans = F.col("spans")
+    outs = _once(_blocks(spans), lambda bs: F.zip_with(bs, _before(F.transform(bs, end), F.greatest), masked))
+    clean = F.concat(F.array_join(outs, ""), F.substring(t, F.coalesce(end(spans), F.lit(0)) + 1, F.length(t)))
     new = F.when(F.col("spans").isNull(), t).otherwise(clean)
     out = rows.select("row", new.alias("new"))
     columns = [F.col("new").alias(c) if c == text else F.coalesce(F.length("new").cast(docs.schema[c].dataType), F.col("row").getField(c)).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
