@@ -133,7 +133,7 @@ def vectors(seed=5):
     r = np.random.default_rng(seed)
     base = r.normal(size=(40, 6)) / 3
     vecs = [list(map(float, x)) for x in np.concatenate([base, base[:5] + 1e-4, np.repeat(base[7:8], 30, axis=0), r.normal(size=(60, 6)) * 5])]
-    odd = [None, [], [None, 1.0], [math.nan] * 6, [math.inf] * 6, [1e200] * 6, [1.0] * 3, [-1.0] * 3, [1e30, -1e30, 0, 0, 0, 0.5], [1e9, 2e9, 0, 0, 0, 0.5], [0.0] * 6, [-0.0] * 6, []]
+    odd = [None, [], [None, 1.0], [math.nan] * 6, [math.inf] * 6, [1e200] * 6, [1.0] * 3, [-1.0] * 3, [1e30, -1e30, 0.0, 0.0, 0.0, 0.5], [1e9, 2e9, 0.0, 0.0, 0.0, 0.5], [0.0] * 6, [-0.0] * 6, []]
     out = [(i, v, "x", 1, 2) for i, v in enumerate([*vecs, *odd])]
     return [*out, (0, vecs[0], "x", 1, 2), (10, vecs[12], "x", 1, 2), (None, vecs[1], "x", 1, 2), (-10, vecs[7], "x", 1, 2)]
 
