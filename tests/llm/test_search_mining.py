@@ -71,8 +71,7 @@ def test_phrases_in_shards_and_slices(spark, monkeypatch):
     maps = {}
     want = phrases.counts(docs, spark, least=3).collect()
     shard = phrases.Shard("en", np.frombuffer(b"A b. b b a\tb", np.uint8), np.array([0, 9, 12]))
-    assert shard.text.tobytes() == b" \n a b  \n b b  \n a b "[:2] + shard.text.tobytes()[2:]
-    assert b" ".join(shard.text.tobytes().split(b"\n")[1:]).split() == b"a b b b a b".split()
+    assert shard.text.tobytes() == b" \n a b \n b b \n a b "
     assert [list(shard.whole(n)) for n in (1, 2)] == [[True] * 6, [True, False, True, False, True, False]]
     assert not shard.may(maps, 3)[3].any()
     again = phrases.counts(docs.repartition(9), spark, least=3).collect()
