@@ -114,6 +114,16 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["slice", "counts"])
 
 
+def sketch(survey: DataFrame) -> np.ndarray:
+    """The count sketch of a table made by _survey: 2**SKETCH counters whatever the input."""
+    merged = survey.where("kind = 1").select("slice", "counts").repartition("slice").mapInArrow(_merge, "slice int, counts binary")
+    counts = np.zeros((SLICES, (1 << SKETCH) // SLICES), np.uint32)
+    for s, x in merged.collect():
+        counts[s] = np.frombuffer(zlib.decompress(x), "<u4")
+    return counts.reshape(-1)
+
+
+_SURVEY = "kind int, id long, n long, c1 long, c2 long, slice int, counts binary"
 _EMITTED = "kind int, pid int, row int, id long, n long, c1 long, c2 long, light binary, heavy binary, weight binary, bits binary, slice long, tokens binary, rows binary"
 _ARROW = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in _EMITTED.split(", "))])
 
@@ -318,11 +328,7 @@ def _post(percent: int):
 
 def _links(sc: Scratch, rows: DataFrame, survey: DataFrame, classes: DataFrame, spark: SparkSession, k: int, percent: int) -> DataFrame:
     """n, c1, c2 and component (least id) of the classes that link to others. rows: id, text."""
-    merged = survey.where("kind = 1").select("slice", "counts").repartition("slice").mapInArrow(_merge, "slice int, counts binary")
-    counts = np.zeros((SLICES, (1 << SKETCH) // SLICES), np.uint32)
-    for s, x in merged.collect():  # fixed size: 2**SKETCH counters
-        counts[s] = np.frombuffer(zlib.decompress(x), "<u4")
-    counts = counts.reshape(-1)
+    counts = sketch(survey)
     noise = float(counts.mean(dtype=np.float64))
     slices = int(noise * len(counts) / levels(percent)) // RUN + 1  # of about RUN shingles, and of light ones, of which none has many
     width = shuffle_width(spark)
@@ -371,7 +377,7 @@ def link(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text: str =
     tune(spark)
     sc, kept = Scratch(spark, "jaccard"), Scratch(spark, "linked")
     rows = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
-    survey = sc.write("survey", rows.mapInArrow(_survey(k, pa.int64()), "kind int, id long, n long, c1 long, c2 long, slice int, counts binary"))
+    survey = sc.write("survey", rows.mapInArrow(_survey(k, pa.int64()), _SURVEY))
     sized = survey.where("kind = 0").select("id", "n", "c1", "c2")
     some = F.expr("n > 0 and id is not null")
     classes = sc.write("classes", sized.where(some).groupBy("n", "c1", "c2").agg(F.min("id").alias("id")))

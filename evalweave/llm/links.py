@@ -6,6 +6,10 @@ those it links to are led by it and stand behind it from then on. The leaders le
 with each other, but for those in one component already. Jaccard distance is a metric: members of two leaders
 can only be linked if the leaders' distance is at most the threshold's plus both radii, and only then are
 members compared. No link between different components is lost.
+
+Where a caller can name finer tokens (prefixes of whole sets), a bucket in which many leaders or members of
+different components are left is not paired out either: its ids meet in their finer tokens instead, and each
+leader meets one pivot a round, the one it shares most tokens with.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from evalweave.llm.common import Scratch
 from evalweave.llm.words import U
 
 ROUNDS = 2
+#: Rows of a token that are still paired out where finer tokens can be had.
+CROWD = 4
 #: Bitmaps have 2**BITS bits, cut into slices, whatever the input.
 BITS, SLICES = 26, 64
 
@@ -85,13 +91,14 @@ def _verify(percent: int):
     return run
 
 
-def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """id and component (least id reachable) of every id with a link.
 
     postings: (token, id, s, m): two ids can only be linked if they share a token where the s of each is at
     least the m of the other. members: id, n, need (shared prefix tokens to ask for), tokens and places (hashes
     of prefix tokens and their places in the order, as bytes; null: not to be tested) and bits (from parities).
     fetch: from ids to their whole sets, as (id, shingles); asked only for the ids of pairs that all these leave.
+    finer: from ids to postings of their own, such that any two of these ids that can be linked share one.
     """
     slack = (100 - percent) / 100
     kind = members.schema["id"].dataType.simpleString()
@@ -158,7 +165,11 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
         met = pivots.select("token", F.col("x").alias("leader"))
         used = met if used is None else used.unionByName(met)
         pairs = side(here, {"leader": "y"}, "2").join(side(pivots, {"x": "x"}, "1"), "token")
-        pairs = pairs.where(may & F.expr("x != y")).select(*ordered).distinct()
+        pairs = pairs.where(may & F.expr("x != y"))
+        if finer:
+            shared = pairs.groupBy("x", "y").agg(F.count("*").alias("c"))
+            pairs = shared.groupBy("y").agg(F.max(F.struct("c", "x")).alias("p")).select("p.x", "y")
+        pairs = pairs.select(*ordered).distinct()
         seen = compare(fresh(pairs), f"round{r}")
         tested.append(seen)
         links = seen.where("link").select("a", "b", "dist")
@@ -193,8 +204,28 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
         open_ = table.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
         return table.join(open_.select("token"), "token", "left_semi")
 
+    coarse = postings
+
+    def relieved(table: DataFrame, name: str, again: Callable[[], DataFrame]) -> DataFrame:
+        """The table, made again once the ids of its crowded tokens have finer ones in their place.
+
+        Two ids that can be linked at a crowded token both get finer tokens, by one order, so they meet there.
+        """
+        nonlocal postings, coarse
+        if not finer:
+            return table
+        crowded = table.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("token")
+        crowded = sc.write(f"{name}_crowded", crowded.join(coarse.select("token"), "token", "left_semi"))
+        if crowded.isEmpty():
+            return table
+        more = finer(sc.write(f"{name}_ids", coarse.join(crowded, "token", "left_semi").select("id").distinct()))
+        rest = postings.join(crowded, "token", "left_anti")
+        coarse, postings = coarse.join(crowded, "token", "left_anti"), rest.unionByName(more.select(*rest.columns))
+        sc.drop(name)
+        return sc.write(f"{name}_finer", again())
+
     known = components(sc, so_far().where("link"), "before")
-    here = sc.write("here", between(by_leader()))
+    here = relieved(sc.write("here", between(by_leader())), "here", lambda: between(by_leader()))
     left, right = side(here, {"leader": "a", "component": "in_a"}, "1"), side(here, {"leader": "b", "component": "in_b"}, "2")
     pairs = left.join(right, "token").where(may & F.expr("a < b and in_a != in_b")).select("a", "b").distinct()
     tested.append(compare(fresh(pairs), "leaders"))
@@ -208,7 +239,8 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
     near = near.where((reach > 0) & (F.col("dist") <= slack + reach + 1e-9)).select("a", "b", "dist")
     near = sc.write("near", apart(near.select("a", "b"), known).join(near, ["a", "b"]))
     ends = near.select(F.col("a").alias("leader")).unionByName(near.select(F.col("b").alias("leader"))).distinct()
-    owned = sc.write("owned", between(postings.join(lead.join(ends, "leader", "left_semi"), "id")))
+    ours = lambda: between(postings.join(lead.join(ends, "leader", "left_semi"), "id"))
+    owned = relieved(sc.write("owned", ours()), "owned", ours)
     # Members meet at a token first: a leader's members times its near leaders would be many more.
     left = side(owned, {"id": "x", "leader": "a", "far": "far_x", "component": "in_a"}, "1")
     right = side(owned, {"id": "y", "leader": "b", "far": "far_y", "component": "in_b"}, "2")

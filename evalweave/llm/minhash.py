@@ -6,7 +6,9 @@ Permutations are multiply-shift universal hashes of 32-bit shingle keys.
 
 Groups: signature bands are joined in Spark, hot bands by way of leaders, and the Jaccard similarity of every
 candidate that its bits of parity leave is verified on the whole sets, made anew from the texts that are asked
-for. Rows of equal shingle sets are one class, so copies cost nothing more.
+for. Where a band is left with many leaders that no pivot links (texts that are alike, though less than asked
+for), they aren't paired out: they meet in the rarest shingles of their sets (a prefix, with the bound on
+places that a link needs), which loses no link. Rows of equal shingle sets are one class, so copies cost nothing more.
 
 Null text is empty text. Equal texts have equal fingerprints. Rows are ordered by id, ties by text; null
 ids come first. Repeated rows follow one another. A table of one row is its own successor; an empty table
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalweave.llm import jaccard
 from evalweave.llm.common import Scratch, blocks, even_ranges, range_of, shuffle_width, text_or_empty, tune, utf8
 from evalweave.llm.links import asked, bit_of, clusters, parities
 from evalweave.llm.words import U, mix, shingles, words
@@ -222,7 +225,36 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
         sets = rows.select("key", bit_of("key"), "text").mapInArrow(whole, "key long, cls binary, shingles binary")
         return sets.join(wanted, ["key", "cls"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
 
-    linked = sc.write("linked", clusters(sc, postings, narrow, fetch, like).join(named, "id"))
+    def finer(ids: DataFrame) -> DataFrame:
+        """Postings of prefixes: the rarest shingles by a sketch of these texts, whose collisions only cost candidates."""
+        unique = uuid.uuid4().hex
+        wanted = sc.write(f"few{unique}", named.join(ids, "id"))
+        keep = asked(wanted.select(bit_of("key")))
+        texts, survey = rows.select("key", "text", bit_of("key")), jaccard._survey(k, pa.int64())
+        counts = spark.sparkContext.broadcast(jaccard.sketch(texts.mapInArrow(lambda batches: survey(keep(batches)), jaccard._SURVEY)))
+
+        def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in keep(batches):
+                data, off = utf8(batch.column(1))
+                cls, n, tokens, places = [], [], [], []
+                for a, b in blocks(off, 1 << 18):
+                    for u in _sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k):
+                        some = len(u) - -(-like * len(u) // 100) + 1
+                        tokens.append(u[np.lexsort((mix(u), counts.value[u >> U(64 - jaccard.SKETCH)]))[:some]].tobytes())
+                        places.append(np.arange(len(tokens[-1]) // 8, dtype=np.uint32).tobytes())
+                        cls.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
+                        n.append(len(u))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary()), pa.array(places, pa.binary())], names=["key", "cls", "n", "tokens", "places"])
+
+        prefixes = texts.mapInArrow(rarest, "key long, cls binary, n long, tokens binary, places binary").join(wanted.select("id", "key", "cls"), ["key", "cls"])
+        prefixes = sc.write(f"prefixes{unique}", prefixes.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "places")]))
+        every = prefixes.mapInArrow(jaccard._post(like), "token long, id long, s long, m long")
+        shared = every.groupBy("token").agg(F.count("*").alias("c"), F.max("s").alias("s"), F.min("m").alias("m")).where("c > 1 and s >= m")
+        out = sc.write(f"finer{unique}", every.join(shared.select("token"), "token"))
+        sc.drop(f"prefixes{unique}", f"few{unique}")
+        return out
+
+    linked = sc.write("linked", clusters(sc, postings, narrow, fetch, like, finer).join(named, "id"))
     least = linked.groupBy("component").agg(F.min("key").alias("group"))
     reach = named.select("cls", "key").join(linked.join(least, "component").select("cls", "group"), "cls", "left").select("cls", F.coalesce("group", "key").alias("group"))
     # Written: the join then has plain exchanges on both sides, which AQE splits at a class of many copies.
