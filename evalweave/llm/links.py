@@ -226,6 +226,16 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
 
     known = components(sc, so_far().where("link"), "before")
     here = relieved(sc.write("here", between(by_leader())), "here", lambda: between(by_leader()))
+    if coarse is not postings:
+        # At finer tokens each leader first meets one of its token: what that joins needs no other pair.
+        for r in range(ROUNDS):
+            first = here.groupBy("token").agg(F.max(F.struct(F.xxhash64("leader", F.lit(r)).alias("h"), "leader", "component", "s", "m")).alias("p"))
+            first = first.select("token", *[F.col(f"p.{c}").alias(c) for c in ("leader", "component", "s", "m")])
+            star = side(here, {"leader": "x", "component": "in_x"}, "1").join(side(first, {"leader": "y", "component": "in_y"}, "2"), "token")
+            star = star.where(may & F.expr("x != y and in_x != in_y")).select(*ordered).distinct()
+            tested.append(compare(fresh(star), f"star{r}"))
+            known = components(sc, tested[-1].where("link"), f"joined{r}", known)
+            here = sc.write(f"here_open{r}", between(by_leader()))
     left, right = side(here, {"leader": "a", "component": "in_a"}, "1"), side(here, {"leader": "b", "component": "in_b"}, "2")
     pairs = left.join(right, "token").where(may & F.expr("a < b and in_a != in_b")).select("a", "b").distinct()
     tested.append(compare(fresh(pairs), "leaders"))
