@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import measures, paths, payloads, text
-from evalweave.operators import chunking, commands, indexes, matching, ranking, sampling, sessions, summary
+from evalweave.operators import chunking, commands, indexes, matching, nearest, ranking, sampling, sessions, summary
 from evalweave.streaming import sessions as streams
 
 QUERIES = {}
@@ -38,7 +38,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 best vectors for each query vector (every twentieth); labels play the files."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_no"), F.col("embedding").alias("query"))
-    hits = ranking.top_k(ranking.scored(vectors, asked), 200, "vec_id")
+    hits = nearest.nearest(vectors, asked, 200, "vec_id", ("label",))
     return hits.withColumn("path", F.concat(F.lit("src/"), (F.col("label") % 3).cast("string"), F.lit("/f"), F.col("label").cast("string"), F.lit(".py")))
 
 
@@ -63,7 +63,8 @@ def a3_o4_group_sum_top_files(spark, sf_dir):
 @query
 def a4_o3_rank_fusion(spark, sf_dir):
     groups = ranking.group_scores(_hits(spark, sf_dir), ["query_no", "path"])
-    out = ranking.fused(groups, groups.select("query_no").distinct().count())
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    out = ranking.fused(groups, asked.select("vec_id").distinct().count())
     out = out.withColumns({c: F.round(c, 6) for c in ("dense_mean", "rrf", "score")})
     return ranking.fused_places(out).select("path", "support", "evidence_count", "dense_mean", "rrf", "score", "place")
 
@@ -79,7 +80,7 @@ def p5_p6_filtered_vector_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").withColumn("path", F.concat(F.lit("src/f"), F.col("label").cast("string"), F.when(F.col("label") % 2 == 0, ".py").otherwise(".go")))
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_no"), F.col("embedding").alias("query"))
     spec = sampling.parse_filters("lang:Python path:src junk")
-    hits = ranking.top_k(ranking.scored(vectors, asked, where=sampling.passes(spec, F.col("path"), F.lit(None).cast("string"))), 20, "vec_id")
+    hits = nearest.nearest(vectors, asked, 20, "vec_id", ("path",), where=sampling.passes(spec, F.col("path"), F.lit(None).cast("string")))
     return hits.select("query_no", "vec_id", "path", "rank", F.round("score", 6).alias("score"))
 
 
