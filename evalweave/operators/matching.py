@@ -67,6 +67,17 @@ def best_matches(found: DataFrame, top_k: int = 10) -> DataFrame:
     return ranked.where((~has_hint | (F.col("rank") == 1)) & (F.col("place") <= top_k)).select("query_id", "function", "file_hint", "file", "qualname", "place")
 
 
+def answered(queries: DataFrame, index: DataFrame, top_k: int = 10) -> DataFrame:
+    """best_matches() of the candidates of each query; what several queries ask alike is matched once.
+
+    queries: query_id, function, file_hint. index: key, file, name, qualname.
+    """
+    said = queries.where(F.col("function") != "").groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("function", "file_hint"))).alias("asked"))
+    once = said.select("asked").distinct().select(F.col("asked").alias("query_id"), F.inline("asked"))
+    best = best_matches(candidates(once, index), top_k).withColumnRenamed("query_id", "asked")
+    return said.join(best, "asked").select("query_id", "function", "file_hint", "file", "qualname", "place")
+
+
 def path_hits(pred: Column, truth: Column) -> Column:
     """A path is in a set: equal, a suffix either way, or by a base name that the set has once."""
     p = normal(pred)

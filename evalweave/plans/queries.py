@@ -269,7 +269,7 @@ def j9_o6_name_matching(spark, sf_dir):
     found = parts.select(F.concat(F.lit("src/"), F.lower("p_brand"), F.lit(".py")).alias("path"), names.alias("qualname"), F.lit("method").alias("kind")).distinct()
     index = chunking.function_index(found.withColumn("name", F.substring_index("qualname", ".", -1)))
     asked = parts.select(F.col("p_partkey").alias("query_id"), names.alias("function"), F.when(F.col("p_partkey") % 2 == 0, F.lower("p_brand")).otherwise("").alias("file_hint"))
-    return matching.best_matches(matching.candidates(asked, index)).select("query_id", "file", "qualname")
+    return matching.answered(asked, index).select("query_id", "file", "qualname")
 
 
 @query

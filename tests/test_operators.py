@@ -106,6 +106,25 @@ def test_hint_join(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_names_are_matched_once_for_all_that_ask_alike(spark):
+    index = spark.createDataFrame([(f"f{i}", f"src/{j}.py", f"f{i}", f"C{j}.f{i}") for i in range(3) for j in range(9)], "key string, file string, name string, qualname string")
+    asked = [(q, f"C{q % 9}.f{q % 3}" if q % 5 else f"f{q % 3}", ("", "src", "3", None, "zz")[q % 7 % 5]) for q in range(400)] + [(1, "f2", "3"), (2, "C2.f2", "3"), (7, "", "x"), (7, None, "x"), (None, "f1", "")]
+    queries = spark.createDataFrame(asked, "query_id int, function string, file_hint string")
+    columns = ("query_id", "function", "file_hint", "file", "qualname", "place")
+    plain = matching.best_matches(matching.candidates(queries, index)).select(*columns).collect()
+    assert sorted(map(str, matching.answered(queries, index).select(*columns).collect())) == sorted(map(str, plain))
+
+
+def test_rows_that_name_matching_joins(spark, tmp_path, monkeypatch):
+    """Many parts ask the same: the candidates must not grow with them."""
+    spark.createDataFrame([(i, "Brand#1", "SMALL TIN", i % 14) for i in range(5000)], "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    seen = []
+    plain = matching.best_matches
+    monkeypatch.setattr(matching, "best_matches", lambda found, *a: seen.append(found.count()) or plain(found, *a))
+    assert QUERIES["j9_o6_name_matching"](spark, str(tmp_path)).count() == 5000 // 2 * 7 + 5000 // 2
+    assert seen and seen[0] <= 7 * 7 * 2
+
+
 def test_recall_of_whole_texts(spark, tmp_path):
     texts = [" ".join(f"w{(i * i + t) % (40 + t)}" for i in range(n)) for t, n in enumerate((0, 1, 2, 3, 11, 12, 13, 300, 3001))] + ["x " * 20 + "same " * 20 + "y " * 20]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
