@@ -113,21 +113,27 @@ def resolved(requested: Column, allowed: Column) -> Column:
     return F.when(inside, F.coalesce(F.when(F.array_contains(allowed, requested), requested), by_name, by_end))
 
 
+#: Hints of up to so many characters meet the paths whole.
+GRAM = 6
+
+
 def hint_join(hints: DataFrame, files: DataFrame) -> DataFrame:
-    """hints (hint) x files (path) where the hint matches the path, with its rank.
+    """hints (hint) x files (path) where the hint matches the path, with its rank: whatever matches lies in the path.
 
-    Three arms meet on an equal base name. The substring arm meets files on trigrams of the path, never all with
-    all; hints of one or two characters meet them on the path's distinct characters and pairs of characters.
+    Hints and paths meet on pieces of the path of 1 to GRAM characters: a short hint on itself, a longer one on its
+    piece that the fewest paths hold. Neither side is broadcast, as pieces outnumber what a plan expects of them.
     """
     h = hints.select("hint").distinct().withColumn("h", F.lower(normal_hint(F.col("hint")))).where("h != ''")
     f = files.select("path").distinct().withColumn("p", F.lower(normal_hint(F.col("path"))))
-    exact = h.join(f, basename(F.col("h")) == basename(F.col("p"))).select("hint", "path")
     starts = lambda c, n: F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: i <= F.length(c) - (n - 1))
     parts = lambda c, n: F.transform(starts(c, n), lambda i: F.substring(c, i, F.lit(n)))
-    grams = lambda c: F.array_distinct(F.concat(*[parts(c, n) for n in (1, 2, 3)]))
-    asked = h.withColumn("gram", F.substring("h", 1, 3))
-    inside = asked.join(f.withColumn("gram", F.explode(grams(F.col("p")))), "gram").where(F.contains("p", "h")).select("hint", "path")
-    return exact.unionByName(inside).distinct().withColumn("rank", hint_rank(F.col("hint"), F.col("path"))).where("rank is not null")
+    grams = lambda c, ns: F.explode(F.array_distinct(F.concat(*[parts(c, n) for n in ns])))
+    long = h.where(F.length("h") > GRAM).select("hint", "h", grams(F.col("h"), [GRAM]).alias("gram"))
+    held = f.select(grams(F.col("p"), [GRAM]).alias("gram")).groupBy("gram").count()
+    rare = long.join(held.hint("merge"), "gram").groupBy("hint", "h").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    asked = h.where(F.length("h") <= GRAM).select("hint", "h", F.col("h").alias("gram")).unionByName(rare)
+    met = asked.join(f.select("path", grams(F.col("p"), range(1, GRAM + 1)).alias("gram")).hint("merge"), "gram")
+    return met.select("hint", "path", hint_rank(F.col("hint"), F.col("path")).alias("rank")).where("rank is not null")
 
 
 def line_entities(blocks: DataFrame, definitions: DataFrame) -> DataFrame:

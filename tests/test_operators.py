@@ -106,6 +106,19 @@ def test_hint_join(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_hint_join_pieces(spark):
+    """Long hints with one head, base names that all share, and pieces that outnumber both tables."""
+    paths = [f"repository/package{i}/module{i % 7}/index.html" for i in range(300)] + [f"x/{i}" for i in range(99990, 100010)]
+    hints = [f"repository/package{i}/module{i % 7}" for i in range(300)] + [f"other{i}/index.html" for i in range(300)] + ["index.html", "package12", "99999", "100000", "100001/", "repository/none1"]
+    want = {(h, p, 1 if p.endswith("/" + h) else 3) for h in hints for p in paths if h in p}
+    h, p = spark.createDataFrame([(h,) for h in hints], "hint string"), spark.createDataFrame([(p,) for p in paths], "path string")
+    joined = matching.hint_join(h, p)
+    got = joined.collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    tree = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Generate" in tree and "BroadcastExchange" not in tree
+
+
 def test_names_are_matched_once_for_all_that_ask_alike(spark):
     index = spark.createDataFrame([(f"f{i}", f"src/{j}.py", f"f{i}", f"C{j}.f{i}") for i in range(3) for j in range(9)], "key string, file string, name string, qualname string")
     asked = [(q, f"C{q % 9}.f{q % 3}" if q % 5 else f"f{q % 3}", ("", "src", "3", None, "zz")[q % 7 % 5]) for q in range(400)] + [(1, "f2", "3"), (2, "C2.f2", "3"), (7, "", "x"), (7, None, "x"), (None, "f1", "")]
