@@ -53,7 +53,7 @@ def test_few_rows_are_left_and_dropped_rows_go():
     assert (ids == np.argsort(-(q.astype(float) @ c.T.astype(float)), axis=1)[:, :10]).all()
 
 
-@pytest.mark.parametrize("name", ["a4_o3_rank_fusion", "p5_p6_filtered_vector_search", "o10_a24_clustered_display", "a3_o4_group_sum_top_files", "w8_diverse_pick", "a1_a2_w2_o2_hybrid_group_score"])
+@pytest.mark.parametrize("name", ["a4_o3_rank_fusion", "p5_p6_filtered_vector_search", "o10_a24_clustered_display", "a3_o4_group_sum_top_files", "w8_diverse_pick", "a1_a2_w2_o2_hybrid_group_score", "o1_w1_vector_top_k"])
 def test_hits_leave_their_task_as_the_best_only(spark, tmp_path, name):
     """Of all scores, only the best of each block may be written to a shuffle."""
     rows = [(i, [math.sin(i * j) for j in range(1, 9)], i % 10) for i in range(1500)]
