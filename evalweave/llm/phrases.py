@@ -34,6 +34,8 @@ MAP = 26
 SHARD, SLICE = 8 << 20, 1 << 21
 #: Phrases whose counts a task holds before it sends them.
 HELD = 1 << 19
+#: Bytes of text that a task counts, where that leaves WAVES tasks for each core.
+COUNTED, WAVES = 64 << 20, 2
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, *range(0x0A, 0x0E)]] = True
@@ -257,7 +259,9 @@ def counts(docs: DataFrame, spark: SparkSession, least: int = 100, most: int = 5
             if sent:
                 sent.unpersist()
             sent = spark.sparkContext.broadcast(maps)
-    counted = texts.mapInArrow(_count(sent, most), "lang string, words int, phrase string, n long")
+    # Each task sends a row for each candidate in its texts: the more text it has read, the fewer rows for the same counts.
+    tasks = max(WAVES * spark.sparkContext.defaultParallelism, size // COUNTED)
+    counted = texts.coalesce(tasks).mapInArrow(_count(sent, most), "lang string, words int, phrase string, n long")
     summed = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= least))
     return kept.write("counts", summed.select("lang", "words", "phrase", "n"))
 

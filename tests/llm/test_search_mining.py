@@ -166,3 +166,23 @@ def test_bounds_hold():
         upper, slack = vafile.product_bounds(q, low, width, codes)
         exact = q @ x.T
         assert (upper >= exact - np.abs(exact) * 1e-12).all() and (upper - slack[:, None] <= exact + np.abs(exact) * 1e-12).all()
+
+
+def test_counts_leave_few_tasks(spark, monkeypatch):
+    sent, plain = spark.sparkContext.accumulator(0), phrases._count
+
+    def counted(maps, most):
+        run = plain(maps, most)
+
+        def go(batches):
+            for batch in run(batches):
+                sent.add(batch.num_rows)
+                yield batch
+
+        return go
+
+    monkeypatch.setattr(phrases, "_count", counted)
+    docs = spark.createDataFrame([(i, "a b c d", "en") for i in range(640)], "doc_id long, text string, lang string").repartition(64)
+    known = {(r.words, r.phrase): r.n for r in phrases.counts(docs, spark).collect()}
+    assert known == {(0, ""): 2560} | {(n, " ".join("abcd"[i : i + n])): 640 for n in range(1, 5) for i in range(5 - n)}
+    assert sent.value <= 11 * 2 * spark.sparkContext.defaultParallelism
