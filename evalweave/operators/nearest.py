@@ -20,41 +20,96 @@ from pyspark.sql import types as T
 
 from evalweave.operators.ranking import top_k
 
-#: Queries of a block, tasks for each core, products computed at a time.
+#: Queries of a block, tasks for each core, products held at a time.
 BLOCK, WAVES, PRODUCTS = 4096, 2, 1 << 22
+#: Rows and columns of a tile of products, candidates that are scored together.
+ROWS, COLUMNS, TOGETHER = 256, 1024, 1 << 15
+#: Codes order scores as whole numbers.
+NAN, NULL = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+
+
+def codes(score: np.ndarray) -> np.ndarray:
+    bits = (score + 0.0).view(np.int64)
+    return np.where(np.isnan(score), NAN, bits ^ ((bits >> 63) & NAN))
+
+
+def numbers(code: np.ndarray) -> np.ndarray:
+    """The scores of codes: inf for NaN, -inf for null."""
+    with np.errstate(invalid="ignore"):
+        return np.where(code == NAN, np.inf, np.where(code == NULL, -np.inf, (code ^ ((code >> 63) & NAN)).view(np.float64)))
+
+
+def kth(q: np.ndarray, code: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n queries have k codes, and their k-th largest. Queries are taken in groups of like numbers of codes."""
+    per = np.bincount(q, minlength=n)
+    begin, code = np.cumsum(per) - per, code[np.argsort(q, kind="stable")]
+    least = np.full(n, NULL)
+    some = np.argsort(per, kind="stable")
+    some = some[per[some] >= k]
+    while len(some):
+        end = max(1, int(np.searchsorted(per[some] * np.arange(1, len(some) + 1), PRODUCTS, "right")))
+        now, some = some[:end], some[end:]
+        wide = int(per[now[-1]])
+        at = np.arange(wide)
+        own = np.where(at < per[now][:, None], code[np.minimum(begin[now][:, None] + at, len(code) - 1)], NULL)
+        least[now] = np.partition(own, wide - k, axis=1)[:, wide - k]
+    return per >= k, least
+
+
+def marked(mask: np.ndarray) -> np.ndarray:
+    """Places of the few set values of a mask: eight are looked at in one."""
+    flat = mask.reshape(-1)
+    whole = len(flat) // 8 * 8
+    eight = np.flatnonzero(flat[:whole].view(np.uint64))
+    at, bit = np.nonzero(flat[:whole].reshape(-1, 8)[eight])
+    return np.concatenate([eight[at] * 8 + bit, whole + np.flatnonzero(flat[whole:])])
 
 
 class Best:
-    """The k best (query, kind, score, key, row) of each query: NaN (kind 0), numbers (1) falling, null (2), ties by key."""
+    """The k best (query, score, code, key, row) of each query, in no order: NaN, numbers falling, null, ties by key."""
 
     def __init__(self, n: int, k: int):
         self.n, self.k, self.fresh, self.table = n, k, 0, None
-        self.held = [np.zeros(0, t) for t in (np.int32, np.int8, np.float64, np.int64, np.int64)]
+        self.held = [np.zeros(0, t) for t in (np.uint16 if n <= 1 << 16 else np.int64, np.float64, np.int64, np.int64, np.int64)]
         self.new = [self.held]
         self.floor = np.full(n, -np.inf)  # a number below can't be among the best
         self.open = np.ones(n, bool)  # null scores may still count
 
-    def add(self, q: np.ndarray, kind: np.ndarray, score: np.ndarray, key: np.ndarray, row: np.ndarray) -> None:
-        self.new.append([q.astype(np.int32), kind.astype(np.int8), score, key, row])
+    def add(self, q: np.ndarray, score: np.ndarray, key: np.ndarray, row: np.ndarray, null: bool = False) -> None:
+        code = np.full(len(q), NULL) if null else codes(score)
+        self.new.append([q.astype(self.held[0].dtype), score, code, key, row])
         self.fresh += len(q)
         if self.fresh >= max(1 << 16, self.n * self.k // 2):
             self.settle()
 
     def settle(self) -> None:
-        q, kind, score, key, row = (np.concatenate(c) for c in zip(*self.new, strict=True))
-        order = np.lexsort((key, -score, kind, q))
-        q = q[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        order, last = order[place < self.k], order[place == self.k - 1]
-        full = q[place == self.k - 1]
-        self.open[full] = kind[last] == 2
-        self.floor[full] = np.choose(kind[last], (np.inf, score[last], -np.inf))
-        self.held = [q[place < self.k], kind[order], score[order], key[order], row[order]]
+        """By the k-th best code of each query; only codes equal to it are ordered by key."""
+        q, score, code, key, row = (np.concatenate(c) for c in zip(*self.new, strict=True))
+        full, least = kth(q, code, self.n, self.k)
+        keep = code > least[q]
+        tied = np.flatnonzero((code == least[q]) & full[q])
+        room = self.k - np.bincount(q[keep & full[q]], minlength=self.n)
+        keep |= ~full[q]
+        tight = np.bincount(q[tied], minlength=self.n) > room
+        keep[tied] = True
+        tied = tied[tight[q[tied]]]
+        tied = tied[np.lexsort((key[tied], q[tied]))]
+        keep[tied[np.arange(len(tied)) - np.searchsorted(q[tied], q[tied]) >= room[q[tied]]]] = False
+        self.open = ~full | (least == NULL)
+        last = np.flatnonzero(full)
+        self.floor[last] = numbers(least[last])
+        self.held = [c[keep] for c in (q, score, code, key, row)]
         self.new, self.fresh = [self.held], 0
 
+    def order(self) -> None:
+        """What is held, by query, best first."""
+        self.settle()
+        order = np.lexsort((self.held[3], ~self.held[2], self.held[0]))
+        self.held[:] = [c[order] for c in self.held]
+
     def compact(self) -> None:
         """Drops the rows that no query holds."""
-        self.settle()
+        self.order()
         rows, self.held[4] = np.unique(self.held[4], return_inverse=True)
         self.table = self.table.take(pa.array(rows)).combine_chunks()
 
@@ -98,25 +153,45 @@ def meet(best: Best, at: np.ndarray, q: np.ndarray, c: np.ndarray, key: np.ndarr
         kind = np.float32 if single else np.float64
         give = (dims + 8) * most * (2.0**-23 if single else 2.0**-52) + dims * (2.0**-126 if single else 2.0**-1000)
         left, right, by_q, by_c = q.astype(kind), np.ascontiguousarray(c.T.astype(kind)), np.ascontiguousarray(q.T), np.ascontiguousarray(c.T)
-        step = max(1, PRODUCTS // max(1, len(c)))
+        step = max(1, min(ROWS, PRODUCTS // max(1, len(c))))
+        down = lambda x: np.nextafter(x.astype(kind), kind(-np.inf))
+        held, n = [], 0
         for a in range(0, len(q), step):
-            ids, some = at[a : a + step], left[a : a + step]
+            ids, some, less = at[a : a + step], left[a : a + step], give[a : a + step]
+            least = best.floor[ids] - less
             if not safe:  # all are candidates
                 i, j = (x.ravel() for x in np.indices((len(ids), len(c))))
             else:
-                near = some @ right
-                least = best.floor[ids] - give[a : a + step]
-                down = lambda x: np.nextafter(x.astype(kind), kind(-np.inf))
-                mask = near >= down(least)[:, None]
-                wide = np.flatnonzero(mask.sum(axis=1) > 4 * k)
+                wide = np.isneginf(least)
+                i, j = few(some, right, down(least)) if not wide.all() else np.zeros((2, 0), np.int64)
+                wide = np.flatnonzero(wide | (np.bincount(i, minlength=len(ids)) > 4 * k))
                 if len(wide):
-                    kth = np.partition(near[wide], len(c) - k, axis=1)[:, len(c) - k]
-                    mask[wide] = near[wide] >= down(np.maximum(least[wide], kth - 2 * give[a : a + step][wide]))[:, None]
-                i, j = np.divmod(np.flatnonzero(mask), len(c))
-            score = exact(by_q[:, a : a + step], by_c, i, j)
-            keep = ~(score < best.floor[ids[i]])
+                    near, room = some[wide] @ right, least[wide]
+                    if len(c) > k:
+                        room = np.maximum(room, np.partition(near, len(c) - k, axis=1)[:, len(c) - k] - 2 * less[wide])
+                    x, y = np.nonzero(near >= down(room)[:, None])
+                    rest = ~np.isin(i, wide)
+                    i, j = np.concatenate([i[rest], wide[x]]), np.concatenate([j[rest], y])
+            held.append((a + i, j))
+            n += len(i)
+            if n < TOGETHER and a + step < len(q):
+                continue
+            i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+            score = exact(by_q, by_c, i, j)
+            keep = ~(score < best.floor[at[i]])
             i, j, score = i[keep], j[keep], score[keep]
-            best.add(ids[i], np.where(np.isnan(score), 0, 1), score, key[j], row[j])
+            best.add(at[i], score, key[j], row[j])
+
+
+def few(some: np.ndarray, right: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the products that are not below their row's least, by tiles that stay in a core's cache."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for b in range(0, right.shape[1], COLUMNS):
+        mask = some @ right[:, b : b + COLUMNS] >= least[:, None]
+        i, j = np.divmod(marked(mask), mask.shape[1])
+        out.append((i, b + j))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def add_block(best: Best, asked: list, lists: pa.Array, keep: pa.Table, key: str) -> None:
@@ -137,7 +212,7 @@ def add_block(best: Best, asked: list, lists: pa.Array, keep: pa.Table, key: str
             first = np.flatnonzero(other)
             first = first[np.argsort(keys[first], kind="stable")[: best.k]]
             i, j = (x.ravel() for x in np.indices((len(wait), len(first))))
-            best.add(wait[i], np.full(len(i), 2), np.zeros(len(i)), keys[first[j]], rows[first[j]])
+            best.add(wait[i], np.zeros(len(i)), keys[first[j]], rows[first[j]], null=True)
     if best.table.num_rows > 2 * best.n * best.k + (1 << 16):
         best.compact()
 
@@ -172,18 +247,19 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, key: str, keep: tuple
             if n == len(side) or not first:
                 continue
             if best is None:
-                table = pa.Table.from_batches(first).combine_chunks()
+                # By query: what the task gives is then sorted as top_k sorts it.
+                table = pa.Table.from_batches(first).sort_by("query_no").combine_chunks()
                 best, asked = Best(table.num_rows, k), vectors(table["__vector"].chunk(0))
             batch = batch.slice(n)
             add_block(best, asked, batch.column("__vector"), pa.Table.from_batches([batch.select(names)]), key)
         if best is None:
             return
-        best.settle()
-        q, kind, score, _, row = best.held
+        best.order()
+        q, score, code, _, row = best.held
         for a in range(0, len(q), 1 << 16):
             part = slice(a, a + (1 << 16))
             out = best.table.take(pa.array(row[part])).append_column("query_no", table["query_no"].take(pa.array(q[part])))
-            yield from out.append_column("score", pa.array(score[part], pa.float64(), mask=kind[part] == 2)).combine_chunks().to_batches()
+            yield from out.append_column("score", pa.array(score[part], pa.float64(), mask=code[part] == NULL)).combine_chunks().to_batches()
 
     out = T.StructType([*[chunks.schema[c] for c in names], queries.schema["query_no"], T.StructField("score", T.DoubleType())])
     return top_k(met.mapInArrow(run, out), k, key)

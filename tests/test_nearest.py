@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -70,3 +71,24 @@ def test_fusion_ranks_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "count", lambda df: counted.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
     assert QUERIES["a4_o3_rank_fusion"](spark, str(tmp_path)).count() == 10
     assert not any("Window" in p for p in counted[:-1])
+
+
+def _block(seed, queries=600, rows=10000):
+    noise = np.random.default_rng(seed)
+    q, c = noise.normal(size=(queries, 16)).astype(np.float32), noise.normal(size=(2 * rows, 16)).astype(np.float32)
+    best = nearest.Best(queries, 10)
+    asked, parts = nearest.vectors(nearest.pa.array(list(q))), [nearest.pa.array(list(c[a : a + rows])) for a in (0, rows)]
+    keep = [nearest.pa.table({"vec_id": np.arange(a, a + rows)}) for a in (0, rows)]
+    nearest.add_block(best, asked, parts[0], keep[0], "vec_id")
+    return best, lambda: nearest.add_block(best, asked, parts[1], keep[1], "vec_id")
+
+
+def test_products_stay_in_tiles():
+    best, second = _block(5)
+    best.settle()
+    tracemalloc.start()
+    try:
+        second()
+        assert tracemalloc.get_traced_memory()[1] < 10 << 20
+    finally:
+        tracemalloc.stop()
