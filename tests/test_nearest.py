@@ -92,3 +92,13 @@ def test_products_stay_in_tiles():
         assert tracemalloc.get_traced_memory()[1] < 10 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_only_ties_are_sorted(monkeypatch):
+    best, second = _block(6)
+    second()
+    ordered, plain = [], np.lexsort
+    monkeypatch.setattr(nearest.np, "lexsort", lambda keys: ordered.append(len(keys[0])) or plain(keys))
+    best.settle()
+    assert sum(ordered) == 0
+    assert (np.bincount(best.held[0]) == 10).all()
