@@ -115,8 +115,8 @@ def displayed(files: DataFrame, mode: str = "ranked", group: tuple[str, ...] = (
         return files.withColumn("place", F.row_number().over(per.orderBy(F.desc("score"), F.desc("evidence_count"), "path")))
     if mode == "blind":
         return files.withColumn("place", F.row_number().over(per.orderBy(low, "path"))).drop("score")
-    best = files.groupBy(*group, paths.parent(F.col("path")).alias("dir")).agg(F.max("score").alias("best"))
-    with_dir = files.withColumn("dir", paths.parent(F.col("path"))).join(best, [*group, "dir"])
+    with_dir = files.withColumn("dir", paths.parent(F.col("path")))
+    with_dir = with_dir.withColumn("best", F.max("score").over(Window.partitionBy(*group, "dir")))
     return with_dir.withColumn("place", F.row_number().over(per.orderBy(F.desc("best"), F.lower("dir"), low, "path"))).drop("score", "best")
 
 

@@ -102,3 +102,10 @@ def test_only_ties_are_sorted(monkeypatch):
     best.settle()
     assert sum(ordered) == 0
     assert (np.bincount(best.held[0]) == 10).all()
+
+
+def test_display_searches_once(spark, tmp_path):
+    rows = [(i, [math.sin(i * j) for j in range(1, 9)], i % 10) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    plan = QUERIES["o10_a24_clustered_display"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
