@@ -30,16 +30,18 @@ ROUNDS = 2
 CROWD = 4
 #: Bitmaps have 2**BITS bits, cut into slices, whatever the input.
 BITS, SLICES = 26, 64
+#: Bits of parity that postings carry where all pairs of a token meet, and places that are sent in place of a bitmap.
+FOLD, FEW = 512, 1 << 17
 
 
-def parities(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+def parities(flat: np.ndarray, sizes: np.ndarray, least: int = 64) -> list[bytes]:
     """For each set (a run of `flat`) one bit for about each member: the parity of those whose hash falls there.
 
     Sets that differ in d members differ in at most d bits, so bits tell apart what cannot be alike.
     """
     if not len(sizes):
         return []
-    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    width = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     base = np.cumsum(width) - width
     of = np.repeat(np.arange(len(sizes)), sizes)
     at = base[of] + ((flat >> U(20)).astype(np.int64) & (width[of] - 1))
@@ -55,6 +57,17 @@ def differ(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(p.reshape(-1, len(q)), axis=0) ^ q).sum())
 
 
+def folded(bits: bytes) -> bytes:
+    """FOLD bits of at least as many from parities: as far as these tell sets apart, they are different."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, FOLD // 8), axis=0).tobytes()
+
+
+def apart_by(n: int, far: Column) -> Column:
+    """Whether sets 1 and 2 (n1, fold1, n2, fold2) may be at most `far` apart, by the members that they differ in at least."""
+    differ_in = sum((F.bit_count(F.get("fold1", F.lit(i)).bitwiseXOR(F.get("fold2", F.lit(i)))) for i in range(n)), F.lit(0))
+    return 2 * differ_in <= (F.col("n1") + F.col("n2") + differ_in) * (far + 1e-9)
+
+
 def _direct(percent: int):
     """Whether two sets may be linked, by size, by enough shared prefix tokens with enough shingles left from
     each of those on, and by the bits that tell them apart."""
@@ -96,7 +109,9 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
 
     postings: (token, id, s, m): two ids can only be linked if they share a token where the s of each is at
     least the m of the other. members: id, n, need (shared prefix tokens to ask for), tokens and places (hashes
-    of prefix tokens and their places in the order, as bytes; null: not to be tested) and bits (from parities).
+    of prefix tokens and their places in the order, as bytes; null: not to be tested) and bits (from parities);
+    fold too, if wanted (longs, from folded): then pairs whose fold tells them apart never leave the joins of all
+    pairs of a token, which still compare each two rows of it.
     fetch: from ids to their whole sets, as (id, shingles); asked only for the ids of pairs that all these leave.
     finer: from ids to postings of their own, such that any two of these ids that can be linked share one.
     """
@@ -236,12 +251,19 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
             tested.append(compare(fresh(star), f"star{r}"))
             known = components(sc, tested[-1].where("link"), f"joined{r}", known)
             here = sc.write(f"here_open{r}", between(by_leader()))
-    left, right = side(here, {"leader": "a", "component": "in_a"}, "1"), side(here, {"leader": "b", "component": "in_b"}, "2")
-    pairs = left.join(right, "token").where(may & F.expr("a < b and in_a != in_b")).select("a", "b").distinct()
+    radius = lead.groupBy("leader").agg(F.max("far").alias("radius")).where("radius > 0")
+    mark, reach = {}, None
+    if "fold" in members.columns:
+        here = here.join(members.select(F.col("id").alias("leader"), "n", "fold"), "leader").join(radius, "leader", "left")
+        mark, reach = {"n": "n", "fold": "fold", "radius": "radius"}, F.coalesce("radius1", F.lit(0.0)) + F.coalesce("radius2", F.lit(0.0))
+    marked = lambda end: {c: f"{name}{end}" for c, name in mark.items()}
+    left, right = side(here, {"leader": "a", "component": "in_a"} | marked("1"), "1"), side(here, {"leader": "b", "component": "in_b"} | marked("2"), "2")
+    # A pair of leaders counts as long as members of theirs may be linked.
+    able = apart_by(FOLD // 64, slack + reach) if mark else F.lit(True)
+    pairs = left.join(right, "token").where(may & F.expr("a < b and in_a != in_b") & able).select("a", "b").distinct()
     tested.append(compare(fresh(pairs), "leaders"))
     known = components(sc, tested[-1].where("link"), "after", known)
     everything = so_far()
-    radius = lead.groupBy("leader").agg(F.max("far").alias("radius")).where("radius > 0")
     near = everything.where("not link and dist is not null")
     for c in ("a", "b"):
         near = near.join(radius.select(F.col("leader").alias(c), F.col("radius").alias(f"r_{c}")), c, "left")
@@ -252,9 +274,12 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
     ours = lambda: between(postings.join(lead.join(ends, "leader", "left_semi"), "id"))
     owned = relieved(sc.write("owned", ours()), "owned", ours)
     # Members meet at a token first: a leader's members times its near leaders would be many more.
-    left = side(owned, {"id": "x", "leader": "a", "far": "far_x", "component": "in_a"}, "1")
-    right = side(owned, {"id": "y", "leader": "b", "far": "far_y", "component": "in_b"}, "2")
-    inner = left.join(right, "token").where(may & F.expr("a < b and in_a != in_b")).groupBy("x", "y").agg(*[F.first(c).alias(c) for c in ("a", "b", "far_x", "far_y")])
+    if mark:
+        owned = owned.join(members.select("id", "n", "fold"), "id")
+        mark, able = {"n": "n", "fold": "fold"}, apart_by(FOLD // 64, F.lit(slack))
+    left = side(owned, {"id": "x", "leader": "a", "far": "far_x", "component": "in_a"} | marked("1"), "1")
+    right = side(owned, {"id": "y", "leader": "b", "far": "far_y", "component": "in_b"} | marked("2"), "2")
+    inner = left.join(right, "token").where(may & F.expr("a < b and in_a != in_b") & able).groupBy("x", "y").agg(*[F.first(c).alias(c) for c in ("a", "b", "far_x", "far_y")])
     # The same bound for each two members: they are no farther from their leaders than `far`.
     inner = inner.join(near, ["a", "b"]).where(F.col("dist") <= slack + F.col("far_x") + F.col("far_y") + 1e-9).select(*ordered)
     inner = inner.select("a", "b", F.lit(True).alias("direct"))
@@ -330,8 +355,12 @@ def bit_of(name: str) -> Column:
 
 
 def asked(bits: DataFrame):
-    """Keeps rows whose column `bit` is among the bits."""
-    wanted = bits.sparkSession.sparkContext.broadcast(bitmap(bits))
+    """Keeps rows whose column `bit` is among the bits. Few bits are sent as their places: each process keeps a file of
+    what is sent until the end."""
+    found = bitmap(bits)
+    if int(np.bitwise_count(found).sum()) <= FEW:
+        found = np.flatnonzero(np.unpackbits(found))
+    wanted = bits.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,6 +370,9 @@ def asked(bits: DataFrame):
 
 
 def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """bits: a bitmap, or the places of its set bits in order."""
+    if bits.dtype != np.uint8:
+        return np.append(bits, -1)[np.searchsorted(bits, at)] == at
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 

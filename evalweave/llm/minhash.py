@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from evalweave.llm import jaccard
 from evalweave.llm.common import Scratch, blocks, even_ranges, range_of, shuffle_width, text_or_empty, tune, utf8
-from evalweave.llm.links import asked, bit_of, clusters, parities
+from evalweave.llm.links import FOLD, asked, bit_of, clusters, folded, parities
 from evalweave.llm.words import U, mix, shingles, words
 
 SHINGLE = 5
@@ -172,7 +172,7 @@ def _banded(k: int):
             for a, b in blocks(off, 1 << 18):
                 unique = _sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)
                 n = np.array([len(u) for u in unique], np.int64)
-                bits += parities(np.concatenate(unique), n)
+                bits += parities(np.concatenate(unique), n, FOLD)
                 sizes += n.tolist()
                 cls += [hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in unique]
             rows = sigs.reshape(-1, BANDS, ROWS).astype(U)
@@ -185,6 +185,13 @@ def _banded(k: int):
     return run
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fold = np.frombuffer(b"".join(map(folded, batch.column("bits").to_pylist())), np.int64)
+        at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (FOLD // 64))
+        yield batch.append_column("fold", pa.ListArray.from_arrays(at, pa.array(fold)))
+
+
 def _sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     h, begin = shingles(*words(data, off), k)
     return [np.unique(h[begin[i] : begin[i + 1]]) for i in range(len(off) - 1)]
@@ -208,7 +215,8 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
     busy = sc.write("busy", posted.groupBy("token").agg(F.count("*").alias("c"), F.max("s").alias("s"), F.min("m").alias("m")).where("c > 1 and s >= m").select("token"))
     postings = sc.write("postings", posted.join(busy, "token"))
     none = F.lit(None).cast("binary")
-    narrow = sc.write("narrow", reps.join(postings.select("id").distinct(), "id", "left_semi").select("id", "n", F.lit(1).alias("need"), none.alias("tokens"), none.alias("places"), "bits"))
+    narrow = reps.join(postings.select("id").distinct(), "id", "left_semi").select("id", "n", F.lit(1).alias("need"), none.alias("tokens"), none.alias("places"), "bits")
+    narrow = sc.write("narrow", narrow.mapInArrow(_folded, "id long, n long, need int, tokens binary, places binary, bits binary, fold array<bigint>"))
     sc.drop("busy", "reps")
 
     def fetch(ids: DataFrame) -> DataFrame:
@@ -248,6 +256,7 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
 
         prefixes = texts.mapInArrow(rarest, "key long, cls binary, n long, tokens binary, places binary").join(wanted.select("id", "key", "cls"), ["key", "cls"])
         prefixes = sc.write(f"prefixes{unique}", prefixes.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "places")]))
+        counts.destroy()
         every = prefixes.mapInArrow(jaccard._post(like), "token long, id long, s long, m long")
         shared = every.groupBy("token").agg(F.count("*").alias("c"), F.max("s").alias("s"), F.min("m").alias("m")).where("c > 1 and s >= m")
         out = sc.write(f"finer{unique}", every.join(shared.select("token"), "token"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from evalweave.llm import links, minhash
@@ -75,3 +76,42 @@ def test_texts_below_the_threshold_are_not_paired_out(spark, monkeypatch):
         assert near(spark, family(5, count, 200, 6)) == list(range(count))
         pairs.append(sum(made.values()))
     assert pairs[1] <= 2.5 * pairs[0] and pairs[1] <= 8 * 200
+
+
+def test_pairs_that_bits_tell_apart_do_not_leave_their_join(spark, monkeypatch):
+    """Texts that choose between two words at 24 places share rare shingles with half of the others, and none is linked."""
+    r = random.Random(8)
+    texts = [" ".join(f"v{i}{r.randrange(2)}" if i % 8 == 0 else f"w{i}" for i in range(192)) for _ in range(80)]
+    made, write = {}, Scratch.write
+
+    def counted(self, name, df):
+        out = write(self, name, df)
+        if name in ("leaders_pairs", "inner_pairs"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    want, _ = brute(texts)
+    assert near(spark, texts) == want
+    assert sum(made.values()) < 80
+
+
+def test_folds_differ_no_more_than_their_sets():
+    noise = np.random.default_rng(2)
+    for n in (3, 60, 700, 5000):
+        a, b = (np.unique(noise.integers(0, 1 << 63, n).astype(np.uint64) % np.uint64(2 * n) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        x, y = (np.frombuffer(links.folded(p), np.uint8) for p in links.parities(np.concatenate([a, b]), np.array([len(a), len(b)]), links.FOLD))
+        assert len(x) == len(y) == links.FOLD // 8
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_few_bits_are_sent_as_places(spark, monkeypatch):
+    sent, plain = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: sent.append(value.nbytes) or plain(sc, value))
+    every = spark.range(5000).select(links.bit_of("id"), "id")
+    for few, count in ((links.FEW, 40), (0, 40), (links.FEW, 0)):
+        monkeypatch.setattr(links, "FEW", few)
+        keep = links.asked(every.where(f"id < {count}").select("bit"))
+        kept = {row.id for row in every.mapInArrow(keep, every.schema).collect()}
+        assert set(range(count)) <= kept and len(kept) < count + 10
+    assert sent[0] <= 8 * 40 and sent[1] == 1 << 23 and sent[2] == 0
