@@ -40,8 +40,8 @@ def tune(spark: SparkSession) -> None:
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, label: str, rows_a_task: int | None = None):
+        self.spark, self.rows_a_task = spark, rows_a_task
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -57,6 +57,12 @@ class Scratch:
             self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def gathered(self, df: DataFrame, rows: int) -> DataFrame:
+        """df in no more tasks than about so many rows ask for, at least two for each core; as it is without rows_a_task."""
+        if not self.rows_a_task:
+            return df
+        return df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, -(-rows // self.rows_a_task)))
+
     def _delete(self, path: str) -> None:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -7,9 +7,12 @@ with each other, but for those in one component already. Jaccard distance is a m
 can only be linked if the leaders' distance is at most the threshold's plus both radii, and only then are
 members compared. No link between different components is lost.
 
-Where a caller can name finer tokens (prefixes of whole sets), a bucket in which many leaders or members of
-different components are left is not paired out either: its ids meet in their finer tokens instead, and each
-leader meets one pivot a round, the one it shares most tokens with.
+Where a caller can name finer tokens (prefixes of whole sets), a bucket in which many leaders of different
+components are left is not paired out either: its ids meet in their finer tokens instead, and each leader meets
+one pivot a round, the one it shares most tokens with.
+
+Where members have folds, those of two near leaders meet by their leaders, once a pair, whatever tokens they
+share: distances, sizes and folds rule pairs out in that join. A bound by tokens is not asked for there.
 """
 
 from __future__ import annotations
@@ -116,16 +119,18 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
     finer: from ids to postings of their own, such that any two of these ids that can be linked share one.
     """
     slack = (100 - percent) / 100
+    size = postings.count() + members.count() if sc.rows_a_task else 0
+    few = lambda df: sc.gathered(df, size)
     kind = members.schema["id"].dataType.simpleString()
 
     def both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+            pairs = few(pairs.join(sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side))
         return pairs.select("a", "b", *[f"{side}_{c}" for c in columns for side in ("a", "b")])
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
         """a, b, dist, link; dist is null for pairs of single documents that the prefixes or bits rule out."""
-        pairs = sc.write(f"{name}_pairs", pairs)
+        pairs = sc.write(f"{name}_pairs", few(pairs))
         alone = both(pairs.where("direct"), members, ["n", "need", "tokens", "places", "bits"])
         tried = sc.write(f"{name}_tried", alone.mapInArrow(_direct(percent), f"a {kind}, b {kind}, keep boolean"))
         hopeful = tried.where("keep").select("a", "b").unionByName(pairs.where("not direct").select("a", "b"))
@@ -133,7 +138,7 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
         if hopeful.isEmpty():
             seen = ruled_out
         else:
-            sets = sc.write(f"{name}_sets", fetch(hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+            sets = sc.write(f"{name}_sets", few(fetch(few(hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()))))
             seen = both(hopeful, sets, ["shingles"]).mapInArrow(_verify(percent), f"a {kind}, b {kind}, dist double, link boolean").unionByName(ruled_out)
         out = sc.write(name, seen)
         sc.drop(*[f"{name}_{x}" for x in ("sets", "pairs", "tried")])
@@ -146,7 +151,7 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
         """For each token and leader: the largest s and the smallest m of its members."""
         if lead is None:
             return postings.withColumnRenamed("id", "leader")
-        return postings.join(lead, "id").groupBy("token", "leader").agg(F.max("s").alias("s"), F.min("m").alias("m"))
+        return few(postings.join(lead, "id")).groupBy("token", "leader").agg(F.max("s").alias("s"), F.min("m").alias("m"))
 
     def side(table: DataFrame, names: dict[str, str], end: str) -> DataFrame:
         return table.select("token", *[F.col(c).alias(name) for c, name in names.items()], F.col("s").alias(f"s{end}"), F.col("m").alias(f"m{end}"))
@@ -160,7 +165,7 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
         """
         if lead is None:
             return pairs.select("a", "b", F.lit(True).alias("direct"))
-        behind = sc.write(f"behind{len(tested)}", lead.where("id != leader").select("leader").distinct())
+        behind = sc.write(f"behind{len(tested)}", few(lead.where("id != leader").select("leader").distinct()))
         for c in ("a", "b"):
             pairs = pairs.join(behind.select(F.col("leader").alias(c), F.lit(True).alias(f"led_{c}")), c, "left")
         pairs = pairs.select("a", "b", (F.col("led_a").isNull() & F.col("led_b").isNull()).alias("direct"))
@@ -172,17 +177,17 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
     ordered = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     used = None
     for r in range(ROUNDS):
-        here = by_leader() if lead is None else sc.write(f"here{r}", by_leader())
+        here = by_leader() if lead is None else sc.write(f"here{r}", few(by_leader()))
         # A pivot that has met its bucket makes room for the next one.
         able = here if used is None else here.join(used, ["token", "leader"], "left_anti")
         pivots = able.groupBy("token").agg(F.min(F.struct((-F.col("s")).alias("s"), "leader", "m")).alias("p"), F.min("m").alias("least")).where("-p.s >= least")
-        pivots = sc.write(f"pivots{r}", pivots.select("token", (-F.col("p.s")).alias("s"), F.col("p.m").alias("m"), F.col("p.leader").alias("x")))
+        pivots = sc.write(f"pivots{r}", few(pivots.select("token", (-F.col("p.s")).alias("s"), F.col("p.m").alias("m"), F.col("p.leader").alias("x"))))
         met = pivots.select("token", F.col("x").alias("leader"))
         used = met if used is None else used.unionByName(met)
         pairs = side(here, {"leader": "y"}, "2").join(side(pivots, {"x": "x"}, "1"), "token")
         pairs = pairs.where(may & F.expr("x != y"))
         if finer:
-            shared = pairs.groupBy("x", "y").agg(F.count("*").alias("c"))
+            shared = few(few(pairs).groupBy("x", "y").agg(F.count("*").alias("c")))
             pairs = shared.groupBy("y").agg(F.max(F.struct("c", "x")).alias("p")).select("p.x", "y")
         pairs = pairs.select(*ordered).distinct()
         seen = compare(fresh(pairs), f"round{r}")
@@ -190,15 +195,15 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
         links = seen.where("link").select("a", "b", "dist")
         links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
         # The one with most links leads, of ties that of the larger id.
-        weight = sc.write(f"weight{r}", links.groupBy("a").agg(F.count("*").alias("links")))
+        weight = sc.write(f"weight{r}", few(links.groupBy("a").agg(F.count("*").alias("links"))))
         rank = lambda c: weight.select(F.col("a").alias(c), F.struct("links", "a").alias(f"rank_{c}"))
-        parent = links.join(rank("a"), "a").join(rank("b"), "b").where("rank_a > rank_b").groupBy("b").agg(F.max(F.struct("rank_a", "a", "dist")).alias("p"))
-        parent = sc.write(f"parent{r}", parent.select("b", "p.a", "p.dist"))
+        parent = few(few(links.join(rank("a"), "a")).join(rank("b"), "b")).where("rank_a > rank_b").groupBy("b").agg(F.max(F.struct("rank_a", "a", "dist")).alias("p"))
+        parent = sc.write(f"parent{r}", few(parent.select("b", "p.a", "p.dist")))
         # Only those that nothing leads take members on, so that a radius stays a distance to one leader.
         root = parent.join(parent.select(F.col("b").alias("a")), "a", "left_anti")
         now = members.select("id", F.col("id").alias("leader"), F.lit(0.0).alias("far")) if lead is None else lead
         moved = now.join(root, now.leader == root.b, "left")
-        lead = sc.write(f"lead{r + 1}", moved.select("id", F.coalesce("a", "leader").alias("leader"), (F.col("far") + F.coalesce("dist", F.lit(0.0))).alias("far")))
+        lead = sc.write(f"lead{r + 1}", few(moved.select("id", F.coalesce("a", "leader").alias("leader"), (F.col("far") + F.coalesce("dist", F.lit(0.0))).alias("far"))))
         sc.drop(f"here{r}", f"weight{r}", f"parent{r}", f"lead{r}")
 
     def so_far() -> DataFrame:
@@ -215,9 +220,9 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
 
     def between(table: DataFrame) -> DataFrame:
         """Rows at tokens where known components meet, with the one of their leader: elsewhere no pair is open."""
-        table = table.join(known.withColumnRenamed("id", "leader"), "leader", "left").withColumn("component", F.coalesce("component", "leader"))
+        table = few(table.join(known.withColumnRenamed("id", "leader"), "leader", "left")).withColumn("component", F.coalesce("component", "leader"))
         open_ = table.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-        return table.join(open_.select("token"), "token", "left_semi")
+        return few(table.join(few(open_.select("token")), "token", "left_semi"))
 
     coarse = postings
 
@@ -230,15 +235,33 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
         if not finer:
             return table
         crowded = table.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("token")
-        crowded = sc.write(f"{name}_crowded", crowded.join(coarse.select("token"), "token", "left_semi"))
+        crowded = sc.write(f"{name}_crowded", few(crowded.join(coarse.select("token"), "token", "left_semi")))
         if crowded.isEmpty():
             return table
-        more = finer(sc.write(f"{name}_ids", coarse.join(crowded, "token", "left_semi").select("id").distinct()))
+        more = finer(sc.write(f"{name}_ids", few(coarse.join(crowded, "token", "left_semi").select("id").distinct())))
         rest = postings.join(crowded, "token", "left_anti")
         coarse, postings = coarse.join(crowded, "token", "left_anti"), rest.unionByName(more.select(*rest.columns))
         sc.drop(name)
         return sc.write(f"{name}_finer", again())
 
+    def by_near(near: DataFrame, ends: DataFrame) -> DataFrame:
+        """x, y as (a, b): members of near leaders that distances, sizes and folds leave, each pair once however many tokens it shares.
+
+        The smaller family of two goes first, so that few rows wait for the larger one.
+        """
+        family = few(lead.join(ends, "leader", "left_semi").join(members.select("id", "n", "fold"), "id"))
+        family = sc.write("family", family)
+        sizes = sc.write("sizes", few(family.groupBy("leader").agg(F.count("*").alias("size"), F.max("far").alias("radius"))))
+        for c in ("a", "b"):
+            near = near.join(sizes.select(F.col("leader").alias(c), F.struct("size", "radius", F.col("leader").alias("id")).alias(f"of_{c}")), c)
+        near = few(near.select(F.least("of_a", "of_b").alias("p"), F.greatest("of_a", "of_b").alias("q"), "dist").distinct())
+        near = near.select(F.col("p.id").alias("p"), F.col("q.id").alias("q"), F.col("q.radius").alias("radius"), "dist")
+        part = lambda leader, name, end: family.select(F.col("leader").alias(leader), F.col("id").alias(name), F.col("far").alias(f"far_{name}"), F.col("n").alias(f"n{end}"), F.col("fold").alias(f"fold{end}"))
+        first = few(near.join(part("p", "x", "1"), "p").where(F.col("dist") <= slack + F.col("far_x") + F.col("radius") + 1e-9))
+        sized = F.expr(f"100 * n1 >= {percent} * n2 and 100 * n2 >= {percent} * n1")
+        within = F.col("dist") <= slack + F.col("far_x") + F.col("far_y") + 1e-9
+        return first.join(part("q", "y", "2"), "q").where(within & sized & apart_by(FOLD // 64, F.lit(slack))).select(*ordered)
+
     known = components(sc, so_far().where("link"), "before")
     here = relieved(sc.write("here", between(by_leader())), "here", lambda: between(by_leader()))
     if coarse is not postings:
@@ -254,13 +277,13 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
     radius = lead.groupBy("leader").agg(F.max("far").alias("radius")).where("radius > 0")
     mark, reach = {}, None
     if "fold" in members.columns:
-        here = here.join(members.select(F.col("id").alias("leader"), "n", "fold"), "leader").join(radius, "leader", "left")
+        here = few(here.join(members.select(F.col("id").alias("leader"), "n", "fold"), "leader").join(radius, "leader", "left"))
         mark, reach = {"n": "n", "fold": "fold", "radius": "radius"}, F.coalesce("radius1", F.lit(0.0)) + F.coalesce("radius2", F.lit(0.0))
     marked = lambda end: {c: f"{name}{end}" for c, name in mark.items()}
     left, right = side(here, {"leader": "a", "component": "in_a"} | marked("1"), "1"), side(here, {"leader": "b", "component": "in_b"} | marked("2"), "2")
     # A pair of leaders counts as long as members of theirs may be linked.
     able = apart_by(FOLD // 64, slack + reach) if mark else F.lit(True)
-    pairs = left.join(right, "token").where(may & F.expr("a < b and in_a != in_b") & able).select("a", "b").distinct()
+    pairs = few(left.join(right, "token").where(may & F.expr("a < b and in_a != in_b") & able).select("a", "b")).distinct()
     tested.append(compare(fresh(pairs), "leaders"))
     known = components(sc, tested[-1].where("link"), "after", known)
     everything = so_far()
@@ -269,19 +292,18 @@ def clusters(sc: Scratch, postings: DataFrame, members: DataFrame, fetch: Callab
         near = near.join(radius.select(F.col("leader").alias(c), F.col("radius").alias(f"r_{c}")), c, "left")
     reach = F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0))
     near = near.where((reach > 0) & (F.col("dist") <= slack + reach + 1e-9)).select("a", "b", "dist")
-    near = sc.write("near", apart(near.select("a", "b"), known).join(near, ["a", "b"]))
+    near = sc.write("near", few(apart(near.select("a", "b"), known).join(near, ["a", "b"])))
     ends = near.select(F.col("a").alias("leader")).unionByName(near.select(F.col("b").alias("leader"))).distinct()
-    ours = lambda: between(postings.join(lead.join(ends, "leader", "left_semi"), "id"))
-    owned = relieved(sc.write("owned", ours()), "owned", ours)
-    # Members meet at a token first: a leader's members times its near leaders would be many more.
     if mark:
-        owned = owned.join(members.select("id", "n", "fold"), "id")
-        mark, able = {"n": "n", "fold": "fold"}, apart_by(FOLD // 64, F.lit(slack))
-    left = side(owned, {"id": "x", "leader": "a", "far": "far_x", "component": "in_a"} | marked("1"), "1")
-    right = side(owned, {"id": "y", "leader": "b", "far": "far_y", "component": "in_b"} | marked("2"), "2")
-    inner = left.join(right, "token").where(may & F.expr("a < b and in_a != in_b") & able).groupBy("x", "y").agg(*[F.first(c).alias(c) for c in ("a", "b", "far_x", "far_y")])
-    # The same bound for each two members: they are no farther from their leaders than `far`.
-    inner = inner.join(near, ["a", "b"]).where(F.col("dist") <= slack + F.col("far_x") + F.col("far_y") + 1e-9).select(*ordered)
+        inner = by_near(near, ends)
+    else:
+        # Members meet at a token first: a leader's members times its near leaders would be many more.
+        owned = sc.write("owned", between(postings.join(lead.join(ends, "leader", "left_semi"), "id")))
+        left = side(owned, {"id": "x", "leader": "a", "far": "far_x", "component": "in_a"}, "1")
+        right = side(owned, {"id": "y", "leader": "b", "far": "far_y", "component": "in_b"}, "2")
+        inner = left.join(right, "token").where(may & F.expr("a < b and in_a != in_b")).groupBy("x", "y").agg(*[F.first(c).alias(c) for c in ("a", "b", "far_x", "far_y")])
+        # The same bound for each two members: they are no farther from their leaders than `far`.
+        inner = inner.join(near, ["a", "b"]).where(F.col("dist") <= slack + F.col("far_x") + F.col("far_y") + 1e-9).select(*ordered)
     inner = inner.select("a", "b", F.lit(True).alias("direct"))
     return components(sc, compare(inner, "inner").where("link"), "all", known)
 
@@ -303,16 +325,18 @@ def components(sc: Scratch, edges: DataFrame, name: str, known: DataFrame | None
         moved = known.join(met.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left")
         moved = moved.select("id", F.coalesce("least", "component").alias("component"))
         return sc.write(name, moved.unionByName(met.join(known, "id", "left_anti")))
-    both = sc.write(f"{name}_edges", edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = sc.write(f"{name}_label0", both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+    rows = edges.count() if sc.rows_a_task else 0
+    few = lambda df: sc.gathered(df, rows)
+    both = sc.write(f"{name}_edges", few(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+    label = sc.write(f"{name}_label0", few(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))))
     step = 0
     while True:
         step += 1
-        heard = both.join(label, both.b == label.id).groupBy("a").agg(F.min("component").alias("m"))
-        best = label.join(heard, label.id == heard.a, "left").select("id", "component", F.least("component", "m").alias("new"))
+        heard = few(both.join(label, both.b == label.id)).groupBy("a").agg(F.min("component").alias("m"))
+        best = few(label.join(heard, label.id == heard.a, "left")).select("id", "component", F.least("component", "m").alias("new"))
         jump = label.select(F.col("id").alias("new"), F.col("component").alias("further"))
         out = best.join(jump, "new", "left").select("id", F.least("new", "further").alias("component"), (F.least("new", "further") != F.col("component")).alias("changed"))
-        written = sc.write(f"{name}_label{step}", out)
+        written = sc.write(f"{name}_label{step}", few(out))
         label = written.select("id", "component")
         if written.where("changed").isEmpty():
             return label

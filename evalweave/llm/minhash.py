@@ -35,6 +35,8 @@ SHINGLE = 5
 PERMUTATIONS = 128
 BANDS, ROWS = 32, 4
 LIKE = 80
+#: Rows for which a step of the groups takes one more task: links, labels and places in the order are a few longs each.
+ROWS_A_TASK = 1 << 14
 _random = np.random.default_rng(20250217)
 _A = _random.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
 _B = _random.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -202,7 +204,7 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
     rows of equal shingle sets, or of a Jaccard similarity of `like` percent or more that share a signature band.
     Rows without words are in a group of their own; an empty table gives an empty result."""
     tune(spark)
-    sc, kept = Scratch(spark, "minhash"), Scratch(spark, "groups")
+    sc, kept = Scratch(spark, "minhash", ROWS_A_TASK), Scratch(spark, "groups")
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).where("key is not null")
     members = sc.write("members", rows.mapInArrow(_banded(k), "key long, cls binary, n long, bands array<bigint>, bits binary"))
     found = members.where("n > 0").groupBy("cls").agg(F.min(F.struct("key", "n", "bands", "bits")).alias("r"))
@@ -218,9 +220,10 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
     narrow = reps.join(postings.select("id").distinct(), "id", "left_semi").select("id", "n", F.lit(1).alias("need"), none.alias("tokens"), none.alias("places"), "bits")
     narrow = sc.write("narrow", narrow.mapInArrow(_folded, "id long, n long, need int, tokens binary, places binary, bits binary, fold array<bigint>"))
     sc.drop("busy", "reps")
+    classes = named.count()
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = sc.write(f"wanted{uuid.uuid4().hex}", named.join(ids, "id"))
+        wanted = sc.write(f"wanted{uuid.uuid4().hex}", sc.gathered(named.join(ids, "id"), classes))
         keep = asked(wanted.select(bit_of("key")))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +234,7 @@ def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["key", "cls", "shingles"])
 
         sets = rows.select("key", bit_of("key"), "text").mapInArrow(whole, "key long, cls binary, shingles binary")
-        return sets.join(wanted, ["key", "cls"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
+        return sc.gathered(sets.join(wanted, ["key", "cls"]), classes).groupBy("id").agg(F.first("shingles").alias("shingles"))
 
     def finer(ids: DataFrame) -> DataFrame:
         """Postings of prefixes: the rarest shingles by a sketch of these texts, whose collisions only cost candidates."""

@@ -115,3 +115,33 @@ def test_few_bits_are_sent_as_places(spark, monkeypatch):
         kept = {row.id for row in every.mapInArrow(keep, every.schema).collect()}
         assert set(range(count)) <= kept and len(kept) < count + 10
     assert sent[0] <= 8 * 40 and sent[1] == 1 << 23 and sent[2] == 0
+
+
+def test_few_rows_take_few_tasks(spark):
+    """However many shuffle partitions there are."""
+    own = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 3 < 2], "a long, b long")
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        found = links.components(Scratch(spark, "few", 1 << 14), edges, "few")
+        assert {(r.id, r.component) for r in found.collect()} == {(i, i // 3 * 3) for i in range(300)}
+        assert len(found.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_members_of_near_leaders_meet_once(spark, monkeypatch):
+    """Not anew in each token that they share."""
+    plans, write = {}, Scratch.write
+
+    def seen(self, name, df):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, name, df)
+
+    monkeypatch.setattr(Scratch, "write", seen)
+    texts = family(2, 8, 200, 4) + family(3, 8, 200, 2)
+    assert near(spark, texts) == brute(texts)[0]
+    assert "token#" not in plans["inner_pairs"]
