@@ -202,6 +202,7 @@ def _sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
 def near_groups(docs: DataFrame, spark: SparkSession, key: str = "doc_id", text: str = "text", like: int = LIKE, k: int = SHINGLE) -> DataFrame:
     """key and group (least key reachable by links) of every row with a key (a whole number). A link joins two
     rows of equal shingle sets, or of a Jaccard similarity of `like` percent or more that share a signature band.
+    Links between members of near leaders count without one.
     Rows without words are in a group of their own; an empty table gives an empty result."""
     tune(spark)
     sc, kept = Scratch(spark, "minhash", ROWS_A_TASK), Scratch(spark, "groups")
