@@ -20,10 +20,12 @@ from pyspark.sql import types as T
 
 from evalweave.operators.ranking import top_k
 
-#: Queries of a block, tasks for each core, products held at a time.
-BLOCK, WAVES, PRODUCTS = 4096, 2, 1 << 22
+#: Queries of a block at most, and at least where there are more blocks than needed; products held at a time.
+BLOCK, LEAST, PRODUCTS = 4096, 512, 1 << 22
 #: Rows and columns of a tile of products, candidates that are scored together.
-ROWS, COLUMNS, TOGETHER = 256, 1024, 1 << 15
+ROWS, COLUMNS, TOGETHER = 512, 512, 1 << 13
+#: Bytes of chunks that the first floors are taken from, chunks of a tile that keep one maximum.
+FIRST, FOLD = 1 << 24, 32
 #: Codes order scores as whole numbers.
 NAN, NULL = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
@@ -57,12 +59,12 @@ def kth(q: np.ndarray, code: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np
 
 
 def marked(mask: np.ndarray) -> np.ndarray:
-    """Places of the few set values of a mask: eight are looked at in one."""
+    """Places of the few set values of a mask: 64 are looked at in one."""
     flat = mask.reshape(-1)
-    whole = len(flat) // 8 * 8
-    eight = np.flatnonzero(flat[:whole].view(np.uint64))
-    at, bit = np.nonzero(flat[:whole].reshape(-1, 8)[eight])
-    return np.concatenate([eight[at] * 8 + bit, whole + np.flatnonzero(flat[whole:])])
+    whole = len(flat) // 64 * 64
+    some = np.flatnonzero(np.packbits(flat[:whole]).view(np.uint64))
+    at = np.flatnonzero(flat[:whole].reshape(-1, 64)[some])
+    return np.concatenate([some[at >> 6] * 64 + (at & 63), whole + np.flatnonzero(flat[whole:])])
 
 
 class Best:
@@ -97,7 +99,7 @@ class Best:
         keep[tied[np.arange(len(tied)) - np.searchsorted(q[tied], q[tied]) >= room[q[tied]]]] = False
         self.open = ~full | (least == NULL)
         last = np.flatnonzero(full)
-        self.floor[last] = numbers(least[last])
+        self.floor[last] = np.maximum(self.floor[last], numbers(least[last]))
         self.held = [c[keep] for c in (q, score, code, key, row)]
         self.new, self.fresh = [self.held], 0
 
@@ -120,7 +122,7 @@ def vectors(lists: pa.Array) -> list[tuple[int, bool, np.ndarray, np.ndarray]]:
     flat = lists.flatten()
     off = np.concatenate([[0], np.cumsum(np.maximum(lens, 0))])
     run = lambda bad: np.concatenate([[0], np.cumsum(bad)])
-    within = lambda bad: (s := run(bad))[off[1:]] > s[off[:-1]]
+    within = lambda bad: (s := run(bad))[off[1:]] > s[off[:-1]] if bad.any() else np.zeros(len(lens), bool)
     lens[within(pc.is_null(flat).to_numpy(zero_copy_only=False))] = -1
     small = pa.types.is_float32(flat.type)
     values = pc.fill_null(flat if small else flat.cast(pa.float64(), safe=False), 0).to_numpy(zero_copy_only=False)
@@ -130,29 +132,72 @@ def vectors(lists: pa.Array) -> list[tuple[int, bool, np.ndarray, np.ndarray]]:
         for good in (True, False):
             rows = np.flatnonzero((lens == dims) & (finite == good))
             if len(rows):
-                out.append((int(dims), good, rows, values[off[rows][:, None] + np.arange(max(dims, 0))]))
+                alone = dims > 0 and len(rows) * dims == len(values)  # no others hold values
+                out.append((int(dims), good, rows, values.reshape(-1, dims) if alone else values[off[rows][:, None] + np.arange(max(dims, 0))]))
     return out
 
 
 def exact(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Products of vectors i of q and j of c (a row a component), summed in order."""
-    out = np.zeros(len(i))
+    """Products of vectors i of q and j of c (a row of doubles a component), summed in order."""
+    out, left, right = np.zeros(len(i)), np.empty(len(i)), np.empty(len(i))
     for a, b in zip(q, c, strict=True):
-        out += a[i].astype(np.float64) * b[j].astype(np.float64)
+        # Places are in range; with a mode, take writes to `out` without a copy.
+        np.take(a, i, out=left, mode="clip")
+        np.take(b, j, out=right, mode="clip")
+        left *= right
+        out += left
     return out
 
 
-def meet(best: Best, at: np.ndarray, q: np.ndarray, c: np.ndarray, key: np.ndarray, row: np.ndarray, finite: bool) -> None:
-    """Adds what may be among the best of vectors q (queries `at`) and c, of equal length."""
-    dims, k = q.shape[1], best.k
+def error(q: np.ndarray, c: np.ndarray, finite: bool) -> tuple[bool, type, np.ndarray]:
+    """Whether products bound the scores, the type to multiply in, and for each of q how far products may be off."""
+    dims = q.shape[1]
     size = lambda x: np.sqrt(np.square(x, dtype=np.float64).sum(axis=1))
     with np.errstate(all="ignore"):
         most = size(q) * (size(c).max() if len(c) else 0.0)
         safe = finite and bool(most.max(initial=0) < 1e300)
         single = safe and q.dtype == c.dtype == np.float32 and bool(most.max(initial=0) < 1e37)
-        kind = np.float32 if single else np.float64
         give = (dims + 8) * most * (2.0**-23 if single else 2.0**-52) + dims * (2.0**-126 if single else 2.0**-1000)
-        left, right, by_q, by_c = q.astype(kind), np.ascontiguousarray(c.T.astype(kind)), np.ascontiguousarray(q.T), np.ascontiguousarray(c.T)
+    return safe, np.float32 if single else np.float64, give
+
+
+def early(best: Best, at: np.ndarray, q: np.ndarray, c: np.ndarray) -> None:
+    """Floors before any score: k groups of the finite vectors c hold a product of at least the k-th largest maximum."""
+    safe, kind, give = error(q, c, True)
+    tiles = len(c) // COLUMNS
+    if not safe or tiles * (COLUMNS // FOLD) < 2 * best.k:
+        return
+    left, right = q.astype(kind, copy=False).T, c.astype(kind, copy=False)
+    for a in range(0, len(q), ROWS):
+        some, give_some, ids = left[:, a : a + ROWS], give[a : a + ROWS], at[a : a + ROWS]
+        product, most = np.empty((COLUMNS, len(ids)), kind), np.empty((tiles, COLUMNS // FOLD, len(ids)), kind)
+        for b in range(tiles):
+            np.matmul(right[b * COLUMNS : (b + 1) * COLUMNS], some, out=product)
+            half = COLUMNS // 2
+            while half >= COLUMNS // FOLD:
+                np.maximum(product[:half], product[half : 2 * half], out=product[:half])
+                half //= 2
+            most[b] = product[: COLUMNS // FOLD]
+        flat = np.ascontiguousarray(most.reshape(-1, len(ids)).T)
+        least = np.partition(flat, flat.shape[1] - best.k, axis=1)[:, flat.shape[1] - best.k]
+        best.floor[ids] = np.maximum(best.floor[ids], least - give_some)
+
+
+def first_floors(best: Best, asked: list, lists: list[pa.Array]) -> None:
+    found = [(dims, c) for part in lists for dims, good, _, c in vectors(part) if good]
+    for dims, finite, at, q in asked:
+        alike = [c for length, c in found if length == dims > 0]
+        if finite and alike:
+            early(best, at, q, np.concatenate(alike))
+
+
+def meet(best: Best, at: np.ndarray, q: np.ndarray, c: np.ndarray, key: np.ndarray, row: np.ndarray, finite: bool) -> None:
+    """Adds what may be among the best of vectors q (queries `at`) and c, of equal length."""
+    k = best.k
+    safe, kind, give = error(q, c, finite)
+    with np.errstate(all="ignore"):
+        left, right = q.astype(kind, copy=False), c.astype(kind, copy=False).T
+        by_q, by_c = (np.ascontiguousarray(x.T, dtype=np.float64) for x in (q, c))
         step = max(1, min(ROWS, PRODUCTS // max(1, len(c))))
         down = lambda x: np.nextafter(x.astype(kind), kind(-np.inf))
         held, n = [], 0
@@ -187,9 +232,13 @@ def meet(best: Best, at: np.ndarray, q: np.ndarray, c: np.ndarray, key: np.ndarr
 def few(some: np.ndarray, right: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the products that are not below their row's least, by tiles that stay in a core's cache."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    near, mask = np.empty(len(some) * COLUMNS, some.dtype), np.empty(len(some) * COLUMNS, bool)
     for b in range(0, right.shape[1], COLUMNS):
-        mask = some @ right[:, b : b + COLUMNS] >= least[:, None]
-        i, j = np.divmod(marked(mask), mask.shape[1])
+        tile = right[:, b : b + COLUMNS]
+        wide = tile.shape[1]
+        product, hit = (x[: len(some) * wide].reshape(-1, wide) for x in (near, mask))
+        np.greater_equal(np.matmul(some, tile, out=product), least[:, None], out=hit)
+        i, j = np.divmod(marked(hit), wide)
         out.append((i, b + j))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -217,16 +266,38 @@ def add_block(best: Best, asked: list, lists: pa.Array, keep: pa.Table, key: str
         best.compact()
 
 
+def ranks(held: list, same: np.ndarray, k: int) -> tuple[list, np.ndarray]:
+    """What is held in order, with ranks from 1. same: a number of each query, falling nowhere; alike ones share their ranks."""
+    group = same[held[0]]
+    if len(same) and same[-1] + 1 < len(same):
+        order = np.lexsort((held[3], ~held[2], group))
+        held, group = [c[order] for c in held], group[order]
+    rank = np.arange(1, len(group) + 1) - np.searchsorted(group, group)
+    return [c[rank <= k] for c in held], rank[rank <= k]
+
+
+def dealt_out(queries: int, cores: int) -> tuple[int, int]:
+    """Blocks of queries and stripes of chunks, so that their tasks fill the cores in whole waves.
+
+    Blocks come first: what a task gives is then final, and its rows are not ranked again.
+    """
+    blocks = max(1, -(-queries // BLOCK), min(cores, queries // LEAST))
+    if blocks >= cores:
+        return -(-blocks // cores) * cores, 1
+    blocks = next(b for b in range(blocks, cores + 1) if cores % b == 0)
+    return blocks, cores // blocks
+
+
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, key: str, keep: tuple[str, ...] = (), vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """The k best chunks of each query with score and rank, ties by key (a whole number).
 
     queries: query_no, query (vector). keep: columns of the chunks that are given back besides the key. Each task
     takes a block of queries and a stripe of the chunks, so that there are tasks enough where queries are few; its
-    chunks pass by in batches. A filter on chunk columns reaches the scan.
+    chunks pass by in batches. Where there is one stripe, a task ranks its rows, else a window does. A filter on
+    chunk columns reaches the scan.
     """
     spark, names = chunks.sparkSession, [key, *[c for c in keep if c != key]]
-    blocks = max(1, -(-queries.count() // BLOCK))
-    stripes = max(1, -(-WAVES * spark.sparkContext.defaultParallelism // blocks))
+    blocks, stripes = dealt_out(queries.count(), spark.sparkContext.defaultParallelism)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
@@ -238,7 +309,12 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, key: str, keep: tuple
     met = met.repartitionById(blocks * stripes, F.col("__unit")).sortWithinPartitions("__side").select("__side", "query_no", "__vector", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, best, asked = [], None, []
+        first, best, asked, wait = [], None, [], []
+
+        def pass_by(parts: list[pa.RecordBatch]) -> None:
+            for part in parts:
+                add_block(best, asked, part.column("__vector"), pa.Table.from_batches([part.select(names)]), key)
+
         for batch in batches:
             side = batch.column("__side").to_numpy()
             n = int(np.searchsorted(side, 1))
@@ -251,15 +327,31 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, key: str, keep: tuple
                 table = pa.Table.from_batches(first).sort_by("query_no").combine_chunks()
                 best, asked = Best(table.num_rows, k), vectors(table["__vector"].chunk(0))
             batch = batch.slice(n)
-            add_block(best, asked, batch.column("__vector"), pa.Table.from_batches([batch.select(names)]), key)
+            if wait is None:
+                pass_by([batch])
+                continue
+            wait.append(batch)
+            if sum(part.column("__vector").flatten().nbytes for part in wait) >= FIRST:
+                first_floors(best, asked, [part.column("__vector") for part in wait])
+                pass_by(wait)
+                wait = None
         if best is None:
             return
+        if wait:
+            first_floors(best, asked, [part.column("__vector") for part in wait])
+            pass_by(wait)
         best.order()
+        rank = None
+        if stripes == 1:
+            best.held, rank = ranks(best.held, pc.rank(table["query_no"], tiebreaker="dense").to_numpy().astype(np.int64) - 1, k)
         q, score, code, _, row = best.held
         for a in range(0, len(q), 1 << 16):
             part = slice(a, a + (1 << 16))
             out = best.table.take(pa.array(row[part])).append_column("query_no", table["query_no"].take(pa.array(q[part])))
-            yield from out.append_column("score", pa.array(score[part], pa.float64(), mask=code[part] == NULL)).combine_chunks().to_batches()
+            out = out.append_column("score", pa.array(score[part], pa.float64(), mask=code[part] == NULL))
+            yield from (out if rank is None else out.append_column("rank", pa.array(rank[part], pa.int32()))).combine_chunks().to_batches()
 
     out = T.StructType([*[chunks.schema[c] for c in names], queries.schema["query_no"], T.StructField("score", T.DoubleType())])
+    if stripes == 1:
+        return met.mapInArrow(run, out.add("rank", T.IntegerType(), False))
     return top_k(met.mapInArrow(run, out), k, key)

@@ -109,3 +109,71 @@ def test_display_searches_once(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     plan = QUERIES["o10_a24_clustered_display"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_first_floors_leave_few_candidates(monkeypatch):
+    """Of the first chunks no more than a few a query are scored, and the floors bound the k-th best score."""
+    noise = np.random.default_rng(8)
+    q, c = noise.normal(size=(30, 16)).astype(np.float32), noise.normal(size=(20000, 16)).astype(np.float32)
+    best, lists = nearest.Best(30, 10), nearest.pa.array(list(c))
+    asked, scored, plain = nearest.vectors(nearest.pa.array(list(q))), [], nearest.exact
+    monkeypatch.setattr(nearest, "exact", lambda *args: scored.append(len(args[2])) or plain(*args))
+    nearest.first_floors(best, asked, [lists])
+    scores = np.sort(q.astype(float) @ c.T.astype(float), axis=1)[:, -10]
+    assert (best.floor <= scores).all() and (best.floor > -np.inf).all()
+    for a in range(0, len(c), 2000):
+        nearest.add_block(best, asked, lists.slice(a, 2000), nearest.pa.table({"vec_id": np.arange(a, a + 2000)}), "vec_id")
+    best.order()
+    assert sum(scored) < 30 * 10 * 2
+    assert (best.held[3].reshape(30, 10) == np.argsort(-(q.astype(float) @ c.T.astype(float)), axis=1)[:, :10]).all()
+
+
+def test_null_scores_do_not_lower_floors():
+    best = nearest.Best(1, 2)
+    best.floor[:] = 0.5
+    best.add(np.zeros(2, int), np.zeros(2), np.arange(2), np.arange(2), null=True)
+    best.settle()
+    assert best.floor[0] == 0.5
+
+
+def test_blocks_and_stripes_fill_the_cores():
+    for queries in (0, 1, 511, 5128, 30770, 40000, 10**6):
+        for cores in (1, 4, 6, 8, 1000):
+            blocks, stripes = nearest.dealt_out(queries, cores)
+            assert blocks * stripes % cores == 0 and blocks * nearest.BLOCK >= queries
+    assert nearest.dealt_out(30770, 8) == (8, 1) and nearest.dealt_out(250, 8) == (1, 8)
+
+
+def test_marked_places():
+    noise = np.random.default_rng(9)
+    for shape in ((3, 7), (5, 64), (9, 130), (512, 512)):
+        for part in (0.0, 0.01, 0.5, 1.0):
+            mask = noise.random(shape) < part
+            assert (nearest.marked(mask) == np.flatnonzero(mask)).all()
+
+
+def test_blocks_give_final_ranks(spark, tmp_path, monkeypatch):
+    """Where a task sees all chunks, no window ranks the hits again; the sums by file are made before the exchange."""
+    noise = np.random.default_rng(4)
+    rows = [(i, noise.normal(size=8).tolist(), i % 10 if i % 7 else None) for i in range(2000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {}
+    for least in (10, 10**6):
+        monkeypatch.setattr(nearest, "LEAST", least)
+        out = QUERIES["a3_o4_group_sum_top_files"](spark, str(tmp_path))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("vec_id" in plan.split("MapInArrow")[0]) == (least > 10), plan
+        found[least] = sorted(map(str, out.collect()))
+    assert found[10] == found[10**6] and len(found[10]) == 500
+
+
+def test_queries_of_one_number_share_their_ranks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAST", 2)
+    noise = np.random.default_rng(5)
+    chunks = spark.createDataFrame([(i, noise.normal(size=4).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    queries = chunks.where("vec_id < 40").select((F.col("vec_id") % 17).cast("string").alias("query_no"), F.col("embedding").alias("query"))
+    queries = queries.withColumn("query_no", F.expr("nullif(query_no, '3')"))
+    want = ranking.top_k(ranking.scored(chunks, queries), 9, "vec_id")
+    got = nearest.nearest(chunks, queries, 9, "vec_id")
+    assert nearest.dealt_out(40, 4)[1] == 1
+    assert sorted(map(str, got.select("query_no", "rank", "score").collect())) == sorted(map(str, want.select("query_no", "rank", "score").collect()))
